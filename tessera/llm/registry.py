@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing
+from tessera.llm import jaccard, mixing, packing, secrets
 
 QUERIES = {
+    "op1_secrets": secrets.op1_secrets,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
 }
