@@ -11,10 +11,12 @@ band's block value holds all sets that may link there. Light sets near the bound
 
 The boundary is the size at which enumerating subsets starts to cost more than posting blocks, by the histogram of sizes of all documents.
 
-Lists are scanned without emitting their pairs: a minimum per list, combined before it is shuffled, gives a pivot; every node is verified
-against the pivot it shares most lists with; the components of these links are then joined to the lists, and only pairs of one list that lie in
-different components are verified, those outside the list's most frequent component against the rest. Every pair of a list is thus verified
-or already connected, so components are those of all links. Verification counts shared shingles of the whole texts.
+Lists are scanned without emitting their pairs: three minima per list, combined before they are shuffled, give pivots; every node is verified
+against the pivots it shares most lists with; the components of these links are then joined to the lists, and only pairs of one list that lie in
+different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
+its parity sketches (bit h of SKETCH * 64 flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
+differ in shingles: the number of differing bits is a lower bound of that. Every pair of a list is thus verified, excluded or already
+connected, so components are those of all links. Verification counts shared shingles of the whole texts.
 
 Nulls and texts without words have no shingles and no links; a null doc_id is never a component's name unless all of it is null. Repeated
 rows share node and component. Other columns do not take part. An empty table gives no rows.
@@ -34,6 +36,10 @@ from tessera.llm import common
 
 #: Sizes above this are never light: their subsets outnumber any list.
 LIGHT_MOST = 40
+#: 64-bit words of a parity sketch.
+SKETCH = 8
+#: Pivots that a node is verified against at first.
+PIVOTS = 3
 #: Cost of verifying a candidate of a list against that of one posting.
 VERIFY = 3.0
 
@@ -62,6 +68,12 @@ def digest(s: np.ndarray) -> int:
     return (x or 1) - (1 << 64) if (x or 1) >= 1 << 63 else (x or 1)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set: SKETCH signed 64-bit words."""
+    bits = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def overlap(a: int, b: int, num: int, den: int) -> int:
     """Shingles that sets of a and b must share to link: the least o with den * o >= num * (a + b - o)."""
     return -(-num * (a + b) // (num + den))
@@ -135,17 +147,18 @@ def signatures(s: np.ndarray, num: int, den: int, light: int, bands: Bands) -> n
 
 
 def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, node, n_shingles of every document; node is 0 without shingles."""
+    """doc_id, node, n_shingles and the parity sketch s0, s1, ... of every document; node is 0 without shingles."""
+    sketch = [f"s{i}" for i in range(SKETCH)]
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
-            n, d = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            n, d, p = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, SKETCH), np.int64)
             for i, s in shingle_sets(b.column(1), k):
-                n[i], d[i] = len(s), digest(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d), pa.array(n)], names=["doc_id", "node", "n_shingles"])
+                n[i], d[i], p[i] = len(s), digest(s), parity(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d), pa.array(n), *(pa.array(c) for c in p.T.copy())], names=["doc_id", "node", "n_shingles", *sketch])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
 
 
 def postings(docs: DataFrame, k: int, num: int, den: int, light: int) -> DataFrame:
@@ -200,28 +213,33 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     sizes = nodes.where(f"n_shingles between 1 and {LIGHT_MOST}").groupBy("n_shingles").count().collect()
     light = boundary({r[0]: r[1] for r in sizes}, num, den)
     sig = common.materialise(postings(docs, k, num, den, light), "jaccard-postings")
-    lists = sig.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot < other").select("key", "pivot")
+    lists = sig.groupBy("key").agg(F.min("node").alias("p0"), F.max("node").alias("p1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p2")).where("p0 < p1")
+    lists = lists.select("key", F.array("p0", "p1", "p2.node").alias("pivots"))
     cand = common.materialise(sig.join(lists, "key").distinct(), "jaccard-lists")
     wanted = cand.select("node").distinct()
     rep = nodes.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
     texts = docs.join(rep, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
     texts = common.materialise(texts, "jaccard-texts")
-    best = cand.where("node <> pivot").groupBy("node", "pivot").count().groupBy("node").agg(F.max(F.struct("count", "pivot")).alias("m")).select(F.col("node").alias("a"), F.col("m.pivot").alias("b"))
-    first = common.materialise(verified(best, texts, k, num, den), "jaccard-links")
+    shared = cand.select("node", F.explode(F.array_distinct("pivots")).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
+    best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), asc=False), 1, PIVOTS).alias("m")).select("node", F.explode("m.pivot").alias("pivot"))
+    first = common.materialise(verified(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), texts, k, num, den), "jaccard-links")
     found = common.components(first, "jaccard-components").select("node", "component")
     named = cand.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
     named = common.materialise(named, "jaccard-named")
     open_lists = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = common.materialise(named.join(open_lists, "key"), "jaccard-open")
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    known = nodes.groupBy("node").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch))
+    rest = common.materialise(named.join(open_lists, "key").join(known, "node"), "jaccard-open")
     main = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     rest = rest.join(main, "key")
-    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    pairs = rest.select("key", "node", "c", "main").join(out, "key").where("c <> cx and (c = main or node < x)")
+    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
+    differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
+    pairs = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and ({differ}) * {num + den} <= (n + nx) * {den - num}")
     pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
     second = verified(pairs, texts, k, num, den)
     all_links = first.select("a", "b").union(second)
     comp = common.components(all_links, "jaccard-components")
-    member = nodes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    member = nodes.select("doc_id", "node", "n_shingles").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     name = member.where("c <> 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return member.join(name, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
