@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import jaccard, mixing, packing, secrets
+from tessera.llm import jaccard, mixing, packing, rindex, rlz, secrets
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_mixing": mixing.op3_mixing,
     "op4_packing": packing.op4_packing,
+    "op5_rlz": rlz.op5_rlz,
+    "op7_rindex": rindex.op7_rindex,
 }
 
 ORACLES: dict[str, str] = {}
