@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import embeddings, jaccard, mixing, packing, rindex, rlz, secrets
+from tessera.llm import embeddings, html, jaccard, langid, mixing, packing, rindex, rlz, secrets
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_near": embeddings.op6_near,
     "op7_rindex": rindex.op7_rindex,
     "op8_topk": embeddings.op8_topk,
+    "op9_language": langid.op9_language,
+    "op10_html": html.op10_html,
 }
 
 ORACLES: dict[str, str] = {
