@@ -1,10 +1,56 @@
-"""The corpus pipeline: language ID, n-gram Jaccard join, secret scans, mixing to target weights, best-fit packing."""
+"""The corpus pipeline: language ID, n-gram Jaccard join, secret scans, mixing to target weights, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept: documents without a language go; one document of each
+near-duplicate group stays (five-word shingles, similarity 0.8); secrets are replaced by a mark; sources are mixed to their target weights, in rows of
+taken text; the last packs the token ids of what is left into sequences of 2048.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import common, jaccard, langid, mixing, packing, secrets
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.accept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs, k=5, num=80, den=100)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return secrets.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: No SQL: stages learn a model, join sets, and cut token ids.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; stages are written to the shared folder and read again."""
+    docs = common.table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = common.materialise(docs, f"stage-{i}", keep=True)
+    return docs

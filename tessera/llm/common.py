@@ -33,12 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return conf
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the table to the shared folder and read it back. Survives lost executors."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Cut the lineage: write the table to the shared folder and read it back. Survives lost executors. keep: release() leaves it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _MADE.append(path)
+    if not keep:
+        _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -274,7 +274,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def accept(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents with a language: those of no letter, or of a score below `least`, go. Rows and columns are otherwise unchanged."""
     common.tune(docs.sparkSession)
     tag = docs.select(*docs.columns, F.col("text").alias("_text"))

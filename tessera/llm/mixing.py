@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -102,11 +103,17 @@ def step_of(blocks: np.ndarray, seed: int) -> np.ndarray:
     return step
 
 
+def key_of() -> "F.Column":
+    """Rows equal in doc_id, source and text are interchangeable."""
+    return F.xxhash64("doc_id", "source", "text")
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget_share: float = 1.0, max_epochs: int = 3, block_words: int = 64, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document; see the module's text."""
+    """doc_id, source, key, size, source_size, target, taken of every document, how often it is taken whole, and the word ranges (starts, ends)
+    of the blocks taken once more; see the module's text."""
     spark = docs.sparkSession
     common.tune(spark)
-    sized = common.materialise(count_words(docs.select("doc_id", "source", "text"), "doc_id", "source"), "mix-sizes")
+    sized = common.materialise(count_words(docs.select("doc_id", "source", "text", key_of().alias("key")), "doc_id", "source", "key"), "mix-sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").isNull(), F.encode("source", "utf-8")).collect()
     sizes = [int(r.source_size) for r in totals]
     targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], budget_share * sum(sizes), max_epochs)
@@ -114,8 +121,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget_sh
     rows = [(i, r.source, s, t, n) for i, (r, s, t, n) in enumerate(zip(totals, sizes, targets, shards, strict=True))]
     plan = spark.createDataFrame(rows, "sid int, source string, source_size long, target double, shards int")
     plan = F.broadcast(plan) if len(rows) <= 100_000 else plan
-    spread = F.xxhash64(F.col("doc_id"), F.col("size"), F.lit(seed))
-    there = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", sized["source"], "size", "source_size", "target", "sid", F.pmod(spread, F.col("shards")).cast("int").alias("shard"), spread.alias("h"))
+    spread = F.xxhash64(F.col("key"), F.lit(seed))
+    there = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select("doc_id", sized["source"], "key", "size", "source_size", "target", "sid", F.pmod(spread, F.col("shards")).cast("int").alias("shard"), spread.alias("h"))
     cells = there.groupBy("sid", "shard").agg(F.sum("size").alias("words"))
     blocks_of = {i: max(0, round(t / block_words)) for i, t in enumerate(targets)}
     wanted = sainte_lague(targets, round(sum(targets) / block_words)) if rows else []
@@ -131,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget_sh
 
     quota = cells.join(F.broadcast(want) if len(rows) <= 100_000 else want, "sid").groupBy("sid").applyInPandas(quotas, "sid int, shard int, words long, quota long")
     quota = quota.select(F.col("sid").alias("qs"), F.col("shard").alias("qh"), "words", "quota")
-    order = Window.partitionBy("sid", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("sid", "shard").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = there.withColumn("end", F.sum("size").over(order)).join(quota, (F.col("sid") == F.col("qs")) & (F.col("shard") == F.col("qh"))).drop("qs", "qh")
 
     def take(batches):
@@ -147,13 +154,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), budget_sh
             hit = (step[at] * j + seed) % n[at] < rest[at]
             part = np.minimum(end[at], (j + 1) * block_words) - np.maximum(end[at] - size[at], j * block_words)
             taken = whole * size + np.bincount(at, weights=part * hit, minlength=len(p)).astype(np.int64)
-            keep = [b.column(c) for c in ("doc_id", "source", "size", "source_size", "target")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(taken)], names=["doc_id", "source", "size", "source_size", "target", "taken"])
+            keep = [b.column(c) for c in ("doc_id", "source", "key", "size", "source_size", "target")]
+            start = np.maximum(j * block_words, end[at] - size[at]) - (end[at] - size[at])
+            cut = np.searchsorted(at[hit], np.arange(len(p) + 1))
+            ranges = [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x[hit])) for x in (start, start + part)]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(taken), pa.array(whole), *ranges], names=["doc_id", "source", "key", "size", "source_size", "target", "taken", "whole", "starts", "ends"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return placed.select("doc_id", "source", "size", "source_size", "target", "end", "words", "quota").mapInArrow(take, f"doc_id {kind}, source string, size long, source_size long, target double, taken long")
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "end", "words", "quota").mapInArrow(take, f"doc_id {kind}, source string, key long, size long, source_size long, target double, taken long, whole long, starts array<long>, ends array<long>")
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix as documents: a row for each time that a document is taken whole, and a row of the words of its blocks that are taken once more,
+    in order, its neighbouring blocks together. n_chars, where there is one, follows the text. Documents of no taken words are left out."""
+    names = docs.columns
+    taken = mix(docs, **how).where("taken > 0").groupBy("key").agg(F.collect_list(F.struct("whole", "starts", "ends")).alias("takes"))
+    rows = docs.withColumn("_key", key_of()).dropDuplicates(["_key"]).join(taken.withColumnRenamed("key", "_key"), "_key").withColumn("_take", F.explode("takes"))
+    rows = rows.select(*names, F.col("_take.whole").alias("_whole"), F.col("_take.starts").alias("_starts"), F.col("_take.ends").alias("_ends"))
+    text, chars, n = names.index("text"), names.index("n_chars") if "n_chars" in names else None, len(names)
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            whole, starts, ends = (b.column(n + i).to_pylist() for i in range(3))
+            for i, t in enumerate(b.column(text).to_pylist()):
+                at += [i] * whole[i]
+                out += [t] * whole[i]
+                if starts[i]:
+                    spans, runs = [m.span() for m in _WORD.finditer(t)], []
+                    for s, e in zip(starts[i], ends[i], strict=True):
+                        if runs and runs[-1][1] == s:
+                            runs[-1][1] = e
+                        else:
+                            runs.append([s, e])
+                    at.append(i)
+                    out.append(" ".join(t[spans[s][0] : spans[e - 1][1]] for s, e in runs))
+            cols = [b.column(i).take(pa.array(at, pa.int64())) for i in range(n)]
+            cols[text] = pa.array(out, pa.string())
+            if chars is not None:
+                cols[chars] = pa.array([len(t) for t in out], cols[chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def op3_mixing(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
-    return mix(common.table(spark, sf_dir, "documents")).drop("source")
+    return mix(common.table(spark, sf_dir, "documents")).drop("source", "key", "whole", "starts", "ends")
