@@ -11,7 +11,7 @@ band's block value holds all sets that may link there. Light sets near the bound
 
 The boundary is the size at which enumerating subsets starts to cost more than posting blocks, by the histogram of sizes of all documents.
 
-Lists are scanned without emitting their pairs: three minima per list, combined before they are shuffled, give pivots; every node is verified
+Lists are scanned without emitting their pairs: three nodes of each list are its pivots; every node is verified
 against the pivots it shares most lists with; the components of these links are then joined to the lists, and only pairs of one list that lie in
 different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
 its parity sketches (bit h of SKETCH * 64 flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
@@ -36,6 +36,8 @@ from tessera.llm import common
 
 #: Sizes above this are never light: their subsets outnumber any list.
 LIGHT_MOST = 40
+#: Postings that a task packs at once, and of a part on average.
+FLUSH, PART = 1 << 21, 1 << 22
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 #: Pivots that a node is verified against at first.
@@ -161,24 +163,84 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
 
 
-def postings(docs: DataFrame, k: int, num: int, den: int, light: int) -> DataFrame:
+def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int) -> DataFrame:
+    """part, keys, nodes: postings dealt to `parts` parts by key and packed, a row for each part and FLUSH postings of a task."""
+
+    def packed(keys: list, nodes: list, lens: list):
+        key, node = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), lens)
+        part = (key % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        key, node = (key // np.uint64(parts))[order].astype(np.uint32), node[order]
+        there, first = np.unique(part[order], return_index=True)
+        cut = np.r_[first, len(key)]
+        cols = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (key, node)]
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "keys", "nodes"])
+
     def run(batches):
-        bands = Bands(num, den)
+        bands, keys, nodes, lens, seen, total = Bands(num, den), [], [], [], set(), 0
         for b in batches:
-            keys, nodes, lens, seen = [], [], [], set()
             for _, s in shingle_sets(b.column(0), k):
                 if len(s) and (d := digest(s)) not in seen:
                     seen.add(d)
                     keys.append(signatures(s, num, den, light, bands))
                     nodes.append(d)
                     lens.append(len(keys[-1]))
-                if sum(lens[-64:]) > 1 << 20 or len(keys) >= 2048:
-                    yield pa.RecordBatch.from_arrays([pa.array(common.i64(np.concatenate(keys))), pa.array(np.repeat(np.array(nodes, np.int64), lens))], names=["key", "node"])
-                    keys, nodes, lens = [], [], []
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(common.i64(np.concatenate(keys))), pa.array(np.repeat(np.array(nodes, np.int64), lens))], names=["key", "node"])
+                    total += lens[-1]
+                    if total >= FLUSH:
+                        yield packed(keys, nodes, lens)
+                        keys, nodes, lens, seen, total = [], [], [], set(), 0
+        if total:
+            yield packed(keys, nodes, lens)
+
+    return docs.select("text").mapInArrow(run, "part int, keys binary, nodes binary")
+
+
+def scanned(packed: DataFrame, parts: int) -> DataFrame:
+    """key, node, pivots of every list of more than one node. A part holds PART postings on average; a node enters each list once and its lists are
+    spread over all parts, so one list, however long, is a small share of the postings."""
+
+    def run(batches):
+        keys, nodes, part = [], [], None
+
+        def lists(part, keys, nodes):
+            key, node = np.concatenate(keys), np.concatenate(nodes)
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            fresh = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node = key[fresh], node[fresh]
+            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[head, len(key)])
+            many = np.repeat(size > 1, size)
+            key, node, head, size = key[many], node[many], None, size[size > 1]
+            if not len(key):
+                return
+            head = np.cumsum(size) - size
+            low, high = node[head], node[head + size - 1]
+            odd = common.mix(node.view(np.uint64))
+            # A third pivot by another order; its place is found by the least mixed name.
+            least = np.repeat(np.minimum.reduceat(odd, head), size)
+            third = node[np.flatnonzero(odd == least)]
+            pivots = np.stack([low, high, third], axis=1)
+            at = np.repeat(np.arange(len(size)), size)
+            name = key.astype(np.int64) * parts + part
+            for a in range(0, len(key), 1 << 18):
+                i = slice(a, a + (1 << 18))
+                flat = pa.array(pivots[at[i]].ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(node[i]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), flat)], names=["key", "node", "pivots"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                p = b.column(0)[i].as_py()
+                if p != part and keys:
+                    yield from lists(part, keys, nodes)
+                    keys, nodes = [], []
+                part = p
+                keys.append(np.frombuffer(b.column(1)[i].as_py(), np.uint32))
+                nodes.append(np.frombuffer(b.column(2)[i].as_py(), np.int64))
+        if keys:
+            yield from lists(part, keys, nodes)
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, pivots array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -212,10 +274,11 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     nodes = common.materialise(nodes_of(docs, k), "jaccard-nodes")
     sizes = nodes.where(f"n_shingles between 1 and {LIGHT_MOST}").groupBy("n_shingles").count().collect()
     light = boundary({r[0]: r[1] for r in sizes}, num, den)
-    sig = common.materialise(postings(docs, k, num, den, light), "jaccard-postings")
-    lists = sig.groupBy("key").agg(F.min("node").alias("p0"), F.max("node").alias("p1"), F.min(F.struct(F.xxhash64("node"), "node")).alias("p2")).where("p0 < p1")
-    lists = lists.select("key", F.array("p0", "p1", "p2.node").alias("pivots"))
-    cand = common.materialise(sig.join(lists, "key").distinct(), "jaccard-lists")
+    bands, per = Bands(num, den), {}
+    for n, count in nodes.groupBy("n_shingles").count().collect():
+        per[n] = count * (2 if n < 1 else bands.blocks(bands.of(n)) + bands.blocks(bands.of(n) + 1))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(per.values()) // PART))
+    cand = common.materialise(scanned(postings(docs, k, num, den, light, parts), parts), "jaccard-lists")
     wanted = cand.select("node").distinct()
     rep = nodes.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
     texts = docs.join(rep, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
