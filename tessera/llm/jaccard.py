@@ -40,6 +40,8 @@ LIGHT_MOST = 40
 FLUSH, PART = 1 << 21, 1 << 22
 #: 64-bit words of a parity sketch.
 SKETCH = 8
+#: Lists of at most so many nodes are pairs at once; longer ones go by pivots.
+SHORT = 32
 #: Pivots that a node is verified against at first.
 PIVOTS = 3
 #: Cost of verifying a candidate of a list against that of one posting.
@@ -149,7 +151,7 @@ def signatures(s: np.ndarray, num: int, den: int, light: int, bands: Bands) -> n
 
 
 def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, node, n_shingles and the parity sketch s0, s1, ... of every document; node is 0 without shingles."""
+    """doc_id, hash of the text, node, n_shingles and the parity sketch s0, s1, ... of every document; node is 0 without shingles."""
     sketch = [f"s{i}" for i in range(SKETCH)]
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -158,9 +160,9 @@ def nodes_of(docs: DataFrame, k: int) -> DataFrame:
             n, d, p = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, SKETCH), np.int64)
             for i, s in shingle_sets(b.column(1), k):
                 n[i], d[i], p[i] = len(s), digest(s), parity(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d), pa.array(n), *(pa.array(c) for c in p.T.copy())], names=["doc_id", "node", "n_shingles", *sketch])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(n), *(pa.array(c) for c in p.T.copy())], names=["doc_id", "th", "node", "n_shingles", *sketch])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
 
 
 def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int) -> DataFrame:
@@ -196,7 +198,8 @@ def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int
 
 
 def scanned(packed: DataFrame, parts: int) -> DataFrame:
-    """key, node, pivots of every list of more than one node. A part holds PART postings on average; a node enters each list once and its lists are
+    """key, node and pivots p0, p1, p2 of the lists of more than SHORT nodes; and, under key -1, the distinct pairs node, p0 of shorter ones, a
+    bounded number for each posting. A part holds PART postings on average; a node enters each list once and its lists are
     spread over all parts, so one list, however long, is a small share of the postings."""
 
     def run(batches):
@@ -217,16 +220,28 @@ def scanned(packed: DataFrame, parts: int) -> DataFrame:
             head = np.cumsum(size) - size
             low, high = node[head], node[head + size - 1]
             odd = common.mix(node.view(np.uint64))
-            # A third pivot by another order; its place is found by the least mixed name.
-            least = np.repeat(np.minimum.reduceat(odd, head), size)
-            third = node[np.flatnonzero(odd == least)]
-            pivots = np.stack([low, high, third], axis=1)
-            at = np.repeat(np.arange(len(size)), size)
-            name = key.astype(np.int64) * parts + part
-            for a in range(0, len(key), 1 << 18):
-                i = slice(a, a + (1 << 18))
-                flat = pa.array(pivots[at[i]].ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(node[i]), pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 3), pa.int32()), flat)], names=["key", "node", "pivots"])
+            # Short lists: the distinct pairs of the part's lists, by the distance of two places in a list.
+            short = np.repeat(size <= SHORT, size)
+            at, left = np.arange(len(key)), np.repeat(head + size, size)
+            pairs = np.zeros((0, 2), np.int64)
+            for gap in range(1, SHORT):
+                i = np.flatnonzero(short & (at + gap < left))
+                if not len(i):
+                    break
+                pairs = np.unique(np.r_[pairs, np.stack([node[i], node[i + gap]], axis=1)], axis=0)
+            yield from rows(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1], pairs[:, 1], pairs[:, 1])
+            # Long lists: three pivots, the third by another order.
+            long_ = size > SHORT
+            low, high = node[head], node[head + size - 1]
+            odd = common.mix(node.view(np.uint64))
+            third = node[np.flatnonzero(odd == np.repeat(np.minimum.reduceat(odd, head), size))]
+            of = np.repeat(np.arange(len(size)), size)
+            i = np.flatnonzero(long_[of])
+            yield from rows(key.astype(np.int64)[i] * parts + part, node[i], low[of[i]], high[of[i]], third[of[i]])
+
+        def rows(*cols):
+            for a in range(0, len(cols[0]), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + (1 << 18)]) for c in cols], names=["key", "node", "p0", "p1", "p2"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -240,7 +255,7 @@ def scanned(packed: DataFrame, parts: int) -> DataFrame:
         if keys:
             yield from lists(part, keys, nodes)
 
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, pivots array<long>")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, p0 long, p1 long, p2 long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -266,6 +281,13 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, text of the nodes of the pairs: the text of one document of each, found by its doc_id and hash."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    rep = known.select("node", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th")).join(wanted, "node")
+    return docs.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))).groupBy("node").agg(F.min("text").alias("text"))
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: components of the links of similarity num / den or more."""
     spark = docs.sparkSession
@@ -279,27 +301,28 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
         per[n] = count * (2 if n < 1 else bands.blocks(bands.of(n)) + bands.blocks(bands.of(n) + 1))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(per.values()) // PART))
     cand = common.materialise(scanned(postings(docs, k, num, den, light, parts), parts), "jaccard-lists")
-    wanted = cand.select("node").distinct()
-    rep = nodes.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(wanted, "node")
-    texts = docs.join(rep, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
-    texts = common.materialise(texts, "jaccard-texts")
-    shared = cand.select("node", F.explode(F.array_distinct("pivots")).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
-    best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), asc=False), 1, PIVOTS).alias("m")).select("node", F.explode("m.pivot").alias("pivot"))
-    first = common.materialise(verified(best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), texts, k, num, den), "jaccard-links")
+    sketch = [f"s{i}" for i in range(SKETCH)]
+    known = nodes.where("node <> 0").groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch))
+    known = common.materialise(known, "jaccard-known")
+    differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
+    may_link = f"({differ}) * {num + den} <= (n + nx) * {den - num} and n * {den} >= nx * {num} and nx * {den} >= n * {num}"
+    right = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
+    lists = cand.where("key <> -1")
+    shared = lists.select("node", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
+    best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), asc=False), 1, PIVOTS).alias("m")).select("node", F.explode("m.pivot").alias("x"))
+    pairs = best.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).union(cand.where("key = -1").select("node", F.col("p0").alias("x"))).distinct()
+    pairs = common.materialise(pairs.join(known, "node").join(right, "x").where(may_link).select(F.col("node").alias("a"), F.col("x").alias("b")), "jaccard-pairs")
+    first = common.materialise(verified(pairs, texts_of(docs, known, pairs), k, num, den), "jaccard-links")
     found = common.components(first, "jaccard-components").select("node", "component")
-    named = cand.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-    named = common.materialise(named, "jaccard-named")
+    named = common.materialise(lists.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "jaccard-named")
     open_lists = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    sketch = [f"s{i}" for i in range(SKETCH)]
-    known = nodes.groupBy("node").agg(F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch))
-    rest = common.materialise(named.join(open_lists, "key").join(known, "node"), "jaccard-open")
+    rest = common.materialise(named.join(open_lists, "key").join(known.drop("doc_id", "th"), "node"), "jaccard-open")
     main = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     rest = rest.join(main, "key")
     out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
-    differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
-    pairs = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and ({differ}) * {num + den} <= (n + nx) * {den - num}")
-    pairs = pairs.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct()
-    second = verified(pairs, texts, k, num, den)
+    more = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and {may_link}")
+    more = common.materialise(more.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
+    second = verified(more, texts_of(docs, known, more), k, num, den)
     all_links = first.select("a", "b").union(second)
     comp = common.components(all_links, "jaccard-components")
     member = nodes.select("doc_id", "node", "n_shingles").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
