@@ -7,14 +7,16 @@ size b that may link, its subsets of exactly o(a, b) shingles, and linked sets m
 
 Heavy sets: sizes are put in bands of ratio 1 / t, so linked sets are in the same or in neighbouring bands. Linked sets of upper band K
 differ in at most d_K shingles, so if shingles are dealt by hash to d_K + 1 blocks, they agree on one whole block: an inverted list of a
-band's block value holds all sets that may link there. Light sets near the boundary also enter these lists.
+band's block value holds all sets that may link there. Some blocks are empty, and that two sets agree on those says little: there are
+`spare` more blocks than d_K + 1, so a set with no more empty ones than that posts only the others, and still agrees with a linked set on one of
+them; a set with more posts them all. Light sets near the boundary also enter these lists.
 
 The boundary is the size at which enumerating subsets starts to cost more than posting blocks, by the histogram of sizes of all documents.
 
 Lists are scanned without emitting their pairs: three nodes of each list are its pivots; every node is verified
 against the pivots it shares most lists with; the components of these links are then joined to the lists, and only pairs of one list that lie in
 different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
-its parity sketches (bit h of SKETCH * 64 flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
+its parity sketches (bit h of 64 * SKETCH flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
 differ in shingles: the number of differing bits is a lower bound of that. Every pair of a list is thus verified, excluded or already
 connected, so components are those of all links. Verification counts shared shingles of the whole texts.
 
@@ -39,7 +41,9 @@ LIGHT_MOST = 40
 #: Postings that a task packs at once, and of a part on average.
 FLUSH, PART = 1 << 21, 1 << 22
 #: 64-bit words of a parity sketch.
-SKETCH = 8
+SKETCH = 32
+#: Words of the folded sketch that long lists carry.
+FOLD = 8
 #: Lists of at most so many nodes are pairs at once; longer ones go by pivots.
 SHORT = 32
 #: Pivots that a node is verified against at first.
@@ -95,23 +99,31 @@ class Bands:
     """Bands of sizes of ratio den / num, and the number of blocks of each."""
 
     def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.first = num, den, [1]
+        self.num, self.den, self.first, self.known = num, den, [1], {}
 
     def of(self, n: int) -> int:
         while self.first[-1] <= n:
             self.first.append(max(self.first[-1] + 1, self.den * (self.first[-1] - 1) // self.num + 1))
         return int(np.searchsorted(self.first, n, "right")) - 1
 
-    def blocks(self, band: int) -> int:
-        while len(self.first) <= band + 1:
-            self.of(self.first[-1])
-        top = self.first[band + 1] - 1
-        return (self.den - self.num) * 2 * top // (self.den + self.num) + 1
+    def blocks(self, band: int) -> tuple[int, int]:
+        """Blocks of a band, and how many more they are than linked sets can differ in: so many empty ones may a set leave out."""
+        if band not in self.known:
+            while len(self.first) <= band + 1:
+                self.of(self.first[-1])
+            top, low = self.first[band + 1] - 1, self.first[max(0, band - 1)]
+            least = (self.den - self.num) * 2 * top // (self.den + self.num) + 1
+            spare = 0
+            for _ in range(4):  # what a set of the least size leaves empty, and four deviations
+                empty = (least + spare) * math.exp(-low / (least + spare))
+                spare = math.ceil(empty + 4 * math.sqrt(empty))
+            self.known[band] = (least + spare, spare) if spare <= least else (least, 0)
+        return self.known[band]
 
 
 def heavy_cost(n: int, bands: Bands) -> float:
     k = bands.of(n)
-    return (bands.blocks(k) + bands.blocks(k + 1)) * (1 + VERIFY / 10)
+    return (bands.blocks(k)[0] + bands.blocks(k + 1)[0]) * (1 + VERIFY / 10)
 
 
 def boundary(histogram: dict[int, int], num: int, den: int) -> int:
@@ -139,14 +151,16 @@ def signatures(s: np.ndarray, num: int, den: int, light: int, bands: Bands) -> n
     k = bands.of(n)
     values = common.mix(s ^ np.uint64(0x51ED27))
     for band in (k, k + 1):
-        p = bands.blocks(band)
+        p, spare = bands.blocks(band)
         block = (s % np.uint64(p)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values[order], out=total[1:], dtype=np.uint64)
         cut = np.searchsorted(block[order], np.arange(p + 1))
         sums = total[cut[1:]] - total[cut[:-1]]
-        keys.append(common.mix(common.mix(sums + np.uint64(band * 0x10001)) + np.arange(p, dtype=np.uint64)))
+        key = common.mix(common.mix(sums + np.uint64(band * 0x10001)) + np.arange(p, dtype=np.uint64))
+        full = cut[1:] > cut[:-1]
+        keys.append(key[full] if p - int(full.sum()) <= spare else key)
     return np.concatenate(keys)
 
 
@@ -197,6 +211,15 @@ def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int
     return docs.select("text").mapInArrow(run, "part int, keys binary, nodes binary")
 
 
+PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
+
+
+def distinct(pairs: np.ndarray) -> np.ndarray:
+    order = np.lexsort((pairs["b"], pairs["a"]))
+    pairs = pairs[order]
+    return pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
+
+
 def scanned(packed: DataFrame, parts: int) -> DataFrame:
     """key, node and pivots p0, p1, p2 of the lists of more than SHORT nodes; and, under key -1, the distinct pairs node, p0 of shorter ones, a
     bounded number for each posting. A part holds PART postings on average; a node enters each list once and its lists are
@@ -223,13 +246,16 @@ def scanned(packed: DataFrame, parts: int) -> DataFrame:
             # Short lists: the distinct pairs of the part's lists, by the distance of two places in a list.
             short = np.repeat(size <= SHORT, size)
             at, left = np.arange(len(key)), np.repeat(head + size, size)
-            pairs = np.zeros((0, 2), np.int64)
+            met = [np.zeros(0, PAIR)]
             for gap in range(1, SHORT):
                 i = np.flatnonzero(short & (at + gap < left))
                 if not len(i):
                     break
-                pairs = np.unique(np.r_[pairs, np.stack([node[i], node[i + gap]], axis=1)], axis=0)
-            yield from rows(np.full(len(pairs), -1), pairs[:, 0], pairs[:, 1], pairs[:, 1], pairs[:, 1])
+                both = np.empty(len(i), PAIR)
+                both["a"], both["b"] = node[i], node[i + gap]
+                met.append(distinct(both))
+            met = distinct(np.concatenate(met))
+            yield from rows(np.full(len(met), -1), met["a"], met["b"], met["b"], met["b"])
             # Long lists: three pivots, the third by another order.
             long_ = size > SHORT
             low, high = node[head], node[head + size - 1]
@@ -298,7 +324,7 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     light = boundary({r[0]: r[1] for r in sizes}, num, den)
     bands, per = Bands(num, den), {}
     for n, count in nodes.groupBy("n_shingles").count().collect():
-        per[n] = count * (2 if n < 1 else bands.blocks(bands.of(n)) + bands.blocks(bands.of(n) + 1))
+        per[n] = count * (2 if n < 1 else bands.blocks(bands.of(n))[0] + bands.blocks(bands.of(n) + 1)[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(per.values()) // PART))
     cand = common.materialise(scanned(postings(docs, k, num, den, light, parts), parts), "jaccard-lists")
     sketch = [f"s{i}" for i in range(SKETCH)]
@@ -306,6 +332,10 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     known = common.materialise(known, "jaccard-known")
     differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
     may_link = f"({differ}) * {num + den} <= (n + nx) * {den - num} and n * {den} >= nx * {num} and nx * {den} >= n * {num}"
+    fold = [" ^ ".join(f"s{j}" for j in range(i, SKETCH, FOLD)) for i in range(FOLD)]
+    short = known.select("node", "n", *(F.expr(e).alias(f"s{i}") for i, e in enumerate(fold)))
+    short_differ = " + ".join(f"bit_count(s{i} ^ xs{i})" for i in range(FOLD))
+    short_may_link = may_link.replace(differ, short_differ)
     right = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
     lists = cand.where("key <> -1")
     shared = lists.select("node", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
@@ -316,12 +346,13 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     found = common.components(first, "jaccard-components").select("node", "component")
     named = common.materialise(lists.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "jaccard-named")
     open_lists = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = common.materialise(named.join(open_lists, "key").join(known.drop("doc_id", "th"), "node"), "jaccard-open")
+    rest = common.materialise(named.join(open_lists, "key").join(short, "node"), "jaccard-open")
     main = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
     rest = rest.join(main, "key")
-    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
-    more = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and {may_link}")
-    more = common.materialise(more.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
+    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD)))
+    more = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and {short_may_link}")
+    more = more.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).distinct().join(known, "node").join(right, "x").where(may_link)
+    more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
     second = verified(more, texts_of(docs, known, more), k, num, den)
     all_links = first.select("a", "b").union(second)
     comp = common.components(all_links, "jaccard-components")
