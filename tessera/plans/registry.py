@@ -1,6 +1,276 @@
-"""The queries of the engine and the SQL that checks them."""
+"""The queries of the engine over the driver's tables, and the SQL that checks them. AS_OF is the day of the run."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import dates, geo, text, urls
+from tessera.operators import dedupe, digest, scoring
+from tessera.sources import pages as page_source
+
+AS_OF = "1997-06-01"
+KEYWORDS = {"high_value": ["the", "and on", "tion"], "medium_value": ["que", "der", "los"], "negative": ["token", "licence", "http"]}
+TARGETS = [("steel", "", "STEEL", "Brand"), ("brass part", "", "part BRASS", "Brand#1"), ("none", "", "zzz", "nowhere")]
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def duck_normal(c: str) -> str:
+    out = f"lower(coalesce({c}, ''))"
+    for a, b in text.FOLDS.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return rf"trim(regexp_replace(regexp_replace({out}, 'https?://(www\.)?', '', 'g'), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def duck_clean(c: str) -> str:
+    return f"trim(regexp_replace({c}, '{text.SPACE_RE2}', ' ', 'g'))"
+
+
+def duck_any(c: str, terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{x}')" for x in terms) + ")"
+
+
+def duck_part(c: str, group: int) -> str:
+    return rf"regexp_extract(coalesce({c}, ''), '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', {group})"
+
+
+def duck_hits(c: str, terms: list[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains({c}, '{x}') AS INT)" for x in terms) + ")"
+
+
+DUCK_CATEGORY = "CASE WHEN {0} >= 75 THEN 'A' WHEN {0} >= 55 THEN 'B' WHEN {0} >= 35 THEN 'C' ELSE 'D' END"
+
+
+def normalize_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.normalize(F.col("text")).alias("normalized"))
+
+
+def canonical_id(spark, d):
+    return t(spark, d, "pages").select("page_id", text.canonical_id(F.lit("Page"), F.lit("Site"), F.col("url")).alias("canonical_id"))
+
+
+def url_keep_first(spark, d):
+    p = t(spark, d, "pages").select("page_id", urls.part(F.col("url"), 2).alias("host"))
+    return page_source.keep_first(p, "host", "page_id")
+
+
+def strip_html(spark, d):
+    return t(spark, d, "pages").select("page_id", text.strip_html(F.col("html")).alias("stripped"))
+
+
+def clean_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
+def url_keys(spark, d):
+    u = F.col("url")
+    return t(spark, d, "pages").select("page_id", urls.canonical_url(u).alias("canonical_url"), urls.is_http(u).alias("is_http"), urls.is_detail(u).alias("is_detail"))
+
+
+def role_type(spark, d):
+    region = F.element_at(F.array(F.lit("us"), F.lit("uk"), F.lit("eu"), F.lit("")), (F.col("doc_id") % 4 + 1).cast("int"))
+    roles = F.array(*map(F.lit, ("Assistant Professor", "Lecturer", "Postdoctoral Fellow faculty", "Associate Professor", "Open Rank", "Presidential Fellow", "Visiting Assistant Professor", "Clerk")))
+    return t(spark, d, "documents").select("doc_id", scoring.role_type(F.element_at(roles, (F.col("doc_id") % 8 + 1).cast("int")), F.col("text"), region).alias("role_type"))
+
+
+_T = duck_normal("CASE doc_id % 8 WHEN 0 THEN 'Assistant Professor' WHEN 1 THEN 'Lecturer' WHEN 2 THEN 'Postdoctoral Fellow faculty' WHEN 3 THEN 'Associate Professor' WHEN 4 THEN 'Open Rank' WHEN 5 THEN 'Presidential Fellow' WHEN 6 THEN 'Visiting Assistant Professor' ELSE 'Clerk' END || ' ' || coalesce(text, '')")
+_ROLE_SQL = f"""
+    WITH x AS (SELECT doc_id, {_T} AS t, CASE doc_id % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'uk' WHEN 2 THEN 'eu' ELSE '' END AS r FROM documents)
+    SELECT doc_id, CASE WHEN {duck_any("t", scoring.POSTDOC)} AND contains(t, 'fellow') AND {duck_any("t", ("prestigious", "faculty", "tenure"))} THEN 'prestigious_postdoc_fellowship'
+        WHEN {duck_any("t", scoring.POSTDOC)} THEN 'regular_postdoc' WHEN {duck_any("t", scoring.TEACHING)} THEN 'teaching_only'
+        WHEN {duck_any("t", scoring.LECTURER)} AND r IN ('us', 'usa', 'canada') THEN 'teaching_only'
+        WHEN {duck_any("t", scoring.AP)} THEN CASE WHEN contains(t, 'tenure') THEN 'tenure_track_assistant_professor' ELSE 'assistant_professor' END
+        WHEN {duck_any("t", scoring.LECTURER)} AND r IN ('uk', 'eu', 'europe') THEN 'lecturer_ap_equivalent'
+        WHEN {duck_any("t", scoring.FELLOWSHIP)} THEN 'faculty_fellowship' WHEN {duck_any("t", scoring.OPEN_RANK)} THEN 'open_rank'
+        WHEN {duck_any("t", scoring.ASSOCIATE)} AND r IN ('eu', 'europe', 'sweden', 'netherlands', 'nordics') THEN 'associate_professor_eu_tt_equivalent'
+        ELSE 'other' END AS role_type FROM x"""
+
+
+def as_postings(spark, d) -> DataFrame:
+    """Documents in the shape of postings."""
+    doc = t(spark, d, "documents")
+    empty = {c: F.lit("") for c in ("department", "school", "location", "country")}
+    return doc.select("doc_id", F.lit("Assistant Professor").alias("title"), F.col("source").alias("institution"), F.element_at(F.array(F.lit("us"), F.lit("mars")), (F.col("doc_id") % 2 + 1).cast("int")).alias("region"), F.col("text").alias("description_text"), F.lit("feed").alias("source_name"), F.lit("1997-01-31").alias("deadline")).withColumns(empty)
+
+
+def keyword_score(spark, d):
+    out = scoring.score(as_postings(spark, d), KEYWORDS, AS_OF, ["src0", "src1"])
+    return out.select("doc_id", "role_type", F.round("rule_score", 9).alias("rule_score"), "fit_score", "fit_category", "is_priority_institution", F.size("match_reasons").alias("n_reasons"), F.size("warnings").alias("n_warnings"))
+
+
+def keyword_hits(spark, d):
+    n = text.normalize(F.col("text"))
+    return t(spark, d, "documents").select("doc_id", *(F.array_join(scoring.keyword_hits(n, v), "|").alias(k) for k, v in KEYWORDS.items()))
+
+
+def fit_category(spark, d):
+    points = (F.col("n_chars") % 101).cast("int")
+    return t(spark, d, "documents").select("doc_id", points.alias("fit_score"), scoring.category(points).alias("fit_category"))
+
+
+def region_lookup(spark, d):
+    n, r = t(spark, d, "nation"), t(spark, d, "region")
+    return n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "r_name", scoring.region_allowed(F.col("r_name"), ("asia", "middle_east")).alias("allowed"))
+
+
+def priority_institution(spark, d):
+    return t(spark, d, "supplier").select("s_suppkey", scoring.priority(F.col("s_name"), [f"supplier 00000000{i}" for i in range(1, 9)]).alias("is_priority"))
+
+
+def deadline_window(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return t(spark, d, "orders").select("o_orderkey", dates.due_within(day, AS_OF, 30).alias("due_soon"), dates.expired(day, AS_OF).alias("expired"), dates.iso_date(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).alias("day"))
+
+
+def rfc_dates(spark, d):
+    return t(spark, d, "orders").select("o_orderkey", dates.rfc_date(F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss")).alias("day"))
+
+
+def section_topk(spark, d):
+    return digest.top_of_sections(t(spark, d, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey"), "o_orderpriority", "o_totalprice", "o_orderkey", 20)
+
+
+def eligibility(spark, d):
+    j = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id")
+    c = scoring.category((F.col("n_chars") % 101).cast("int"))
+    ok = digest.eligible(c, text.normalize(F.col("text")).contains("part time"), F.col("quality") == 1, F.col("toxic") == 1)
+    return j.select("doc_id", c.alias("fit_category"), ok.alias("eligible"))
+
+
+def target_match(spark, d):
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("institution"), F.lit("").alias("application_url"), F.lit("").alias("source_url"))
+    targets = spark.createDataFrame(TARGETS, "name string, url string, title string, institution string")
+    return digest.match_targets(p, targets, "ord")
+
+
+def merge_first_nonempty(spark, d):
+    e = t(spark, d, "events")
+    kept = F.when(F.col("value") > 50, F.col("event_type"))
+    return e.groupBy("user_id").agg(F.min_by(kept, F.when(kept.isNotNull(), F.struct("ts", "event_id"))).alias("first_type"), F.max("value").alias("best_value"), F.bool_or(F.col("value") > 90).alias("any_high"))
+
+
+def merge_list_union(spark, d):
+    e = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
+    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_type"))), lambda x: x["event_type"]), "|").alias("types"))
+
+
+def exact_consolidate(spark, d):
+    n = t(spark, d, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("k"))
+    return n.groupBy("k").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).select("leader", "members")
+
+
+def upsert_exact(spark, d):
+    e = t(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    cut = F.lit("1996-01-01").cast("timestamp")
+    old = e.groupBy("user_id").agg(F.min(F.when(F.col("ts") < cut, F.col("ts"))).alias("first_old"), F.max("ts").alias("last_seen"), F.count("*").alias("n"), F.max("value").alias("best"))
+    return old.select("user_id", "last_seen", "n", "best", F.col("first_old").isNull().alias("is_new"))
+
+
+def llm_score_formula(spark, d):
+    x = [(F.col(c) % 6).cast("long") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
+    s = scoring.model_score(x[0], x[1], x[2], x[3], (F.col("l_quantity").cast("long") % 6))
+    return t(spark, d, "lineitem").groupBy(scoring.category(s).alias("category")).agg(F.count("*").alias("n"), F.sum(s).alias("total"))
+
+
+def run_totals(spark, d):
+    j = as_postings(spark, d)
+    return j.groupBy("institution").agg(F.count("*").alias("postings"), F.count_if(F.col("region") == "us").alias("in_us"), F.max(F.length("description_text")).alias("longest"))
+
+
+def geo_source(spark, d):
+    n = t(spark, d, "nation")
+    g = geo.of_source(F.lit(""), F.lit(""), F.col("n_name"), F.array(F.lit("Europe")))
+    return n.select("n_nationkey", g["country"].alias("country"), g["region"].alias("region"))
+
+
+def geo_infer(spark, d):
+    g = geo.infer(F.concat(F.col("c_name"), F.lit(", "), F.element_at(F.array(*map(F.lit, ("Austin TX", "Leeds, England", "Oslo Norway", "Paris"))), (F.col("c_custkey") % 4 + 1).cast("int"))))
+    return t(spark, d, "customer").select("c_custkey", g["country"].alias("country"), g["region"].alias("region"))
+
+
+def csv_record(spark, d):
+    doc = t(spark, d, "documents")
+    return doc.select("doc_id", F.array_join(F.array("source", "lang"), "\n").alias("lists"), (F.col("n_chars") > 1000).cast("int").alias("flag"))
+
+
+def anchor_links(spark, d):
+    return page_source.links(t(spark, d, "pages")).drop("json")
+
+
+def candidate_links(spark, d):
+    return page_source.candidates(page_source.links(t(spark, d, "pages")), r"^\w").select("page_id", "pos", "url", "title")
+
+
+def posting_pipeline(spark, d):
+    p = page_source.postings(t(spark, d, "pages"))
+    s = scoring.score(p, KEYWORDS, AS_OF)
+    return digest.top_of_sections(s.select("ord", "title", "canonical_id", "application_url", "role_type", "fit_score", "fit_category"), "fit_category", "fit_score", "ord", 20)
+
+
+def consolidate(spark, d):
+    p = t(spark, d, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("Order of "), F.col("o_orderpriority"), F.lit(" "), F.date_format("o_orderdate", "yyyyMM")).alias("title"), F.concat(F.lit("Customer "), F.col("o_custkey")).alias("institution"), F.lit("").alias("application_url"), F.col("o_orderstatus").alias("description_text"), F.lit(0).alias("fit_score"), F.lit("D").alias("fit_category"), F.lit("other").alias("role_type"), *(F.lit("").alias(c) for c in dedupe.FILLED), *(F.array().cast("array<string>").alias(c) for c in dedupe.LISTS), F.lit(False).alias("is_priority_institution"), F.lit(True).alias("is_new_this_run"))
+    p = p.withColumn("canonical_id", text.canonical_id(F.col("title"), F.col("institution"), F.col("application_url")))
+    return dedupe.consolidate(p).select("ord", "canonical_id", "title", "description_text")
+
+
+QUERIES = {f.__name__: f for f in (
+    normalize_text, canonical_id, url_keep_first, strip_html, clean_text, url_keys, role_type, keyword_score, keyword_hits, fit_category, region_lookup, priority_institution, deadline_window, rfc_dates, section_topk, eligibility, target_match,
+    merge_first_nonempty, merge_list_union, exact_consolidate, upsert_exact, llm_score_formula, run_totals, geo_source, geo_infer, csv_record, anchor_links, candidate_links, posting_pipeline, consolidate,
+)}
+
+_N = duck_normal("text")
+_BODY = duck_normal("'Assistant Professor ' || source || '     ' || CASE WHEN doc_id % 2 = 0 THEN 'us' ELSE 'mars' END || ' ' || coalesce(text, '') || ' feed'")
+_CAT = DUCK_CATEGORY.format("CAST(n_chars % 101 AS INT)")
+_SCORE = "7 * (l_orderkey % 6) + 5 * (l_partkey % 6) + 3 * (l_suppkey % 6) + 3 * (l_linenumber % 6) + 2 * (CAST(l_quantity AS BIGINT) % 6)"
+_PATH = duck_part("url", 3)
+_QUERY = duck_part("url", 4)
+_NAME = "lower(n_name)"
+
+ORACLES = {
+    "normalize_text": f"SELECT doc_id, {_N} AS normalized FROM documents",
+    "canonical_id": f"""WITH x AS (SELECT page_id, {duck_normal("url")} AS u FROM pages)
+        SELECT page_id, substr(sha256(CASE WHEN u <> '' AND NOT contains(u, 'configure me') THEN 'url:' || u ELSE 'title-inst:page::site' END), 1, 24) AS canonical_id FROM x""",
+    "url_keep_first": f"SELECT page_id, host FROM (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM (SELECT page_id, {duck_part('url', 2)} AS host FROM pages)) WHERE n = 1",
+    "strip_html": f"SELECT page_id, {duck_clean("regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')")} AS stripped FROM pages",
+    "clean_text": f"SELECT doc_id, {duck_clean("coalesce(text, '')")} AS cleaned FROM documents",
+    "url_keys": f"""SELECT page_id, CASE WHEN {duck_part("trim(url)", 2)} = '' THEN '' ELSE lower({duck_part("trim(url)", 2)}) || lower(regexp_replace({duck_part("trim(url)", 3)}, '/+$', '')) END AS canonical_url,
+        lower({duck_part("url", 1)}) IN ('http', 'https') AND {duck_part("url", 2)} <> '' AS is_http,
+        regexp_matches({_PATH} || CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END, '(?i){urls.DETAIL_PATH}') OR regexp_matches(lower({_QUERY}), '{"|".join(urls.DETAIL_KEYS)}') AS is_detail FROM pages""",
+    "role_type": _ROLE_SQL,
+    "keyword_score": f"""
+        WITH x AS (SELECT doc_id, source, doc_id % 2 = 0 AS us, {_BODY} AS t, {duck_normal("'Assistant Professor ' || coalesce(text, '')")} AS rt FROM documents),
+        h AS (SELECT *, {duck_hits("t", KEYWORDS["high_value"])} AS hi, {duck_hits("t", KEYWORDS["medium_value"])} AS me, {duck_hits("t", KEYWORDS["negative"])} AS ne, contains(t, 'tenure') AS te, contains(t, 'part time') AS pt, source IN ('src0', 'src1') AS pr,
+              CASE WHEN {duck_any("rt", scoring.POSTDOC)} AND contains(rt, 'fellow') AND {duck_any("rt", ("prestigious", "faculty", "tenure"))} THEN 'prestigious_postdoc_fellowship' WHEN {duck_any("rt", scoring.POSTDOC)} THEN 'regular_postdoc' WHEN {duck_any("rt", scoring.TEACHING)} THEN 'teaching_only'
+              WHEN {duck_any("rt", scoring.LECTURER)} AND doc_id % 2 = 0 THEN 'teaching_only' WHEN contains(rt, 'tenure') THEN 'tenure_track_assistant_professor' ELSE 'assistant_professor' END AS role_type FROM x),
+        w AS (SELECT *, CAST(CASE role_type WHEN 'prestigious_postdoc_fellowship' THEN 0.18 WHEN 'regular_postdoc' THEN -0.25 WHEN 'teaching_only' THEN -0.25 ELSE 0.3 END AS DOUBLE) AS wt FROM h),
+        s AS (SELECT *, greatest(0::DOUBLE, least(1::DOUBLE, wt + CASE WHEN hi > 0 THEN least(0.35::DOUBLE, 0.06::DOUBLE * hi) ELSE 0 END + CASE WHEN me > 0 THEN least(0.18::DOUBLE, 0.035::DOUBLE * me) ELSE 0 END + CASE WHEN te THEN 0.06::DOUBLE ELSE 0 END
+              + CASE WHEN pr THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN us THEN 0.08::DOUBLE ELSE -0.25::DOUBLE END - CASE WHEN ne > 0 THEN least(0.35::DOUBLE, 0.1::DOUBLE * ne) ELSE 0 END - CASE WHEN pt THEN 0.25::DOUBLE ELSE 0 END - 0.3::DOUBLE)) AS rs FROM w),
+        p AS (SELECT *, CASE WHEN pt THEN least(54, CAST(round_even(rs * 100, 0) AS INT)) ELSE CAST(round_even(rs * 100, 0) AS INT) END AS fit_score FROM s)
+        SELECT doc_id, role_type, round(rs, 9) AS rule_score, fit_score, {DUCK_CATEGORY.format("fit_score")} AS fit_category, pr AS is_priority_institution,
+          CAST((wt >= 0)::INT + (hi > 0)::INT + (me > 0)::INT + te::INT + pr::INT + us::INT AS INT) AS n_reasons, CAST((wt < 0)::INT + (NOT us)::INT + (ne > 0)::INT + pt::INT + 1 AS INT) AS n_warnings FROM p""",
+    "keyword_hits": f"SELECT doc_id, {', '.join(f"array_to_string(list_filter([{', '.join(f"CASE WHEN contains(t, '{x}') THEN '{x}' END" for x in v)}], lambda y: y IS NOT NULL), '|') AS {k}" for k, v in KEYWORDS.items())} FROM (SELECT doc_id, {_N} AS t FROM documents)",
+    "fit_category": f"SELECT doc_id, CAST(n_chars % 101 AS INT) AS fit_score, {_CAT} AS fit_category FROM documents",
+    "region_lookup": f"SELECT n_nationkey, r_name, replace({duck_normal('r_name')}, ' ', '_') IN ('asia', 'middle_east') AS allowed FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "priority_institution": f"SELECT s_suppkey, {duck_normal('s_name')} IN ({', '.join(f"'supplier 00000000{i}'" for i in range(1, 9))}) AS is_priority FROM supplier",
+    "deadline_window": f"SELECT o_orderkey, date_diff('day', DATE '{AS_OF}', CAST(o_orderdate AS DATE)) BETWEEN 0 AND 30 AS due_soon, CAST(o_orderdate AS DATE) < DATE '{AS_OF}' AS expired, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+    "rfc_dates": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+    "section_topk": "SELECT * FROM (SELECT o_orderpriority, o_totalprice, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders) WHERE rank <= 20",
+    "eligibility": f"""SELECT doc_id, fit_category, coalesce(CASE WHEN pt AND fit_category = 'C' THEN true WHEN fit_category IN ('A', 'B') THEN true WHEN fit_category = 'C' AND quality = 1 THEN true ELSE false END AND NOT toxic = 1, false) AS eligible
+        FROM (SELECT doc_id, {_CAT} AS fit_category, contains({_N}, 'part time') AS pt, quality, toxic FROM documents JOIN labels USING (doc_id))""",
+    "target_match": """WITH p AS (SELECT p_partkey AS ord, p_name || ' ' || p_type AS title, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS b FROM part),
+        g AS (SELECT * FROM (VALUES ('steel', ['steel'], 'brand'), ('brass part', ['part', 'brass'], 'brand 1'), ('none', ['zzz'], 'nowhere')) v(name, terms, inst)),
+        m AS (SELECT g.name, arg_min(p.title, p.ord) AS matched_title, min(p.ord) AS matched_ord FROM g JOIN p ON list_has_all(string_split(p.n, ' '), g.terms) AND (contains(p.b, g.inst) OR contains(g.inst, p.b)) GROUP BY g.name)
+        SELECT g.name, matched_title, matched_ord, matched_ord IS NOT NULL AS found FROM g LEFT JOIN m USING (name)""",
+    "merge_first_nonempty": "SELECT user_id, arg_min(event_type, {'t': ts, 'e': event_id}) FILTER (value > 50) AS first_type, max(value) AS best_value, bool_or(value > 90) AS any_high FROM events GROUP BY user_id",
+    "merge_list_union": "WITH f AS (SELECT user_id, event_type, min({'t': ts, 'e': event_id}) AS seen FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, '|' ORDER BY seen) AS types FROM f GROUP BY user_id",
+    "exact_consolidate": f"SELECT min(doc_id) AS leader, count(*) AS members FROM (SELECT doc_id, {_N} AS k FROM documents) GROUP BY k",
+    "upsert_exact": "SELECT user_id, max(ts) AS last_seen, count(*) AS n, max(value) AS best, min(ts) FILTER (ts < TIMESTAMP '1996-01-01') IS NULL AS is_new FROM events GROUP BY user_id",
+    "llm_score_formula": f"SELECT {DUCK_CATEGORY.format(f'({_SCORE})')} AS category, count(*) AS n, CAST(sum({_SCORE}) AS BIGINT) AS total FROM lineitem GROUP BY 1",
+    "run_totals": "SELECT source AS institution, count(*) AS postings, count(*) FILTER (doc_id % 2 = 0) AS in_us, CAST(max(length(text)) AS INT) AS longest FROM documents GROUP BY source",
+    "geo_source": f"SELECT n_nationkey, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{c}'" for m, c, _ in geo.BOARD_COUNTRIES)} ELSE '' END AS country, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{r}'" for m, _, r in geo.BOARD_COUNTRIES)} ELSE 'eu' END AS region FROM nation",
+    "geo_infer": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'United States' WHEN 1 THEN 'United Kingdom' WHEN 2 THEN 'Norway' ELSE '' END AS country, CASE c_custkey % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'uk' WHEN 2 THEN 'nordics' ELSE '' END AS region FROM customer",
+    "csv_record": "SELECT doc_id, source || chr(10) || lang AS lists, CAST(n_chars > 1000 AS INT) AS flag FROM documents",
+}
