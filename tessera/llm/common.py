@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes; a longer document is a pass of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 #: Rows of an Arrow batch. Texts are large rows, so batches are smaller than Spark's default.
 BATCH_ROWS = 1000
 

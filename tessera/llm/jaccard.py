@@ -39,7 +39,7 @@ from tessera.llm import common
 #: Sizes above this are never light: their subsets outnumber any list.
 LIGHT_MOST = 40
 #: Postings that a task packs at once, and of a part on average.
-FLUSH, PART = 1 << 21, 1 << 22
+FLUSH, PART = 1 << 19, 1 << 21
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 #: Words of the folded sketch that long lists carry.

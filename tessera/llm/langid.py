@@ -140,8 +140,8 @@ class Model:
         if len(start):
             em = emissions(buf, start, end, self.weights)
             first, last = chains(row)
-            for a in range(0, len(first), 4096):
-                f, z = first[a : a + 4096], last[a : a + 4096]
+            for a in range(0, len(first), 2048):
+                f, z = first[a : a + 2048], last[a : a + 2048]
                 score, mask, at = pad(f, z, em)
                 p = forward_backward(score, mask, self.trans)[0]
                 out[at[mask]] = p[mask]
