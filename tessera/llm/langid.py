@@ -233,8 +233,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep`, and lang_pred and score, of every document."""
+def predict(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, and the language and its score under `names`, of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
 
@@ -260,11 +260,11 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 best = total[ok].argmax(axis=1)
                 lang[lo + ok] = best
                 score[lo + ok] = np.clip(total[ok, best] / words[ok], 0, 1)
-            names = [m.labels[x] if x >= 0 else "und" for x in lang]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(names, pa.string()), pa.array(score)], names=[*keep, "lang_pred", "score"])
+            found = [m.labels[x] if x >= 0 else "und" for x in lang]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(found, pa.string()), pa.array(score)], names=[*keep, *names])
 
-    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + "lang_pred string, score double"
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    schema = "".join(f"`{c}` {kinds[c]}, " for c in keep) + f"{names[0]} string, {names[1]} double"
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -277,10 +277,8 @@ def identify(docs: DataFrame) -> DataFrame:
 def accept(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The documents with a language: those of no letter, or of a score below `least`, go. Rows and columns are otherwise unchanged."""
     common.tune(docs.sparkSession)
-    tag = docs.select(*docs.columns, F.col("text").alias("_text"))
-    names = docs.columns
-    out = predict(tag.drop("text").withColumnRenamed("_text", "text").select(*[c for c in names if c != "text"], "text", F.col("text").alias("_keep")), train(docs), [*[c for c in names if c != "text"], "_keep"])
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("_keep").alias("text") if c == "text" else F.col(c) for c in names])
+    out = predict(docs, train(docs), docs.columns, ("_lang", "_score"))
+    return out.where((F.col("_lang") != "und") & (F.col("_score") >= least)).select(*docs.columns)
 
 
 def op9_language(spark, sf_dir: str) -> DataFrame:
