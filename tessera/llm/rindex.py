@@ -7,8 +7,8 @@ neighbours in suffix order are computed at the ends of the transform's runs alon
 fall by one per byte): these are the block's matching statistics against itself. A match of `length` bytes or more is a repeated string.
 
 Contexts that are equal are indexed once with their count. An anchor with more than HOT different contexts (a passage that very many
-documents share, each with other surroundings) is no longer one block's work: its windows are counted by 128-bit hashes, combined before
-they are shuffled. Both ways are exact up to hash collisions.
+documents share, each with other surroundings) is no longer one block's work: its windows are counted by 128-bit hashes, combined and
+packed before they are shuffled. Both ways are exact up to hash collisions.
 
 Null text: empty. Matches never cross documents. Repeated rows repeat each other's strings. Null doc_ids are kept; extra columns do not
 take part; an empty table gives no rows.
@@ -30,6 +30,8 @@ LENGTH = 200
 #: Different contexts of an anchor in one block at most, and of a block on average.
 HOT = 256
 BLOCK = 2048
+#: Windows that a task counts at once, and of a part on average.
+FLUSH, PART = 1 << 18, 1 << 16
 
 
 def byte_symbols(buf: np.ndarray, offs: np.ndarray):
@@ -123,6 +125,106 @@ def contexts(places: DataFrame, length: int) -> DataFrame:
     return places.select("uid", "text", "places").mapInArrow(run, "h long, uid long, j long, ctx binary")
 
 
+def tally(w0: np.ndarray, w1: np.ndarray, n: np.ndarray):
+    """The order that brings equal windows together, where each one begins in it, the number of its window, and each window's count."""
+    order = np.lexsort((w1, w0))
+    a, b = w0[order], w1[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    head = np.flatnonzero(new)
+    return order, head, np.cumsum(new) - 1, np.add.reduceat(n[order], head)
+
+
+def starts_of(h: np.ndarray, cx: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """h, cx, starts: the places j of each context as one list."""
+    order = np.lexsort((j, cx, h))
+    h, cx, j = h[order], cx[order], j[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (cx[1:] != cx[:-1])
+    head = np.flatnonzero(new)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[head, len(h)], pa.int32()), pa.array(j))
+    return pa.RecordBatch.from_arrays([pa.array(h[head]), pa.array(cx[head]), lists], names=["h", "cx", "starts"])
+
+
+#: What a packed row holds of its windows: hashes, anchor, context, place there (-1: no place asks for an answer), and count.
+PACKED = ("w0", "w1", "h", "cx", "j", "n")
+
+
+def by_counts(hot: DataFrame, length: int) -> DataFrame:
+    """h, cx, starts: the repeated windows of contexts, by counts of the windows' 128-bit hashes.
+
+    A task settles the windows that repeat among the FLUSH it holds and posts each different one once, packed by part, so a window posts
+    at most once for each FLUSH windows, however many contexts share it. A part adds up the counts and answers the places that were
+    alone in their task. Parts hold PART windows at most on average, so their number grows with the windows and their size does not.
+    """
+    total = hot.agg(F.sum(F.greatest(F.length("ctx") - (length - 1), F.lit(0)).cast("long"))).first()[0] or 0
+    parts = max(1, -(-total // PART))
+
+    def settled(held: list):
+        w0, w1, h, cx, j, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        order, head, of, m = tally(w0, w1, n)
+        at = order[m[of] > 1]
+        rows = [(-1, (w0[:0], w1[:0], h[at], cx[at], j[at], n[:0]))] if len(at) else []
+        one = order[head]
+        asks = np.where(m > 1, -1, j[one])
+        part = (w0[one].view(np.uint64) % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        cols = [c[by] for c in (w0[one], w1[one], h[one], cx[one], asks, np.minimum(m, 2))]
+        there, first = np.unique(part[by], return_index=True)
+        for p, a, b in zip(there, first, np.r_[first[1:], len(by)], strict=True):
+            rows.append((int(p), tuple(c[a:b] for c in cols)))
+        data = [pa.array([r[1][i].tobytes() for r in rows], pa.binary()) for i in range(len(PACKED))]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *data], names=["part", *PACKED])
+
+    def windows(batches):
+        held, size = [], 0
+        for b in batches:
+            h, cx, n = (b.column(c).to_numpy() for c in ("h", "cx", "n"))
+            for lo, hi, buf, offs in common.text_slices(b.column("ctx").cast(pa.large_binary()).view(pa.large_string())):
+                values, row, first = byte_symbols(buf, offs)
+                g0, g1 = common.grams_hash(values, length), common.grams_hash(values, length, 0x7F4A)
+                j = np.flatnonzero(row[: len(g0)] == row[length - 1 :])
+                r = row[j]
+                held.append((common.i64(g0[j]), common.i64(g1[j]), h[lo:hi][r], cx[lo:hi][r], j - first[r], n[lo:hi][r]))
+                size += len(j)
+                if size >= FLUSH:
+                    yield settled(held)
+                    held, size = [], 0
+        if size:
+            yield settled(held)
+
+    def local(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                yield starts_of(*(np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in ("h", "cx", "j")))
+
+    def answers(batches):
+        held, part = [], None
+
+        def answer():
+            w0, w1, h, cx, j, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order, _, of, m = tally(w0, w1, n)
+            at = order[(m[of] > 1) & (j[order] >= 0)]
+            if len(at):
+                yield starts_of(h[at], cx[at], j[at])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                p = b.column("part")[i].as_py()
+                if p != part and held:
+                    yield from answer()
+                    held = []
+                part = p
+                held.append(tuple(np.frombuffer(b.column(c)[i].as_py(), np.int64) for c in PACKED))
+        if held:
+            yield from answer()
+
+    kind = "h long, cx long, starts array<long>"
+    packed = common.materialise(hot.mapInArrow(windows, "part int, " + ", ".join(f"{c} binary" for c in PACKED)), "rindex-hot")
+    shared = packed.where("part >= 0").repartition(parts, "part").sortWithinPartitions("part")
+    return packed.where("part = -1").select("h", "cx", "j").mapInArrow(local, kind).union(shared.mapInArrow(answers, kind))
+
+
 def marked(kinds: DataFrame, length: int) -> DataFrame:
     """h, cx, starts: the repeated windows of each context that occurs once."""
     per = kinds.groupBy("h").count().select("h", F.col("count").alias("per"))
@@ -137,21 +239,8 @@ def marked(kinds: DataFrame, length: int) -> DataFrame:
     cool = kinds.where(f"per between 2 and {HOT} or per = 1 and n = 1").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
     by_index = cool.groupBy("block").applyInPandas(index, "h long, cx long, starts array<long>").where("size(starts) > 0")
 
-    def windows(batches):
-        for b in batches:
-            h, cx, n = (b.column(c).to_numpy() for c in ("h", "cx", "n"))
-            for lo, hi, buf, offs in common.text_slices(b.column("ctx").cast(pa.large_binary()).view(pa.large_string())):
-                values, row, first = byte_symbols(buf, offs)
-                g0, g1 = common.grams_hash(values, length), common.grams_hash(values, length, 0x7F4A)
-                j = np.flatnonzero(row[: len(g0)] == row[length - 1 :])
-                r = row[j]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (common.i64(g0[j]), common.i64(g1[j]), h[lo:hi][r], cx[lo:hi][r], j - first[r], n[lo:hi][r])], names=["w0", "w1", "h", "cx", "j", "n"])
-
-    hot = kinds.where(f"per > {HOT}").select("h", "cx", "n", "ctx").mapInArrow(windows, "w0 long, w1 long, h long, cx long, j long, n long")
-    hot = common.materialise(hot, "rindex-hot")
-    twice = hot.groupBy("w0", "w1").agg(F.sum("n").alias("m")).where("m > 1").select("w0", "w1")
-    by_hash = hot.join(twice, ["w0", "w1"]).groupBy("h", "cx").agg(F.collect_list("j").alias("starts"))
-    return by_index.union(by_hash)
+    hot = kinds.where(f"per > {HOT}").select("h", "cx", "n", "ctx")
+    return by_index.union(by_counts(hot, length))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:

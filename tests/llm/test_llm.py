@@ -102,6 +102,9 @@ def test_rindex(docs, rows, monkeypatch):
     assert sorted((str(r[0]), *r[1:5]) for r in rindex.dedup(docs).collect()) == want
     monkeypatch.setattr(rindex, "HOT", 1)  # all by window hashes
     assert sorted((str(r[0]), *r[1:5]) for r in rindex.dedup(docs).collect()) == want
+    monkeypatch.setattr(rindex, "FLUSH", 300)  # and in many small packs
+    monkeypatch.setattr(rindex, "PART", 200)
+    assert sorted((str(r[0]), *r[1:5]) for r in rindex.dedup(docs).collect()) == want
 
 
 def test_run_index():
