@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import dates, geo, text, urls
+from tessera.functions import dates, extract, geo, text, urls
 from tessera.operators import dedupe, digest, scoring
+from tessera.sources import feeds as feed_source
 from tessera.sources import pages as page_source
 
 AS_OF = "1997-06-01"
@@ -216,9 +217,22 @@ def consolidate(spark, d):
     return dedupe.consolidate(p).select("ord", "canonical_id", "title", "description_text")
 
 
+def extract_units(spark, d):
+    prose = F.concat(F.lit("Department: "), "source", F.lit("; Employer: West "), "lang", F.lit(" Location: here. "), F.coalesce("text", F.lit("")))
+    return t(spark, d, "documents").select("doc_id", extract.unit(prose).alias("unit"), extract.institution(prose).alias("institution"))
+
+
+def feed_postings(spark, d):
+    item = F.concat(F.lit("<rss><item><title>Fellow "), "doc_id", F.lit("</title><link>https://a.org/"), "doc_id", F.lit("</link><description>Institution: "), F.coalesce("source", F.lit("")), F.lit("</description></item></rss>"))
+    none = {c: F.lit("") for c in ("name", "institution", "department", "location", "country", "region")}
+    feeds = t(spark, d, "documents").select(F.col("doc_id").alias("feed_id"), F.encode(item, "UTF-8").alias("payload")).withColumns(none)
+    return feed_source.postings(feeds).select("ord", "title", "institution", "application_url", "canonical_id")
+
+
 QUERIES = {f.__name__: f for f in (
     normalize_text, canonical_id, url_keep_first, strip_html, clean_text, url_keys, role_type, keyword_score, keyword_hits, fit_category, region_lookup, priority_institution, deadline_window, rfc_dates, section_topk, eligibility, target_match,
     merge_first_nonempty, merge_list_union, exact_consolidate, upsert_exact, llm_score_formula, run_totals, geo_source, geo_infer, csv_record, anchor_links, candidate_links, posting_pipeline, consolidate,
+    extract_units, feed_postings,
 )}
 
 _N = duck_normal("text")
@@ -273,4 +287,8 @@ ORACLES = {
     "geo_source": f"SELECT n_nationkey, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{c}'" for m, c, _ in geo.BOARD_COUNTRIES)} ELSE '' END AS country, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{r}'" for m, _, r in geo.BOARD_COUNTRIES)} ELSE 'eu' END AS region FROM nation",
     "geo_infer": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'United States' WHEN 1 THEN 'United Kingdom' WHEN 2 THEN 'Norway' ELSE '' END AS country, CASE c_custkey % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'uk' WHEN 2 THEN 'nordics' ELSE '' END AS region FROM customer",
     "csv_record": "SELECT doc_id, source || chr(10) || lang AS lists, CAST(n_chars > 1000 AS INT) AS flag FROM documents",
+    "extract_units": """SELECT doc_id, CASE WHEN source IS NULL OR lang IS NULL THEN '' ELSE 'Department of ' || source END AS unit,
+        CASE WHEN source IS NULL OR lang IS NULL THEN '' ELSE 'West ' || lang END AS institution FROM documents""",
+    "feed_postings": """SELECT doc_id * 100000 AS ord, 'Fellow ' || doc_id AS title, coalesce(source, 'Unknown institution') AS institution, 'https://a.org/' || doc_id AS application_url,
+        substr(sha256('url:a org ' || doc_id), 1, 24) AS canonical_id FROM documents""",
 }
