@@ -48,6 +48,8 @@ FOLD = 8
 SHORT = 32
 #: Pivots that a node is verified against at first.
 PIVOTS = 3
+#: Least keys that a node carries to an open list: a pair is left to a smaller list that both are known to be in.
+KEYS = 12
 #: Cost of verifying a candidate of a list against that of one posting.
 VERIFY = 3.0
 
@@ -348,9 +350,11 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     open_lists = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     rest = common.materialise(named.join(open_lists, "key").join(short, "node"), "jaccard-open")
     main = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
-    rest = rest.join(main, "key")
-    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD)))
-    more = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and {short_may_link}")
+    # Near copies share very many lists; a pair is taken from the smallest that both carry, or any below it, never from those above.
+    least = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("ks"))
+    rest = rest.join(main, "key").join(least, "node")
+    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("ks").alias("xks"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD)))
+    more = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
     more = more.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).distinct().join(known, "node").join(right, "x").where(may_link)
     more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
     second = verified(more, texts_of(docs, known, more), k, num, den)
