@@ -14,7 +14,8 @@ them; a set with more posts them all. Light sets near the boundary also enter th
 The boundary is the size at which enumerating subsets starts to cost more than posting blocks, by the histogram of sizes of all documents.
 
 Lists are scanned without emitting their pairs: three nodes of each list are its pivots; every node is verified
-against the pivots it shares most lists with; the components of these links are then joined to the lists, and only pairs of one list that lie in
+against the pivots it shares most lists with; the components of these links are then joined to the lists, nodes outside a list's most frequent component are verified against the nearest
+nodes that stand for it, in rounds, and only pairs of one list that lie in
 different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
 its parity sketches (bit h of 64 * SKETCH flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
 differ in shingles: the number of differing bits is a lower bound of that. Every pair of a list is thus verified, excluded or already
@@ -48,7 +49,9 @@ FOLD = 8
 SHORT = 32
 #: Pivots that a node is verified against at first.
 PIVOTS = 3
-#: Least keys that a node carries to an open list: a pair is left to a smaller list that both are known to be in.
+#: Times that nodes outside a list's most frequent component are verified against nodes of it before pairs are scanned.
+ROUNDS = 1
+#: Least keys of its lists that a node carries: a pair is left to a smaller list that both are known to be in.
 KEYS = 12
 #: Cost of verifying a candidate of a list against that of one posting.
 VERIFY = 3.0
@@ -316,6 +319,16 @@ def texts_of(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
     return docs.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))).groupBy("node").agg(F.min("text").alias("text"))
 
 
+def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, c of the lists, c the node's component by the links; and key, main, rep of those of more than one component: the most frequent
+    one, and a node of it that differs from list to list."""
+    found = common.components(links, "jaccard-components").select("node", "component")
+    named = common.materialise(lists.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "jaccard-named")
+    each = named.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("r"))
+    each = each.groupBy("key").agg(F.max(F.struct("n", "c", F.col("r.node").alias("rep"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep")), "jaccard-main")
+
+
 def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: components of the links of similarity num / den or more."""
     spark = docs.sparkSession
@@ -345,20 +358,29 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     pairs = best.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).union(cand.where("key = -1").select("node", F.col("p0").alias("x"))).distinct()
     pairs = common.materialise(pairs.join(known, "node").join(right, "x").where(may_link).select(F.col("node").alias("a"), F.col("x").alias("b")), "jaccard-pairs")
     first = common.materialise(verified(pairs, texts_of(docs, known, pairs), k, num, den), "jaccard-links")
-    found = common.components(first, "jaccard-components").select("node", "component")
-    named = common.materialise(lists.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "jaccard-named")
-    open_lists = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = common.materialise(named.join(open_lists, "key").join(short, "node"), "jaccard-open")
-    main = rest.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("m")).select("key", F.col("m.c").alias("main"))
+    links = first
+    named, main = in_components(lists, links)
+    for _ in range(ROUNDS):
+        # Nodes outside their list's most frequent component meet a node of it, another in each list; those nearest by sketch are verified.
+        met = named.join(main, "key").where("c <> main").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("x"), F.col("node").alias("who")).distinct()
+        near = met.join(known, "node").join(right, "x").where(may_link).select("who", F.struct(F.expr(differ).alias("d"), F.col("node").alias("a"), F.col("x").alias("b")).alias("p"))
+        near = near.groupBy("who").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
+        near = common.materialise(near, "jaccard-pairs")
+        if near.isEmpty():
+            break
+        links = common.materialise(links.union(verified(near, texts_of(docs, known, near), k, num, den)).distinct(), "jaccard-links")
+        pairs = pairs.union(near)
+        named, main = in_components(lists, links)
     # Near copies share very many lists; a pair is taken from the smallest that both carry, or any below it, never from those above.
-    least = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("ks"))
-    rest = rest.join(main, "key").join(least, "node")
-    out = rest.where("c <> main").select("key", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("ks").alias("xks"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD)))
-    more = rest.join(out, "key").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
+    carried = lists.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("ks")).join(short, "node")
+    carried = common.materialise(carried, "jaccard-carried")
+    out = named.join(main, "key").where("c <> main").select("key", "main", F.col("node").alias("x"), F.col("c").alias("cx"))
+    out = out.join(carried.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ks").alias("xks"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD))), "x")
+    more = named.join(carried, "node").join(out, "key").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
     more = more.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).distinct().join(known, "node").join(right, "x").where(may_link)
     more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
     second = verified(more, texts_of(docs, known, more), k, num, den)
-    all_links = first.select("a", "b").union(second)
+    all_links = links.select("a", "b").union(second)
     comp = common.components(all_links, "jaccard-components")
     member = nodes.select("doc_id", "node", "n_shingles").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     name = member.where("c <> 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
