@@ -176,3 +176,29 @@ def note_payload(database_id: str) -> Column:
         "Deadline": F.when(some("deadline") != "", day("deadline")),
     }
     return F.to_json(F.struct(F.struct(F.lit(database_id).alias("database_id")).alias("parent"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("properties")))
+
+
+def run_summary(run: DataFrame, saved: DataFrame, targets: DataFrame, warnings: list[str], as_of: str, generated: str, n: int = 20) -> str:
+    """The Markdown summary of a run: totals, target positions, the eligible postings in input order, source warnings and the digest's body.
+    Like the digest, it is refused with a ValueError beyond MOST eligible postings."""
+    able = run.where(eligible(run))
+    if able.limit(MOST + 1).count() > MOST:
+        raise ValueError(f"the summary has more than {MOST} postings")
+    listed = able.orderBy("ord").collect()
+    _, body = render(run, as_of, n)
+    totals = [("Current run jobs", run.count()), ("Saved jobs in local outputs", saved.count()), ("Email-eligible jobs", len(listed)), ("Source warnings", len(warnings))]
+    asked = targets.select("name", "title", "institution", "url").collect()
+    found = {r["name"]: r["matched_ord"] for r in digest.match_targets(run, targets, "ord").collect()} if asked else {}
+    hits = {r["ord"]: r for r in run.where(F.col("ord").isin([x for x in found.values() if x is not None])).collect()} if any(x is not None for x in found.values()) else {}
+    checks = []
+    for t in asked:
+        hit = hits.get(found.get(t["name"]))
+        checks += [f"- {'FOUND' if hit else 'MISSING'}: {t['name']}", f"  Target: {t['title']} - {t['institution']}", f"  URL: {t['url']}"]
+        if hit:
+            checks += [f"  Matched: {hit['title']} - {hit['institution']}", f"  Source: {hit['source_name']}", f"  Fit: {hit['fit_category']} ({hit['fit_score']}/100)", f"  Link: {hit['application_url']}"]
+    items = [x for r in listed for x in (f"- {r['fit_category']} ({r['fit_score']}/100): {r['title']} - {r['institution']}", f"  Link: {r['application_url']}")]
+    parts = {
+        "Run Totals": [f"- {k}: {v}" for k, v in totals], "Target Position Checks": checks or ["No target positions configured."], "Email-Eligible Jobs": items or ["None."],
+        "Source Warnings": [f"- {w}" for w in warnings] or ["None."], "Newsletter Body": [body.strip()],
+    }
+    return "\n".join(["# Local Summary", "", f"Generated: {generated}", *(x for k, v in parts.items() for x in ("", f"## {k}", "", *v)), ""])
