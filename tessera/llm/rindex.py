@@ -3,7 +3,7 @@
 Every document's UTF-8 bytes are sampled at anchors (100-byte runs, see repeats.py); anchors that occur once exclude the windows they stand
 for. Repeats are then factored against their reference occurrences; only windows at the factors' boundaries are left. For these, the text around
 each anchor is gathered in blocks; over a block a run-compressed Burrows-Wheeler transform is built. Longest common prefixes with the
-neighbours in suffix order are computed at the ends of the transform's runs alone, and streamed along the text from there (inside a run they
+neighbours in the whole suffix order are computed at the ends of the transform's runs alone, and streamed along the text from there (inside a run they
 fall by one per byte): these are the block's matching statistics against itself. A match of `length` bytes or more is a repeated string.
 
 Contexts that are equal are indexed once with their count. An anchor with more than HOT different contexts (a passage that very many
@@ -41,7 +41,7 @@ def byte_symbols(buf: np.ndarray, offs: np.ndarray):
 class RunIndex:
     """A run-compressed Burrows-Wheeler transform of texts joined by separators that match nothing, with matching statistics."""
 
-    def __init__(self, texts: list[bytes], limit: int) -> None:
+    def __init__(self, texts: list[bytes]) -> None:
         self.first = np.cumsum([0, *(len(t) + 1 for t in texts)])
         n = int(self.first[-1])
         s = np.zeros(n, np.int64)
@@ -49,18 +49,19 @@ class RunIndex:
             s[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int64) + 1
         ends = self.first[1:] - 1
         s[ends] = 257 + np.arange(len(ends))
-        # Ranks of 1, 2, 4, ... symbols; the last orders suffixes by `limit` symbols or more.
+        # Ranks of 1, 2, 4, ... symbols, until no two suffixes are equal: only in the whole order do matches fall by one inside runs.
         ranks, width = [s], 1
         rank = s
-        while width < limit:
+        distinct = False
+        while not distinct and n:
             nxt = np.full(n, -1, np.int64)
             nxt[: n - width] = rank[width:]
             key = rank * (int(rank.max(initial=0)) + 2) + nxt + 1
             order = np.argsort(key, kind="stable")
             new = np.empty(n, np.int64)
             k = key[order]
-            new[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1 if n else new
-            rank, width = new, 2 * width
+            new[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
+            rank, width, distinct = new, 2 * width, bool((k[1:] != k[:-1]).all())
             ranks.append(rank)
         self.n, self.ranks = n, ranks
         self.suffixes = np.argsort(rank, kind="stable")
@@ -97,7 +98,7 @@ class RunIndex:
 
 def repeated_starts(texts: list[bytes], length: int) -> list[np.ndarray]:
     """For each text, which of its windows occur at another place of any text."""
-    index = RunIndex(texts, length)
+    index = RunIndex(texts)
     hit = index.statistics() >= length
     return [hit[a : a + max(0, len(t) - length + 1)] for t, a in zip(texts, index.first, strict=False)]
 
