@@ -1,7 +1,7 @@
 """HTML extraction by a recurrent block labeller in numpy.
 
 A page is cut into leaf blocks: text between block-level tags, with the path of open tags (names, classes, ids, roles). A block's input is the
-mean of learned vectors of its hashed path parts, the mean of learned vectors of its hashed words, and a few measures (length, share in links,
+mean of learned vectors of all its hashed path parts, the mean of learned vectors of its hashed words, and a few measures (length, share in links,
 sentence ends, place). A bidirectional LSTM reads the sequence of the whole page, and a logistic unit on both states says of every block whether
 it is of the main text. Training (html_train.py) runs on pages generated from random templates, whose labels are known by construction.
 
@@ -131,7 +131,7 @@ def inputs(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[list[np.ndarr
     paths, words, n = [], [], len(found)
     measures = np.zeros((n, MEASURES), np.float32)
     for i, (path, text, links) in enumerate(found):
-        paths.append(np.array([bucket(p, PATHS) for p in path[-24:]] or [0], np.int64))
+        paths.append(np.array([bucket(p, PATHS) for p in path] or [0], np.int64))
         w = _WORD.findall(text.lower())
         words.append(np.array([bucket(x, WORDS) for x in w] or [0], np.int64))
         measures[i] = (np.log1p(len(text)) / 6, links / len(text), min(1.0, sum(map(text.count, ".!?,")) / (len(w) + 1)), i / n, (n - i) / n, len(w) < 6, text[-1] in ".!?\"'”…")

@@ -215,6 +215,19 @@ def test_html(spark):
     assert [(r["text"], r["n_chars"]) for r in got[1:]] == [("", 0), ("", 0)]
 
 
+def test_html_deep_path():
+    """An ancestor above more than 24 path parts is seen: regions that differ in it alone are told apart, and a footer's text goes."""
+    model = html.load()
+    wrap = '<div class="mx-auto max-w-7xl px-4 sm:px-6 lg:px-8 flex flex-col gap-4 items-center justify-between rounded-lg border bg-white shadow-sm dark:bg-gray">'
+    body = "<article>" + "<p>The council met on Monday to discuss the new bridge, and voted for it.</p>" * 4 + "</article>"
+    prose = "<p>We have been here for a long time, and we like what we do.</p>" * 2
+    found = {tag: html.blocks(f"<html><body>{body}<{tag}>{wrap}{prose}</div></{tag}></body></html>") for tag in ("footer", "article")}
+    assert all(len(f[-1][0]) > 25 for f in found.values())
+    p = {tag: html.label([html.inputs(f)], model)[0] for tag, f in found.items()}
+    assert p["footer"][4] + 0.1 < p["article"][4] and p["footer"][5] + 0.1 < p["article"][5]
+    assert (p["footer"][:4] > 0.5).all() and (p["footer"][4:] < 0.5).all()
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (jaccard.join, rlz.dedup, rindex.dedup, secrets.scan, mixing.mix, packing.pack, langid.identify):
