@@ -7,8 +7,10 @@ takes the rest. The histogram of piece lengths, at most `capacity` numbers, goes
 
 over configurations p (multisets of lengths of total at most the capacity) is solved by multiplicative weights: lengths have prices, the
 best configuration for the prices is found by bounded knapsack dynamic programming, is used as far as the demand allows, and the prices
-of the lengths it covers fall. The solution is rounded down, and what is left is packed by best fit. Configurations and the histogram are
-bounded by the capacity, not by the data; pieces find their sequence by their rank among the pieces of their length.
+of the lengths it covers fall. The rounds are a fixed number with no test of convergence: with about as many lengths as the capacity the
+program covers next to nothing, a fixed number of knapsack fills follows, and best fit packs most pieces, not a bounded rest (figures in the
+README). Configurations and the histogram are bounded by the capacity, not by the data; pieces find their sequence by their rank among the
+pieces of their length.
 
 Nulls: a null text is the empty text, one piece that holds the end id alone. Repeated rows are packed each; a null doc_id is kept. An
 empty table gives no rows. Extra columns do not take part.
@@ -139,8 +141,8 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     """Configurations with their whole numbers of uses; together they hold every count exactly.
 
     Prices start at the lengths' own share of a sequence and fall for covered lengths by the multiplicative weights rule; x_p is the number
-    of times a configuration is priced best, scaled to the demand, rounded down. What rounding left is priced by length alone until
-    best fit packs a bounded rest.
+    of times a configuration is priced best, scaled to the demand, rounded down. What that left is priced by length alone for at most
+    4 * rounds fills; best fit packs all that is left then, which is most of a histogram of many lengths.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
     out: list[tuple[np.ndarray, int]] = []
