@@ -329,8 +329,8 @@ def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep")), "jaccard-main")
 
 
-def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document: components of the links of similarity num / den or more."""
+def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, hash of the text, n_shingles, component_id of every row: components of the links of similarity num / den or more."""
     spark = docs.sparkSession
     common.tune(spark)
     docs = docs.select("doc_id", "text")
@@ -382,15 +382,24 @@ def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFram
     second = verified(more, texts_of(docs, known, more), k, num, den)
     all_links = links.select("a", "b").union(second)
     comp = common.components(all_links, "jaccard-components")
-    member = nodes.select("doc_id", "node", "n_shingles").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    member = nodes.select("doc_id", "th", "node", "n_shingles").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     name = member.where("c <> 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    return member.join(name, "c", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member.join(name, "c", "left").select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def join(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document: components of the links of similarity num / den or more."""
+    return grouped(docs, k, num, den).drop("th")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with one kept of each component: the one with the smallest doc_id. A row without doc_id stays, as its identity is unknown."""
-    found = join(docs, k, num, den).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents with one kept of each component: the one with the smallest doc_id. A row without doc_id stays, as its identity is unknown.
+
+    A row is its doc_id and text: a doc_id with two texts loses only the one whose own component has another document to keep. Rows that
+    repeat a kept doc_id in its component stay.
+    """
+    found = grouped(docs, k, num, den).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_text")).distinct()
+    return docs.join(found, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_gone_text")), "left_anti").select(*docs.columns)
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -79,6 +79,16 @@ def test_jaccard_small_sets(spark):
                 assert got[i] == got[j]
 
 
+def test_keep_one_doc_id_with_two_texts(spark):
+    """doc_id 5 is the first of one group and a near copy in another; only the near copy goes, and each group keeps a document."""
+    r = random.Random(8)
+    one, two = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(80)) for _ in range(2))
+    rows = [(1, two), (5, two + " end"), (5, one), (7, one + " end"), (9, None), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x[0], x[1]) for x in jaccard.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, two), (5, one), (9, None), (None, one)], key=str)
+
+
 def marked(seqs, n):
     seen = Counter(s[j : j + n] for s in seqs for j in range(len(s) - n + 1))
     for s in seqs:
