@@ -29,6 +29,7 @@ MODEL = os.path.join(os.path.dirname(__file__), "html_model.npz")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe textarea select title object canvas math".split())
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 #: A new one of these ends an open one.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -43,7 +44,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list[tuple[tuple[str, ...], str, int]] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
-    links, done, n, low = 0, 0, len(page), None
+    links, done, n = 0, 0, len(page)
     in_link = 0
 
     def flush() -> None:
@@ -73,14 +74,12 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in RAW:
             if m[1] or m[3].endswith("/"):
                 continue
-            if low is None:
-                low = page.lower() if len(page.lower()) == n else page
-            end = low.find(f"</{name}", pos)
-            if end < 0:
+            end = _RAW_END[name].search(page, pos)
+            if not end:
                 if name in ("script", "style", "template", "noscript"):
                     break
                 continue
-            close = page.find(">", end)
+            close = page.find(">", end.start())
             pos = n if close < 0 else close + 1
             continue
         if name in INLINE:

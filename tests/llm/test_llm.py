@@ -238,6 +238,12 @@ def test_html_deep_path():
     assert (p["footer"][:4] > 0.5).all() and (p["footer"][4:] < 0.5).all()
 
 
+def test_html_end_tag_in_capitals():
+    """A page whose length changes when lowered still ends its scripts and styles."""
+    found = html.blocks("<html><body><SCRIPT>x = 1</SCRIPT><STYLE>p {}</STYLE><p>\u0130stanbul'da bug\u00fcn</p><title>t</Title><p>son</p></body></html>")
+    assert [t for _, t, _ in found] == ["\u0130stanbul'da bug\u00fcn", "son"]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for f in (jaccard.join, rlz.dedup, rindex.dedup, secrets.scan, mixing.mix, packing.pack, langid.identify):
