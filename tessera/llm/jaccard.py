@@ -40,7 +40,11 @@ from tessera.llm import common
 #: Sizes above this are never light: their subsets outnumber any list.
 LIGHT_MOST = 40
 #: Postings that a task packs at once, and of a part on average.
-FLUSH, PART = 1 << 19, 1 << 21
+FLUSH, PART = 1 << 19, 1 << 19
+#: Shuffle partitions that parts are dealt to at most; a partition takes its parts one after the other.
+PARTITIONS = 20_000
+#: Pairs of short lists that a task holds at once.
+SLICE = 1 << 20
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 #: Words of the folded sketch that long lists carry.
@@ -246,21 +250,21 @@ def scanned(packed: DataFrame, parts: int) -> DataFrame:
             if not len(key):
                 return
             head = np.cumsum(size) - size
-            low, high = node[head], node[head + size - 1]
-            odd = common.mix(node.view(np.uint64))
-            # Short lists: the distinct pairs of the part's lists, by the distance of two places in a list.
-            short = np.repeat(size <= SHORT, size)
-            at, left = np.arange(len(key)), np.repeat(head + size, size)
-            met = [np.zeros(0, PAIR)]
-            for gap in range(1, SHORT):
-                i = np.flatnonzero(short & (at + gap < left))
-                if not len(i):
-                    break
-                both = np.empty(len(i), PAIR)
-                both["a"], both["b"] = node[i], node[i + gap]
-                met.append(distinct(both))
-            met = distinct(np.concatenate(met))
-            yield from rows(np.full(len(met), -1), met["a"], met["b"], met["b"], met["b"])
+            # Short lists: distinct pairs in slices of at most SLICE pairs, lists of one least node together, so that repeats meet in a slice.
+            i = np.flatnonzero((size <= SHORT))
+            i = i[np.lexsort((node[head + size - 1][i], node[head][i]))]
+            made = np.cumsum(size[i] * (size[i] - 1) // 2)
+            for lists_ in np.split(i, np.flatnonzero(np.diff(made // SLICE)) + 1):
+                first, n = head[lists_], size[lists_]
+                met = [np.zeros(0, PAIR)]
+                for gap in range(1, int(n.max(initial=1))):
+                    m = np.maximum(n - gap, 0)
+                    at = np.repeat(first, m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                    both = np.empty(len(at), PAIR)
+                    both["a"], both["b"] = node[at], node[at + gap]
+                    met.append(both)
+                met = distinct(np.concatenate(met))
+                yield from rows(np.full(len(met), -1), met["a"], met["b"], met["b"], met["b"])
             # Long lists: three pivots, the third by another order.
             long_ = size > SHORT
             low, high = node[head], node[head + size - 1]
@@ -286,7 +290,7 @@ def scanned(packed: DataFrame, parts: int) -> DataFrame:
         if keys:
             yield from lists(part, keys, nodes)
 
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, p0 long, p1 long, p2 long")
+    return packed.repartition(min(parts, PARTITIONS), "part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, p0 long, p1 long, p2 long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
