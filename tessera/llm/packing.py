@@ -5,12 +5,11 @@ takes the rest. The histogram of piece lengths, at most `capacity` numbers, goes
 
     min sum x_p  with  sum x_p a_p[l] >= count[l]
 
-over configurations p (multisets of lengths of total at most the capacity) is solved by multiplicative weights: lengths have prices, the
-best configuration for the prices is found by bounded knapsack dynamic programming, is used as far as the demand allows, and the prices
-of the lengths it covers fall. The rounds are a fixed number with no test of convergence: with about as many lengths as the capacity the
-program covers next to nothing, a fixed number of knapsack fills follows, and best fit packs most pieces, not a bounded rest (figures in the
-README). Configurations and the histogram are bounded by the capacity, not by the data; pieces find their sequence by their rank among the
-pieces of their length.
+over configurations p (multisets of lengths of total at most the capacity) is solved by multiplicative weights: lengths have prices, a
+configuration within a stated share of the best for the prices is found by bounded knapsack dynamic programming, and the prices of the lengths it
+covers fall, until every length is covered. The solution is scaled to the demand and rounded: configurations filled at least as far as on average
+are used their whole numbers of times and once more where their pieces are left. Best fit packs what rounding left. Configurations and the histogram are bounded by the
+capacity, not by the data; pieces find their sequence by their rank among the pieces of their length.
 
 Nulls: a null text is the empty text, one piece that holds the end id alone. Repeated rows are packed each; a null doc_id is kept. An
 empty table gives no rows. Extra columns do not take part.
@@ -31,6 +30,8 @@ from tessera.llm import common
 CAPACITY = 2048
 #: Pieces that one window ranks, about.
 CELL = 10_000
+#: Lengths that a round of the program prices: so many of the least covered ones, and so many drawn ones.
+LEAST, MORE = 48, 24
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -40,7 +41,8 @@ class Encoder:
     """Token ids of a byte-level BPE file as tokenizers gives them.
 
     Such a file splits a text before every space that a non-space follows, so the ids of the pieces between these places, joined, are the
-    ids of the text; pieces repeat, so their ids are remembered. A piece not yet met goes through the merges of the same file.
+    ids of the text; pieces repeat, so their ids are remembered, those of a text's first piece, which has no space before it, apart. A piece not
+    yet met goes through the merges of the same file. A text in which an added token is spelled out goes to tokenizers whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,31 +51,36 @@ class Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         letter = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        ranks = {bytes(letter[c] for c in t): i for t, i in whole.get_vocab(with_added_tokens=False).items() if all(c in letter for c in t) and not t.startswith("<|endof")}
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        ranks = {bytes(letter[c] for c in t): i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if all(c in letter for c in t) and t not in self.added}
         self.bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(r" (?=\S)").split
-        self.cache: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}
 
-    def new(self, piece: str, key: str) -> bytes:
+    def new(self, piece: str, known: dict[str, bytes], key: str) -> bytes:
         ids = np.array(self.bpe.encode_ordinary(piece), dtype="<u4").tobytes()
         if len(key) <= 40:
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            self.cache[key] = ids
+            if len(known) >= CACHE_WORDS:
+                known.clear()
+            known[key] = ids
         return ids
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
+        if any(t in text for t in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         first, *rest = text.split(" ") if "  " not in text and text.isprintable() else self.cut(text)
-        get, out = self.cache.get, [self.new(first, "\0" + first)]
+        get, ids = self.others.get, self.firsts.get(first)
+        out = [self.new(first, self.firsts, first) if ids is None else ids]
         for piece in rest:
             ids = get(piece)
-            out.append(self.new(" " + piece, piece) if ids is None else ids)
+            out.append(self.new(" " + piece, self.others, piece) if ids is None else ids)
         return b"".join(out)
 
 
@@ -109,88 +116,120 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, left: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The configuration of the highest price, by dynamic programming over the filled length; no length more often than is left.
+def best_configuration(price: np.ndarray, most: np.ndarray, lengths: np.ndarray, capacity: int, slack: float = 0.03) -> tuple[np.ndarray, float]:
+    """A configuration of almost the highest price and that price, by dynamic programming over the exactly filled length; no length more often
+    than `most`. Of the fills whose price is within `slack` of the best, the longest.
 
     An item is one of the lengths taken 1, 2, 4, ... times (binary splitting), so each row of the table is one numpy step.
     """
-    value = np.zeros(capacity + 1)
+    value = np.full(capacity + 1, -np.inf)
+    value[0] = 0.0
     items, took = [], []
-    for i in np.flatnonzero(left > 0):
-        k, rest = 1, int(min(left[i], capacity // lengths[i]))
+    for i, size in enumerate(lengths.tolist()):
+        k, rest = 1, int(min(most[i], capacity // size))
         while rest > 0:
-            k_ = min(k, rest)
-            w = int(lengths[i]) * k_
-            better = np.zeros(capacity + 1, bool)
-            trial = value[: capacity + 1 - w] + price[i] * k_
-            better[w:] = trial > value[w:]
-            value[w:] = np.where(better[w:], trial, value[w:])
-            items.append((i, k_, w))
+            k = min(k, rest)
+            trial = value[: capacity + 1 - size * k] + price[i] * k
+            better = trial > value[size * k :]
+            np.copyto(value[size * k :], trial, where=better)
+            items.append((i, k, size * k))
             took.append(better)
-            rest -= k_
+            rest -= k
             k *= 2
-    out, at = np.zeros(len(lengths), np.int64), int(np.argmax(value))
-    for (i, k_, w), better in zip(reversed(items), reversed(took), strict=True):
-        if better[at]:
-            out[i] += k_
+    at = int(np.flatnonzero(value >= (1 - slack) * value.max())[-1])
+    out, worth = np.zeros(len(lengths), np.int64), float(value[at])
+    for (i, k, w), better in zip(reversed(items), reversed(took), strict=True):
+        if at >= w and better[at - w]:
+            out[i] += k
             at -= w
+    return out, worth
+
+
+#: A configuration: the places of its lengths, how often it takes each, and its uses.
+Use = tuple[np.ndarray, np.ndarray, float]
+
+
+def program(lengths: np.ndarray, demand: np.ndarray, capacity: int, passes: float = 1.0, eps: float = 0.08, rate: float = 1.0, seed: int = 11) -> tuple[list[Use], float, float]:
+    """The covering program by multiplicative weights: configurations with uses that cover every demand, their number over the dual bound's
+    (1 is the optimum), and the dual bound on the number of sequences.
+
+    A length's weight falls by exp(-rate) for each time that its demand is covered. A round prices the LEAST least covered lengths and MORE
+    drawn ones; weights only fall, so the best price seen over all lengths bounds all later ones, and a configuration within `eps` of the bound will do;
+    otherwise all lengths are priced and the bound is renewed. The configuration found is used until one of its lengths is covered once more.
+    """
+    n, rng = len(lengths), np.random.default_rng(seed)
+    covered, tie = np.zeros(n), rng.random(n) / 2
+    found: dict[bytes, float] = {}
+    bound, dual = np.inf, 0.0
+    while covered.min() < passes:
+        weight = np.exp(-rate * covered)
+        bound = min(bound, capacity * weight.max())
+        at = np.union1d(np.argpartition(covered + tie, LEAST)[:LEAST], rng.integers(0, n, MORE)) if n > LEAST + MORE else np.arange(n)
+        p, worth = best_configuration((lengths * weight)[at], demand[at], lengths[at], capacity)
+        if worth < (1 - eps) * bound and len(at) < n:
+            at = np.arange(n)
+            p, worth = best_configuration(lengths * weight, demand, lengths, capacity)
+            bound = worth / (1 - 0.03)
+        dual = max(dual, float((demand * lengths * weight).sum()) / bound)
+        at, times = at[p > 0], p[p > 0]
+        step = float((demand[at] / times).min())
+        key = np.stack([at, times]).astype(np.int64).tobytes()
+        found[key] = found.get(key, 0.0) + step
+        covered[at] += times * step / demand[at]
+    uses = [(*np.frombuffer(k, np.int64).reshape(2, -1), x) for k, x in found.items()]
+    return uses, sum(x for *_, x in uses) / float(covered.min()) / dual, dual
+
+
+def rounded(uses: list[Use], lengths: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers of uses of the configurations that are filled at least as far as the solution is on average; what they place leaves `left`.
+
+    Uses are scaled to the demand and rounded down, and then, the largest rest first, rounded up where all of the configuration is still left.
+    """
+    fill = [int((lengths[at] * times).sum()) for at, times, _ in uses]
+    volume = sum(x * f for (*_, x), f in zip(uses, fill, strict=True))
+    scale, mean = float((left * lengths).sum()) / volume, volume / sum(x for *_, x in uses)
+    kept = sorted(((at, times, x * scale) for (at, times, x), f in zip(uses, fill, strict=True) if f >= mean - 1e-6), key=lambda u: -u[2])
+    out, rests = [], []
+    for at, times, x in kept:
+        n = int(min(np.floor(x), (left[at] // times).min()))
+        left[at] -= n * times
+        rests.append((x - n, at, times, n))
+    for _, at, times, n in sorted(rests, key=lambda r: -r[0]):
+        if (left[at] >= times).all():
+            left[at] -= times
+            n += 1
+        if n:
+            whole = np.zeros(len(lengths), np.int64)
+            whole[at] = times
+            out.append((whole, n))
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 48, eps: float = 0.35) -> list[tuple[np.ndarray, int]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seen: dict | None = None) -> list[tuple[np.ndarray, int]]:
     """Configurations with their whole numbers of uses; together they hold every count exactly.
 
-    Prices start at the lengths' own share of a sequence and fall for covered lengths by the multiplicative weights rule; x_p is the number
-    of times a configuration is priced best, scaled to the demand, rounded down. What that left is priced by length alone for at most
-    4 * rounds fills; best fit packs all that is left then, which is most of a histogram of many lengths.
+    Pieces of a whole sequence are configurations of their own. The program is solved for all others and rounded; what rounding left goes by best
+    fit into the room that the rounded configurations have and into further sequences. seen: takes the pieces that the rounded program
+    placed, those it was given, its gap and its bound.
     """
     lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
-    out: list[tuple[np.ndarray, int]] = []
-    full = lengths == capacity
-    for i in np.flatnonzero(full):
+    left, out = np.where(lengths == capacity, 0, counts), []
+    for i in np.flatnonzero((lengths == capacity) & (counts > 0)):
         one = np.zeros(len(lengths), np.int64)
         one[i] = 1
         out.append((one, int(counts[i])))
-    left = np.where(full, 0, counts)
-    base = lengths / capacity
-    found: dict[bytes, int] = {}
-    weight = np.ones(len(lengths))
-    if left.sum() > 0:
-        demand = left.astype(float)
-        cover = np.zeros(len(lengths))
-        for _ in range(rounds):
-            p = best_configuration(base * weight, left, lengths, capacity)
-            if not p.any():
-                break
-            found[p.tobytes()] = found.get(p.tobytes(), 0) + 1
-            width = min(demand[i] / p[i] for i in np.flatnonzero(p))
-            hit = p * width / np.maximum(demand, 1)
-            cover += hit
-            weight *= np.exp(-eps * hit)
-            weight = np.maximum(weight / weight.max(), 1e-6)
-        for key, times in sorted(found.items(), key=lambda x: -x[1]):
-            p = np.frombuffer(key, np.int64)
-            nz = np.flatnonzero(p)
-            x = min(float(demand[i] / p[i]) * times / rounds for i in nz)
-            uses = int(min(np.floor(x), min(left[i] // p[i] for i in nz)))
-            if uses > 0:
-                out.append((p.copy(), uses))
-                left = left - p * uses
-    for _ in range(4 * rounds):  # what rounding left: the same program with prices by length, long pieces first
-        if left.sum() <= 4096:
-            break
-        p = best_configuration(base * (1 + 1e-3 * lengths / capacity), left, lengths, capacity)
-        nz = np.flatnonzero(p)
-        if not len(nz) or (p * lengths).sum() < 0.999 * capacity:
-            break
-        uses = int(min(left[i] // p[i] for i in nz))
-        out.append((p, uses))
-        left = left - p * uses
-    return out + best_fit(lengths, left, capacity)
-
-
-def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best-fit decreasing over a histogram; equal sequences are counted together.
+    some, given = np.flatnonzero(left > 0), int(left.sum())
+    if not given:
+        return out
+    uses, gap, dual = program(lengths[some], left[some], capacity)
+    placed = rounded([(some[at], times, x) for at, times, x in uses], lengths, left)
+    if seen is not None:
+        seen |= {"given": given, "placed": given - int(left.sum()), "gap": gap, "bound": dual}
+    return out + best_fit(lengths, left, capacity, placed)
+
+
+def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, opened: list[tuple[np.ndarray, int]] | None = None) -> list[tuple[np.ndarray, int]]:
+    """Best-fit decreasing over a histogram, into the room of the `opened` sequences first; equal sequences are counted together.
 
     Every open sequence of a kind is filled at once: a group of g equal sequences with free room f takes up to g pieces of a length.
     """
@@ -204,7 +243,8 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
             bisect.insort(free, f)
         rooms[f].append([p, g])
 
-    done: list[tuple[np.ndarray, int]] = []
+    for p, g in opened or []:
+        put(capacity - int((p * lengths).sum()), p, g)
     for i in order:
         size, n = int(lengths[i]), int(counts[i])
         while n > 0:
@@ -231,8 +271,7 @@ def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tup
                 put(f, p, g - used)
             put(f - size, q, used)
             n -= used
-    done = [(p, g) for groups in rooms.values() for p, g in groups]
-    return done
+    return [(p, g) for groups in rooms.values() for p, g in groups]
 
 
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
