@@ -54,9 +54,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key() -> "F.Column":
-    """Identifies a row by its doc_id and text; repeated rows share it, and so share their fate."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """uid and row (a struct of all columns), written and read back: a number for every row, repeated rows included, that no other row has."""
+    return materialise(df.select(F.monotonically_increasing_id().alias("uid"), F.struct(*df.columns).alias("row")), name)
+
+
+#: A key with more than this share of the rows is hot, so there are fewer than 1 / HOT_SHARE hot keys, and these are broadcast.
+HOT_SHARE = 0.001
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, keep: tuple[str, ...]) -> DataFrame:
+    """left joined to right, which has each key once, and in `n` no less than the number of rows of left with it; total: rows of left.
+
+    Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE rows where they lie; all others are dealt by key.
+    """
+    right = right.select(*keys, n, *(c for c in keep if c != n))
+    hot = F.broadcast(right.where(F.col(n) > total * HOT_SHARE))
+    cold = right.where(F.col(n) <= total * HOT_SHARE)
+    out = [*left.columns, *keep]
+    return left.join(hot, keys).select(*out).union(left.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*out))
 
 
 # --- text as numpy ---------------------------------------------------------------------------------------------------

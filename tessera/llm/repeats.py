@@ -48,32 +48,33 @@ def anchors(docs: DataFrame, symbols, k: int, w: int) -> DataFrame:
                 if len(h):
                     yield pa.RecordBatch.from_arrays([pa.array(common.i64(h)), pa.array(uid[lo:hi][r]), pa.array(place)], names=["h", "uid", "at"])
 
-    return docs.select(common.row_key().alias("uid"), "text").mapInArrow(run, "h long, uid long, at long")
+    return docs.select("uid", "text").mapInArrow(run, "h long, uid long, at long")
 
 
 def repeated(docs: DataFrame, symbols, k: int, w: int, name: str) -> DataFrame:
-    """h, uid, at of the anchors that occur more than once, each place of a document once, with another occurrence (ref, ref_at) of it.
+    """h, uid, at of the anchors that occur more than once, with their number n and another occurrence (ref, ref_at).
 
-    The reference is the least occurrence, or for itself the greatest; where both are the same place, repeated rows hold it. Counts
-    and extremes are combined before they are shuffled.
+    The reference is the least occurrence, or for itself the greatest. Counts and extremes are combined before they are shuffled, and hot
+    anchors are looked up where they lie.
     """
     all_ = common.materialise(anchors(docs, symbols, k, w), f"{name}-anchors")
-    twice = all_.groupBy("h").count().where("count > 1").select("h")
-    some = common.materialise(all_.join(twice, "h").distinct(), f"{name}-repeated")
+    twice = common.materialise(all_.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-twice")
+    some = common.materialise(common.lookup(all_, twice, ["h"], "n", all_.count(), ("n",)), f"{name}-repeated")
     place = F.struct("uid", F.shiftright("at", SHIFT).alias("pos"))
-    ends = some.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    ends = some.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("m"))
     own = (F.col("lo.uid") == F.col("uid")) & (F.col("lo.pos") == F.shiftright("at", SHIFT))
     ref = F.when(own, F.col("hi")).otherwise(F.col("lo"))
-    return some.join(ends, "h").select("h", "uid", "at", ref["uid"].alias("ref"), ref["pos"].alias("ref_at"))
+    found = common.lookup(some, ends, ["h"], "m", some.count(), ("lo", "hi"))
+    return found.select("h", "uid", "at", "n", ref["uid"].alias("ref"), ref["pos"].alias("ref_at"))
 
 
 def factors(found: DataFrame, k: int, length: int, name: str) -> DataFrame:
     """Greedy parse of each document against the reference occurrences: uid, starts and ends of factors of `length` or more, and the anchors
-    (open_h, open_at) with a window that no such factor holds: the factor boundaries, which are checked by other means.
+    (open: hash and number) with a window that no such factor holds: the factor boundaries, which are checked by other means.
 
     A factor runs on while consecutive anchors have the same reference document at the same distance and their k-grams leave no gap.
     """
-    lists = found.groupBy("uid").agg(F.collect_list(F.struct("at", "h", "ref", "ref_at")).alias("a"))
+    lists = found.groupBy("uid").agg(F.collect_list(F.struct("at", "h", "ref", "ref_at", "n")).alias("a"))
 
     def run(batches):
         for b in batches:
@@ -82,10 +83,10 @@ def factors(found: DataFrame, k: int, length: int, name: str) -> DataFrame:
             a = b.column(1)
             offs = a.offsets.to_numpy()
             flat = a.values.slice(offs[0], offs[-1] - offs[0])
-            at, h, ref, ref_at = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            at, h, ref, ref_at, times = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
             doc = np.repeat(np.arange(b.num_rows), np.diff(offs))
             order = np.lexsort((at, doc))
-            at, h, ref, ref_at = at[order], h[order], ref[order], ref_at[order]
+            at, h, ref, ref_at, times = at[order], h[order], ref[order], ref_at[order], times[order]
             pos, jlo, jhi = at >> SHIFT, (at >> SHIFT) - ((at >> 8) & 255), (at >> SHIFT) - (at & 255)
             new = np.ones(len(at), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (ref[1:] != ref[:-1]) | (ref_at[1:] - pos[1:] != ref_at[:-1] - pos[:-1]) | (pos[1:] - pos[:-1] > k)
@@ -97,17 +98,20 @@ def factors(found: DataFrame, k: int, length: int, name: str) -> DataFrame:
             open_ = ~(long_[of] & (jlo >= start[of]) & (jhi + length <= end[of]))
             s, o = np.flatnonzero(long_), np.flatnonzero(open_)
             s_cut, o_cut = (np.searchsorted(x, np.arange(b.num_rows + 1)) for x in (doc[head][s], doc[o]))
-            cols = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v)) for c, v in ((s_cut, start[s]), (s_cut, end[s]), (o_cut, h[o]), (o_cut, at[o]))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["uid", "starts", "ends", "open_h", "open_at"])
+            cols = [pa.ListArray.from_arrays(pa.array(c, pa.int32()), pa.array(v)) for c, v in ((s_cut, start[s]), (s_cut, end[s]))]
+            opened = pa.StructArray.from_arrays([pa.array(h[o]), pa.array(times[o])], ["h", "n"])
+            cols.append(pa.ListArray.from_arrays(pa.array(o_cut, pa.int32()), opened))
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["uid", "starts", "ends", "open"])
 
-    return common.materialise(lists.mapInArrow(run, "uid long, starts array<long>, ends array<long>, open_h array<long>, open_at array<long>"), f"{name}-factors")
+    return common.materialise(lists.mapInArrow(run, "uid long, starts array<long>, ends array<long>, open array<struct<h: long, n: long>>"), f"{name}-factors")
 
 
 def at_boundaries(found: DataFrame, parsed: DataFrame) -> DataFrame:
     """uid and places (h, at) of all occurrences of the anchors that are open anywhere: an equal window may lie inside a factor elsewhere."""
-    wanted = parsed.select(F.explode("open_h").alias("h")).distinct()
-    return found.select("h", "uid", "at").join(wanted, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("places"))
+    wanted = parsed.select(F.explode("open").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.max("o.n").alias("n"))
+    places = common.lookup(found.select("h", "uid", "at"), wanted, ["h"], "n", found.count(), ())
+    return places.groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("places"))
 
 
 def with_text(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    return docs.select("doc_id", "text", common.row_key().alias("uid")).join(lists, "uid", how)
+    return docs.join(lists, "uid", how)

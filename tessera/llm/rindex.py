@@ -30,6 +30,8 @@ LENGTH = 200
 #: Different contexts of an anchor in one block at most, and of a block on average.
 HOT = 256
 BLOCK = 2048
+#: Tasks that blocks are dealt to at most.
+MOST_TASKS = 20_000
 #: Windows that a task counts at once, and of a part on average.
 FLUSH, PART = 1 << 18, 1 << 16
 
@@ -228,8 +230,8 @@ def by_counts(hot: DataFrame, length: int) -> DataFrame:
 
 def marked(kinds: DataFrame, length: int) -> DataFrame:
     """h, cx, starts: the repeated windows of each context that occurs once."""
-    per = kinds.groupBy("h").count().select("h", F.col("count").alias("per"))
-    kinds = common.materialise(kinds.join(per, "h"), "rindex-kinds")
+    per = kinds.groupBy("h").agg(F.count("*").alias("per"))
+    kinds = common.materialise(common.lookup(kinds, per, ["h"], "per", kinds.count(), ("per",)), "rindex-kinds")
     n = kinds.where(f"per <= {HOT}").count()
     blocks = max(1, n // BLOCK)
 
@@ -238,7 +240,8 @@ def marked(kinds: DataFrame, length: int) -> DataFrame:
         return pd.DataFrame({"h": pdf["h"], "cx": pdf["cx"], "starts": [np.flatnonzero(x) for x in hits]})
 
     cool = kinds.where(f"per between 2 and {HOT} or per = 1 and n = 1").withColumn("block", F.pmod(F.xxhash64("h"), F.lit(blocks)))
-    by_index = cool.groupBy("block").applyInPandas(index, "h long, cx long, starts array<long>").where("size(starts) > 0")
+    # Dealt explicitly: blocks are small but costly, so they are not to be put together by their bytes.
+    by_index = cool.repartition(min(blocks, MOST_TASKS), "block").groupBy("block").applyInPandas(index, "h long, cx long, starts array<long>").where("size(starts) > 0")
 
     hot = kinds.where(f"per > {HOT}").select("h", "cx", "n", "ctx")
     return by_index.union(by_counts(hot, length))
@@ -249,35 +252,32 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common.tune(docs.sparkSession)
     w = (length + 1) // 2
     k = length + 1 - w
-    docs = docs.select("doc_id", "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    docs = common.numbered(docs.select("doc_id", "text"), "rindex-rows").select("uid", "row.doc_id", "row.text")
     found = common.materialise(repeats.repeated(docs, byte_symbols, k, w, "rindex"), "rindex-found")
     parsed = repeats.factors(found, k, length, "rindex")
-    places = repeats.with_text(docs.distinct(), repeats.at_boundaries(found, parsed))
+    places = repeats.with_text(docs, repeats.at_boundaries(found, parsed))
     around = common.materialise(contexts(places, length).withColumn("cx", F.xxhash64("ctx")), "rindex-contexts")
     kinds = around.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min("ctx").alias("ctx"))
     kinds = common.materialise(kinds, "rindex-counted")
     part = common.materialise(marked(kinds, length), "rindex-marked")
     whole = kinds.where("n > 1").select("h", "cx", F.sequence(F.lit(0).cast("long"), F.length("ctx").cast("long") - length).alias("starts"))
-    hits = part.union(whole).groupBy("h", "cx").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    more = around.select("h", "cx", "uid", "j").join(hits, ["h", "cx"]).select("uid", F.transform("starts", lambda x: x + F.col("j")).alias("js"))
+    hits = part.union(whole).groupBy("h", "cx").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(kinds.select("h", "cx", "n"), ["h", "cx"])
+    more = common.lookup(around.select("h", "cx", "uid", "j"), hits, ["h", "cx"], "n", around.count(), ("starts",)).select("uid", F.transform("starts", lambda x: x + F.col("j")).alias("js"))
     more = more.groupBy("uid").agg(F.flatten(F.collect_list("js")).alias("js"))
-    copies = docs.groupBy(common.row_key().alias("uid")).count().where("count > 1").select("uid")
-    spans = parsed.select("uid", "starts", "ends").join(more, "uid", "left").join(copies.withColumn("again", F.lit(True)), "uid", "left")
+    spans = parsed.select("uid", "starts", "ends").join(more, "uid", "left")
     joined = repeats.with_text(docs, spans, "left")
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
             rows = []
-            starts, ends, js, again = (b.column(c) for c in ("starts", "ends", "js", "again"))
+            starts, ends, js = (b.column(c) for c in ("starts", "ends", "js"))
             for i, text in enumerate(b.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 n = len(raw)
                 j = np.array(js[i].as_py() or [], np.int64)
                 s, t = (np.array(c[i].as_py() or [], np.int64) for c in (starts, ends))
                 off = common.cover(n, np.r_[s, j], np.r_[t, j + length]) if len(s) + len(j) else np.zeros(n, bool)
-                if again[i].as_py() and n >= length:
-                    off[:] = True
                 kept = np.frombuffer(raw, np.uint8)[~off].tobytes()
                 runs = int(off[0] + (off[1:] & ~off[:-1]).sum()) if n else 0
                 rows.append((n, n - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept))
@@ -285,7 +285,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             kinds_ = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds_, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.select("doc_id", "text", "starts", "ends", "js", "again").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.select("doc_id", "text", "starts", "ends", "js").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_rindex(spark, sf_dir: str) -> DataFrame:

@@ -55,22 +55,21 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     common.tune(docs.sparkSession)
     w = (length + 1) // 2
     k = length + 1 - w
-    docs = docs.select("doc_id", "text")
+    kind = dict(docs.dtypes)["doc_id"]
+    docs = common.numbered(docs.select("doc_id", "text"), "rlz-rows").select("uid", "row.doc_id", "row.text")
     found = common.materialise(repeats.repeated(docs, word_symbols, k, w, "rlz"), "rlz-found")
     parsed = repeats.factors(found, k, length, "rlz")
-    places = repeats.with_text(docs.distinct(), repeats.at_boundaries(found, parsed))
+    places = repeats.with_text(docs, repeats.at_boundaries(found, parsed))
     windows = common.materialise(boundary_windows(places, length), "rlz-windows")
-    copies = docs.groupBy(common.row_key().alias("uid")).count().where("count > 1").select("uid")
-    twice = windows.groupBy("w0", "w1").count().where("count > 1").select("w0", "w1")
-    more = windows.join(twice, ["w0", "w1"]).groupBy("uid").agg(F.collect_list("j").alias("js"))
-    spans = parsed.select("uid", "starts", "ends").join(more, "uid", "left").join(copies.withColumn("again", F.lit(True)), "uid", "left")
+    twice = windows.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1")
+    more = common.lookup(windows, twice, ["w0", "w1"], "n", windows.count(), ()).groupBy("uid").agg(F.collect_list("j").alias("js"))
+    spans = parsed.select("uid", "starts", "ends").join(more, "uid", "left")
     joined = repeats.with_text(docs, spans, "left")
-    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
             total, gone, sha, kept = [], [], [], []
-            starts, ends, js, again = (b.column(c) for c in ("starts", "ends", "js", "again"))
+            starts, ends, js = (b.column(c) for c in ("starts", "ends", "js"))
             for lo, hi, buf, offs in common.text_slices(b.column(1)):
                 ws, we = common.word_bounds(buf, offs)
                 cut = np.searchsorted(ws, offs)
@@ -81,8 +80,6 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     j = np.array(js[lo + i].as_py() or [], np.int64)
                     s, t = (np.array(c[lo + i].as_py() or [], np.int64) for c in (starts, ends))
                     off = common.cover(n, np.r_[s, j], np.r_[t, j + length]) if len(s) + len(j) else np.zeros(n, bool)
-                    if again[lo + i].as_py() and n >= length:
-                        off[:] = True
                     keep = a + np.flatnonzero(~off)
                     text = b" ".join([raw[x:y] for x, y in zip(ws[keep], we[keep], strict=True)])
                     total.append(n)
@@ -91,7 +88,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     kept.append(text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return joined.select("doc_id", "text", "starts", "ends", "js", "again").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.select("doc_id", "text", "starts", "ends", "js").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5_rlz(spark, sf_dir: str) -> DataFrame:
