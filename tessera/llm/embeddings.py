@@ -5,9 +5,12 @@ whose balls are provably too far apart are left out. A pair of tiles multiplies
 e = |error| of each vector, |x . y - s_x s_y c_x . c_y| <= e_x + e_y + e_x e_y, so pairs below the threshold by more than that are excluded,
 and only the rest are recomputed in double precision. Tiles give link counts per vector and a spanning forest of their links, never pairs.
 
+Codes are shipped first; only pairs of tiles that the bounds leave a pair of vectors open ship their vectors. Tiles are cut from buckets, which are
+balls too, so far buckets leave out all their pairs of tiles at once.
+
 Vectors that are null, empty, zero or hold null or non-finite components, and rows of null label, link with nothing; vectors of different lengths
-never link. Repeated rows are vectors of their own and link; component names are the smallest vec_id. A null vec_id is kept and links with
-nothing. An empty table gives no rows; other columns do not take part.
+never link. Repeated rows are vectors of their own: each gets a row, and they link with one another; component names are the smallest vec_id.
+A null vec_id is kept and links with nothing. An empty table gives no rows; other columns do not take part.
 """
 
 from __future__ import annotations
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 TILE = 1024
-#: Vectors of a bucket that one task splits into tiles; labels with more are dealt to several buckets by a sign code.
-BUCKET = 1 << 16
+#: Components of a bucket, about, which one task holds and splits.
+BUCKET = 1 << 22
+#: Parts that a label's buckets are dealt to when they are paired.
+SALT = 16
 
 
 def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,17 +54,25 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, error
 
 
-def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of unit rows of x and y of cosine >= threshold; i < j within one tile."""
-    (cx, sx, ex), (cy, sy, ey) = quantise(x), quantise(y)
+#: Codes, scales and error bounds of the rows of a tile.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def candidates(left: Side, right: Side, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of rows whose cosine may reach the threshold by their codes and error bounds; i < j within one tile."""
+    (cx, sx, ex), (cy, sy, ey) = left, right
     # int8 products summed in float32 are exact: below 2 ** 24 up to 1040 components, so longer vectors add chunks.
-    product = np.zeros((len(x), len(y)))
-    for a in range(0, x.shape[1], 1024):
+    product = np.zeros((len(cx), len(cy)))
+    for a in range(0, cx.shape[1], 1024):
         product += cx[:, a : a + 1024].astype(np.float32) @ cy[:, a : a + 1024].astype(np.float32).T
     bound = product * sx[:, None] * sy[None, :] + ex[:, None] + ey[None, :] + ex[:, None] * ey[None, :]
     i, j = np.nonzero(bound >= threshold - 1e-9)
-    if same:
-        i, j = i[i < j], j[i < j]
+    return (i[i < j], j[i < j]) if same else (i, j)
+
+
+def tile_links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of unit rows of x and y of cosine >= threshold; i < j within one tile."""
+    i, j = candidates(quantise(x), quantise(y), threshold, same)
     keep = np.zeros(len(i), bool)
     for a in range(0, len(i), 1 << 16):
         keep[a : a + (1 << 16)] = np.einsum("ij,ij->i", x[i[a : a + (1 << 16)]], y[j[a : a + (1 << 16)]]) >= threshold
@@ -96,17 +109,33 @@ def split(x: np.ndarray, size: int) -> list[np.ndarray]:
     return out
 
 
+def bucketed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `bucket`: of about BUCKET components within the keys, of which `dim` is one. Vectors of a sign code stay together as far as it is
+    small enough, and small codes share buckets; a code of more is split by row, however many equal vectors it holds."""
+    code = sum((F.when(F.get("embedding", F.lit(i)) > 0, 1 << i).otherwise(0) for i in range(12)), F.lit(0))
+    rows = rows.withColumn("code", code)
+    per = F.greatest(F.lit(256), F.floor(F.lit(BUCKET) / F.col("dim")))
+    n = rows.groupBy(*keys, "code").agg(F.count("*").alias("n")).withColumn("per", per)
+    few = n.where("n <= per").groupBy(*keys).agg(F.ceil(F.sum("n") / F.max("per")).alias("parts"))
+    n = common.materialise(n.join(few, keys, "left").select(*keys, "code", F.when(F.col("n") > F.col("per"), F.ceil(F.col("n") / F.col("per"))).alias("split"), "parts"), "vector-codes")
+    n = F.broadcast(n) if n.count() <= 100_000 else n
+    small = F.pmod(F.xxhash64("code"), F.col("parts"))
+    large = (F.col("code") + 1) * F.lit(1 << 40) + F.pmod(F.xxhash64("uid"), F.col("split"))
+    return rows.join(n, [*keys, "code"]).withColumn("bucket", F.when(F.col("split").isNull(), small).otherwise(large)).drop("code", "split", "parts")
+
+
+def gap(a: str, b: str) -> "F.Column":
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
+
+
 def near(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
     spark = vectors.sparkSession
     common.tune(spark)
-    cols = vectors.select("vec_id", "embedding", "label")
-    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0)
-    signs = sum((F.when(F.get("embedding", F.lit(i)) > 0, 1 << i).otherwise(0) for i in range(12)), F.lit(0))
-    sizes = common.materialise(cols.where(usable).groupBy("label", F.size("embedding").alias("dim")).count().select("label", "dim", F.ceil(F.col("count") / BUCKET).cast("int").alias("parts")), "near-sizes")
-    dealt = cols.where(usable).withColumn("dim", F.size("embedding")).withColumn("code", signs).join(sizes, ["label", "dim"]).withColumn("bucket", F.pmod(F.xxhash64("code"), "parts").cast("int"))
-    lk = dict(vectors.dtypes)["label"]
-    vk = dict(vectors.dtypes)["vec_id"]
+    base = common.numbered(vectors.select("vec_id", "embedding", "label"), "near-rows").select("uid", "row.*")
+    usable = base.where("vec_id is not null and label is not null and size(embedding) > 0").select("uid", "label", F.size("embedding").alias("dim"), F.col("embedding").cast("array<double>").alias("embedding"))
+    dealt = bucketed(usable, ["label", "dim"])
+    lk, vk = dict(vectors.dtypes)["label"], dict(vectors.dtypes)["vec_id"]
 
     def tiles(t: pa.Table) -> pa.Table:
         x, ok = matrix(t.column("embedding").combine_chunks())
@@ -118,39 +147,56 @@ def near(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
         norm[redo] = np.linalg.norm(x[redo], axis=1)
         ok |= redo
         at = np.flatnonzero(ok)
-        x = x[at] / norm[at, None]
-        ids = t.column("vec_id").to_numpy()[at]
+        x, ids = x[at] / norm[at, None], t.column("uid").to_numpy()[at]
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        rows = {"label": [], "dim": [], "tile": [], "ids": [], "unit": [], "centre": [], "radius": []}
-        for k, i in enumerate(split(x, TILE)):
+        middle = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+        reach = float(np.linalg.norm(x - middle, axis=1).max(initial=0))
+        rows = {c: [] for c in ("label", "dim", "bucket", "middle", "reach", "ids", "unit", "code", "scale", "error", "centre", "radius")}
+        for i in split(x, TILE):
             if not len(i):
                 continue
             c = x[i].mean(axis=0)
-            rows["label"].append(t.column("label")[0].as_py())
-            rows["dim"].append(x.shape[1])
-            rows["tile"].append(t.column("bucket")[0].as_py() * (1 << 20) + k)
-            rows["ids"].append(ids[i])
-            rows["unit"].append(x[i].tobytes())
-            rows["centre"].append(c)
-            rows["radius"].append(float(np.linalg.norm(x[i] - c, axis=1).max()))
-        return pa.Table.from_pydict(rows, pa.schema([("label", t.schema.field("label").type), ("dim", pa.int32()), ("tile", pa.int64()), ("ids", pa.list_(pa.int64())), ("unit", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
-
-    made = dealt.select("label", "dim", "bucket", F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).groupBy("label", "dim", "bucket").applyInArrow(tiles, f"label {lk}, dim int, tile long, ids array<long>, unit binary, centre array<double>, radius double")
-    made = common.materialise(made, "near-tiles")
-    meta = made.select("label", "dim", "tile", "centre", "radius")
-    other = meta.select("label", "dim", F.col("tile").alias("tile2"), F.col("centre").alias("centre2"), F.col("radius").alias("radius2"))
-    gap = F.sqrt(F.aggregate(F.zip_with("centre", "centre2", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
-    pairs = meta.join(other, ["label", "dim"]).where(F.col("tile") <= F.col("tile2")).where(gap <= F.col("radius") + F.col("radius2") + F.lit(reach)).select("label", "dim", "tile", "tile2")
-    left = made.select("label", "dim", "tile", "ids", "unit")
-    right = made.select("label", "dim", F.col("tile").alias("tile2"), F.col("ids").alias("ids2"), F.col("unit").alias("unit2"))
-    work = pairs.join(left, ["label", "dim", "tile"]).join(right, ["label", "dim", "tile2"]).select("dim", "tile", "tile2", "ids", "unit", "ids2", "unit2")
+            code, scale, error = quantise(x[i])
+            values = (t.column("label")[0].as_py(), x.shape[1], t.column("bucket")[0].as_py(), middle, reach, ids[i], x[i].tobytes(), code.tobytes(), scale.tobytes(), error.tobytes(), c, float(np.linalg.norm(x[i] - c, axis=1).max()))
+            for column, value in zip(rows.values(), values, strict=True):
+                column.append(value)
+        floats, double, data = pa.list_(pa.float64()), pa.float64(), pa.binary()
+        kinds = [("dim", pa.int32()), ("bucket", pa.int64()), ("middle", floats), ("reach", double), ("ids", pa.list_(pa.int64())), ("unit", data), ("code", data), ("scale", data), ("error", data), ("centre", floats), ("radius", double)]
+        return pa.Table.from_pydict(rows, pa.schema([("label", t.schema.field("label").type), *kinds]))
+
+    form = f"label {lk}, dim int, bucket long, middle array<double>, reach double, ids array<long>, unit binary, code binary, scale binary, error binary, centre array<double>, radius double"
+    made = dealt.select("label", "dim", "bucket", "uid", "embedding").groupBy("label", "dim", "bucket").applyInArrow(tiles, form)
+    made = common.materialise(made.withColumn("tile", F.monotonically_increasing_id()), "near-tiles")
+    far = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    balls = made.select("label", "dim", "bucket", "middle", "reach").dropDuplicates(["label", "dim", "bucket"])
+    other = balls.select("label", "dim", F.col("bucket").alias("bucket2"), F.col("middle").alias("middle2"), F.col("reach").alias("reach2"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    meet = balls.withColumn("salt", F.pmod(F.xxhash64("bucket"), F.lit(SALT)).cast("int")).join(other, ["label", "dim", "salt"])
+    meet = meet.where("bucket <= bucket2").where(gap("middle", "middle2") <= F.col("reach") + F.col("reach2") + far).select("label", "dim", "bucket", "bucket2")
+    meta = made.select("label", "dim", "bucket", "tile", "centre", "radius")
+    other = meta.select("label", "dim", *(F.col(c).alias(c + "2") for c in ("bucket", "tile", "centre", "radius")))
+    pairs = meet.join(meta, ["label", "dim", "bucket"]).join(other, ["label", "dim", "bucket2"]).where("bucket < bucket2 or tile <= tile2")
+    pairs = common.materialise(pairs.where(gap("centre", "centre2") <= F.col("radius") + F.col("radius2") + far).select("dim", "tile", "tile2"), "near-pairs")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 64)
+
+    def both(which: DataFrame, *columns: str) -> DataFrame:
+        left, right = made.select("tile", *columns), made.select(F.col("tile").alias("tile2"), *(F.col(c).alias(c + "2") for c in columns))
+        return which.join(left, "tile").join(right, "tile2").repartition(parts, "tile", "tile2")
+
+    def opened(batches):
+        """The pairs of tiles with a pair of vectors that the bounds do not exclude."""
+        for b in batches:
+            keep = []
+            for k in range(b.num_rows):
+                dim, same = b.column("dim")[k].as_py(), b.column("tile")[k].as_py() == b.column("tile2")[k].as_py()
+                sides = [(np.frombuffer(b.column("code" + s)[k].as_py(), np.int8).reshape(-1, dim), np.frombuffer(b.column("scale" + s)[k].as_py()), np.frombuffer(b.column("error" + s)[k].as_py())) for s in ("", "2")]
+                keep.append(bool(len(candidates(*sides, threshold, same)[0])))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(keep, pa.bool_())) for c in ("dim", "tile", "tile2")], names=["dim", "tile", "tile2"])
 
     def compare(batches):
         for b in batches:
             for k in range(b.num_rows):
-                dim, t1, t2, ids, unit, ids2, unit2 = (b.column(i)[k].as_py() for i in range(7))
+                dim, t1, t2, ids, unit, ids2, unit2 = (b.column(c)[k].as_py() for c in ("dim", "tile", "tile2", "ids", "unit", "ids2", "unit2"))
                 x, y = np.frombuffer(unit).reshape(-1, dim), np.frombuffer(unit2).reshape(-1, dim)
                 ids, ids2, same = np.array(ids), np.array(ids2), t1 == t2
                 i, j = tile_links(x, y, threshold, same)
@@ -164,12 +210,15 @@ def near(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
                 n = np.r_[count, np.zeros(len(keep), np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(n), pa.array(n == 0)], names=["a", "b", "n", "edge"])
 
-    found = common.materialise(work.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "tile", "tile2").mapInArrow(compare, "a long, b long, n long, edge boolean"), "near-links")
-    counts = found.where("not edge").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    comp = common.components(found.where("edge").select("a", "b"), "near-components").select(F.col("node").alias("vec_id"), "component")
-    out = vectors.select("vec_id", "embedding", "label").join(counts, "vec_id", "left").join(comp, "vec_id", "left")
-    component = F.coalesce("component", "vec_id").cast(vk)
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    left = common.materialise(both(pairs, "code", "scale", "error").mapInArrow(opened, "dim int, tile long, tile2 long"), "near-open")
+    found = common.materialise(both(left, "ids", "unit").mapInArrow(compare, "a long, b long, n long, edge boolean"), "near-links")
+    counts = found.where("not edge").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("n_links"))
+    comp = common.components(found.where("edge").select("a", "b"), "near-components").select(F.col("node").alias("uid"), "component").join(base.select("uid", "vec_id"), "uid")
+    comp = common.materialise(comp, "near-named")
+    names = comp.groupBy("component").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("n"))
+    comp = common.lookup(comp.select("uid", "component"), names, ["component"], "n", comp.count(), ("component_id",))
+    out = base.select("uid", "vec_id").join(counts, "uid", "left").join(comp.select("uid", "component_id"), "uid", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast(vk).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
@@ -181,7 +230,7 @@ def op6_near(spark, sf_dir: str) -> DataFrame:
 # --- exact top-k -----------------------------------------------------------------------------------------------------
 
 #: Rows of a cover tree's block, and queries of a group.
-ROWS = 8192
+ROWS = 4096
 QUERIES = 512
 LEAF = 64
 
@@ -227,11 +276,13 @@ class CoverTree:
 
 
 class Search:
-    """Dual-tree search of the k rows of highest inner product for each query; ties to the smaller id."""
+    """Dual-tree search of the k rows of highest inner product for each query; ties to the smaller id. floor: kth scores known already; what lies
+    below need not be found."""
 
-    def __init__(self, queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> None:
+    def __init__(self, queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> None:
         self.q, self.qids, self.x, self.ids, self.k = queries, qids, rows, ids, k
         self.score = np.full((len(queries), k), -np.inf)
+        self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         self.who = np.full((len(queries), k), np.iinfo(np.int64).max)
         self.pairs = 0
 
@@ -269,7 +320,7 @@ class Search:
     def worst(self, a: int) -> float:
         """The worst kth score of the queries below a node, from the scores so far."""
         if self.qt.rows[a] is not None:
-            return float(self.score[self.qt.rows[a], -1].min())
+            return float(np.maximum(self.score[self.qt.rows[a], -1], self.floor[self.qt.rows[a]]).min())
         return min(self.worst(c) for c in self.qt.children[a])
 
     def leaf(self, qi: np.ndarray, xi: np.ndarray) -> None:
@@ -283,56 +334,101 @@ class Search:
         self.who[qi] = np.take_along_axis(who, order, axis=1)
 
 
+def as_bytes(x: np.ndarray) -> bytes:
+    """Whole numbers as 16-bit integers where they fit, else as doubles."""
+    return (x.astype("<i2") if np.abs(x).max(initial=0) < 1 << 15 else x.astype("<f8")).tobytes()
+
+
+def as_rows(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i2" if len(data) == 2 * n * dim else "<f8").reshape(n, dim).astype(float)
+
+
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id divisible by `every`) the rows of highest integer inner product.
 
-    Rows are packed into blocks by a hash of their id, queries into groups; each group meets each block of equal vector length once, in one
-    dual-tree search, and the k best of every block are merged. Vectors that are null or empty or hold null or non-finite components take no
-    part, nor does a null vec_id. Rows of a query's own vec_id are no candidates. Components so large that sums leave 2 ** 53 are summed with Python's
-    integers, and scores are held to the range of long.
+    Rows and queries are cut into blocks and groups that are small balls. Each group searches the block nearest to it first, which gives its
+    queries a kth score each; a block is met by a group only if its ball could reach the worst of these, and only then are their vectors brought together, in one
+    dual-tree search. The k best of all blocks are merged.
+
+    Vectors that are null or empty or hold null or non-finite components take no part, nor does a null vec_id. Rows of one vec_id and one
+    vector count once; a vec_id with several vectors is a query, and a candidate, with each of them. Rows of a query's own vec_id are no candidates. Components
+    so large that sums leave 2 ** 53 are summed with Python's integers, and scores are held to the range of long.
     """
     spark = vectors.sparkSession
     common.tune(spark)
     base = vectors.where("vec_id is not null and size(embedding) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    base = base.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    base = base.withColumn("dim", F.size("embedding"))
-    counts = base.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("m")).select("dim", F.ceil(F.col("n") / ROWS).cast("int").alias("blocks"), F.ceil(F.col("m") / QUERIES).cast("int").alias("groups"))
-    counts = common.materialise(counts, "topk-sizes")
-
-    def pack(t: pa.Table) -> pa.Table:
-        x, _ = matrix(t.column("embedding").combine_chunks())
-        ids = t.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "part": pa.array([t.column("part")[0].as_py()], pa.int32()), "groups": pa.array([t.column("groups")[0].as_py()], pa.int32()), "ids": pa.array([ids[order]], pa.list_(pa.int64())), "x": pa.array([np.floor(scale * x[order]).tobytes()], pa.binary())})
-
-    form = "dim int, part int, groups int, ids array<long>, x binary"
-    dealt = base.join(counts, "dim").withColumn("h", F.xxhash64("vec_id"))
-    rows = dealt.withColumn("part", F.pmod("h", "blocks").cast("int")).select("dim", "part", "groups", "vec_id", "embedding").groupBy("dim", "part").applyInArrow(pack, form)
-    asks = dealt.where(F.col("vec_id") % every == 0).withColumn("part", F.pmod("h", "groups").cast("int")).select("dim", "part", "groups", "vec_id", "embedding").groupBy("dim", "part").applyInArrow(pack, form)
-    asks = asks.select("dim", F.col("part").alias("g"), F.col("ids").alias("qids"), F.col("x").alias("q"))
-    work = rows.where("groups > 0").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).join(asks, ["dim", "g"]).select("dim", "qids", "q", "ids", "x", F.xxhash64("part", "g").alias("spread"))
+    base = base.where(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).distinct()
+    base = common.numbered(base, "topk-rows").select("uid", "row.vec_id", "row.embedding", F.size("row.embedding").alias("dim"))
+
+    def balls(most: int):
+        def cut(t: pa.Table) -> pa.Table:
+            x, _ = matrix(t.column("embedding").combine_chunks())
+            ids, uid = t.column("vec_id").to_numpy(), t.column("uid").to_numpy()
+            order = np.argsort(uid, kind="stable")
+            x, ids, uid = np.floor(scale * x[order]), ids[order], uid[order]
+            rows = {c: [] for c in ("dim", "ids", "uids", "x", "centre", "radius")}
+            for i in split(x, most):
+                c = x[i].mean(axis=0)
+                for column, value in zip(rows.values(), (x.shape[1], ids[i], uid[i], as_bytes(x[i]), c, float(np.sqrt(((x[i] - c) ** 2).sum(axis=1)).max())), strict=True):
+                    column.append(value)
+            longs = pa.list_(pa.int64())
+            return pa.Table.from_pydict(rows, pa.schema([("dim", pa.int32()), ("ids", longs), ("uids", longs), ("x", pa.binary()), ("centre", pa.list_(pa.float64())), ("radius", pa.float64())]))
+
+        return cut
+
+    def packed(rows: DataFrame, most: int, name: str) -> DataFrame:
+        form = "dim int, ids array<long>, uids array<long>, x binary, centre array<double>, radius double"
+        made = bucketed(rows, ["dim"]).select("dim", "bucket", "uid", "vec_id", "embedding").groupBy("dim", "bucket").applyInArrow(balls(most), form)
+        return common.materialise(made.withColumn("at", F.monotonically_increasing_id()), name)
+
+    blocks = packed(base, ROWS, "topk-blocks")
+    groups = packed(base.where(F.col("vec_id") % every == 0), QUERIES, "topk-groups")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    length = lambda a: F.sqrt(dot(a, a))
+    left = blocks.select("dim", F.col("at").alias("block"), "centre", "radius", length("centre").alias("long"), F.pmod(F.xxhash64("at"), F.lit(SALT)).cast("int").alias("salt"))
+    right = groups.select("dim", F.col("at").alias("g"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), length("centre").alias("ql"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    middle = dot("centre", "qc")
+    up = middle + F.col("qr") * F.col("long") + F.col("radius") * F.col("ql") + F.col("qr") * F.col("radius")
+    reach = left.join(right, ["dim", "salt"]).select("block", "g", middle.alias("middle"), (up + F.abs(up) * 1e-9 + 1e-6).alias("up"))
+    reach = common.materialise(reach, "topk-reach")
+    first = reach.groupBy("g").agg(F.max_by("block", F.struct("middle", "block")).alias("block"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def search(batches):
         for b in batches:
             for r in range(b.num_rows):
-                dim, qids, q, ids, x = (b.column(i)[r].as_py() for i in range(5))
-                q, x, qids, ids = np.frombuffer(q).reshape(-1, dim), np.frombuffer(x).reshape(-1, dim), np.array(qids), np.array(ids)
+                dim, qids, quids, q, floor, ids, x = (b.column(c)[r].as_py() for c in ("dim", "qids", "quids", "q", "floor", "ids", "x"))
+                q, x = as_rows(q, len(qids), dim), as_rows(x, len(ids), dim)
+                qids, quids, ids = np.array(qids), np.array(quids), np.array(ids)
                 if dim * np.abs(q).max() * np.abs(x).max() < 2.0**53:
-                    s = Search(q, qids, x, ids, k)
+                    known = {f["quid"]: float(f["floor"]) for f in floor or ()}
+                    s = Search(q, qids, x, ids, k, np.array([known.get(u, -np.inf) for u in quids.tolist()]))
                     s.run()
-                    score, who = s.score, s.who
-                    at, col = np.nonzero(np.isfinite(score))
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(who[at, col]), pa.array(score[at, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                    at, col = np.nonzero(np.isfinite(s.score) & (s.score >= s.floor[:, None]))
+                    yield pa.RecordBatch.from_arrays([pa.array(quids[at]), pa.array(qids[at]), pa.array(s.who[at, col]), pa.array(s.score[at, col].astype(np.int64))], names=["quid", "query_id", "vec_id", "score"])
                     continue
                 big = [[int(v) for v in row] for row in x]
-                for qid, row in zip(qids.tolist(), q, strict=True):
+                for quid, qid, row in zip(quids.tolist(), qids.tolist(), q, strict=True):
                     row = [int(v) for v in row]
                     best = sorted((-sum(a * c for a, c in zip(row, y, strict=True)), i) for i, y in zip(ids.tolist(), big, strict=True) if i != qid)[:k]
                     if best:
-                        yield pa.RecordBatch.from_arrays([pa.array([qid] * len(best)), pa.array([i for _, i in best]), pa.array([max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in best], pa.int64())], names=["query_id", "vec_id", "score"])
-
-    found = work.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "spread").drop("spread").mapInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                        score = [max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in best]
+                        yield pa.RecordBatch.from_arrays([pa.array([quid] * len(best)), pa.array([qid] * len(best)), pa.array([i for _, i in best]), pa.array(score, pa.int64())], names=["quid", "query_id", "vec_id", "score"])
+
+    def met(pairs: DataFrame) -> DataFrame:
+        """pairs: block, g, floor."""
+        asks = groups.select(F.col("at").alias("g"), F.col("ids").alias("qids"), F.col("uids").alias("quids"), F.col("x").alias("q"))
+        work = pairs.join(asks, "g").join(blocks.select(F.col("at").alias("block"), "dim", "ids", "x"), "block")
+        return work.repartition(parts, "block", "g").mapInArrow(search, "quid long, query_id long, vec_id long, score long")
+
+    kind = "array<struct<quid: long, floor: long>>"
+    near_ = common.materialise(met(first.withColumn("floor", F.lit(None).cast(kind))), "topk-first")
+    kth = near_.groupBy("quid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("quid", "floor")
+    each = groups.select(F.col("at").alias("g"), F.explode("uids").alias("quid")).join(kth, "quid", "left")
+    floors = each.groupBy("g").agg(F.collect_list(F.when(F.col("floor").isNotNull(), F.struct("quid", "floor"))).alias("floor"), F.min("floor").alias("worst"), F.count_if(F.col("floor").isNull()).alias("without"))
+    rest = reach.join(floors, "g").where("without > 0 or up >= worst").join(first, ["g", "block"], "left_anti").select("block", "g", "floor")
+    found = near_.union(met(rest))
+    order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
