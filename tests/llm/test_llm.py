@@ -340,3 +340,18 @@ def test_near_and_topk_of_repeated_rows(spark, monkeypatch, bucket, tile):
             best = sorted((-int(np.dot(a, b)), v) for v, b in vectors if v != q)[:5]
             found += [(q, k + 1, v, -s) for k, (s, v) in enumerate(best)]
     assert sorted(map(tuple, embeddings.top_k(df).collect())) == sorted(found)
+
+
+def test_html_worst_pages():
+    """Pages that made a parser read them again and again, in time that grows with the page; text in formulas and objects stays."""
+    import time
+
+    model = html.load(html.MODEL)
+    for page in ("<a " * 100_000, "<a '>" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<svg>" * 50_000, "<" * 300_000, "<div>x" * 3_000):
+        began = time.time()
+        html.main_texts([page], model)
+        assert time.time() - began < 20
+    assert [t for _, t, _ in html.blocks("<p>Energy is given by <math><mi>E</mi></math> and so on</p><object>fallback</object>")] == ["Energy is given by E and so on", "fallback"]
+    one = "<html><body><nav><a href=x>Home</a></nav><article>" + "<p>A sentence of plain prose, which says something.</p>" * 5 + "</article></body></html>"
+    both = html.main_texts([one, "<p>x</p>" * 20_000, one], model)
+    assert both[0] == both[2] == html.main_texts([one], model)[0]
