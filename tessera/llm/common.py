@@ -40,7 +40,18 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if not keep:
         _MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of materialise() that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if t.scratch in _MADE:
+            _MADE.remove(t.scratch)
 
 
 def release(spark: SparkSession) -> None:
@@ -60,15 +71,18 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
 
 
 #: A key with more than this share of the rows is hot, so there are fewer than 1 / HOT_SHARE hot keys, and these are broadcast.
-HOT_SHARE = 0.001
+HOT_SHARE = 0.004
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, keep: tuple[str, ...]) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, keep: tuple[str, ...], top: int | None = None) -> DataFrame:
     """left joined to right, which has each key once, and in `n` no less than the number of rows of left with it; total: rows of left.
 
-    Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE rows where they lie; all others are dealt by key.
+    Rows of hot keys meet a broadcast of at most 1 / HOT_SHARE rows where they lie; all others are dealt by key. top: a bound on n, where one is
+    known; if it says that no key is hot, all rows are dealt.
     """
     right = right.select(*keys, n, *(c for c in keep if c != n))
+    if top is not None and top <= total * HOT_SHARE:
+        return left.join(right, keys).select(*left.columns, *keep)
     hot = F.broadcast(right.where(F.col(n) > total * HOT_SHARE))
     cold = right.where(F.col(n) <= total * HOT_SHARE)
     out = [*left.columns, *keep]

@@ -51,21 +51,25 @@ def anchors(docs: DataFrame, symbols, k: int, w: int) -> DataFrame:
     return docs.select("uid", "text").mapInArrow(run, "h long, uid long, at long")
 
 
-def repeated(docs: DataFrame, symbols, k: int, w: int, name: str) -> DataFrame:
-    """h, uid, at of the anchors that occur more than once, with their number n and another occurrence (ref, ref_at).
+def repeated(docs: DataFrame, symbols, k: int, w: int, name: str) -> tuple[DataFrame, int]:
+    """h, uid, at of the anchors that occur more than once, with their number n and another occurrence (ref, ref_at); and the greatest n.
 
     The reference is the least occurrence, or for itself the greatest. Counts and extremes are combined before they are shuffled, and hot
     anchors are looked up where they lie.
     """
     all_ = common.materialise(anchors(docs, symbols, k, w), f"{name}-anchors")
     twice = common.materialise(all_.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-twice")
-    some = common.materialise(common.lookup(all_, twice, ["h"], "n", all_.count(), ("n",)), f"{name}-repeated")
+    top = twice.agg(F.max("n")).first()[0] or 0
+    some = common.materialise(common.lookup(all_, twice, ["h"], "n", all_.count(), ("n",), top), f"{name}-repeated")
+    common.discard(all_, twice)
     place = F.struct("uid", F.shiftright("at", SHIFT).alias("pos"))
     ends = some.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("m"))
     own = (F.col("lo.uid") == F.col("uid")) & (F.col("lo.pos") == F.shiftright("at", SHIFT))
     ref = F.when(own, F.col("hi")).otherwise(F.col("lo"))
-    found = common.lookup(some, ends, ["h"], "m", some.count(), ("lo", "hi"))
-    return found.select("h", "uid", "at", "n", ref["uid"].alias("ref"), ref["pos"].alias("ref_at"))
+    found = common.lookup(some, ends, ["h"], "m", some.count(), ("lo", "hi"), top)
+    found = common.materialise(found.select("h", "uid", "at", "n", ref["uid"].alias("ref"), ref["pos"].alias("ref_at")), f"{name}-found")
+    common.discard(some)
+    return found, top
 
 
 def factors(found: DataFrame, k: int, length: int, name: str) -> DataFrame:
@@ -106,10 +110,10 @@ def factors(found: DataFrame, k: int, length: int, name: str) -> DataFrame:
     return common.materialise(lists.mapInArrow(run, "uid long, starts array<long>, ends array<long>, open array<struct<h: long, n: long>>"), f"{name}-factors")
 
 
-def at_boundaries(found: DataFrame, parsed: DataFrame) -> DataFrame:
+def at_boundaries(found: DataFrame, parsed: DataFrame, top: int) -> DataFrame:
     """uid and places (h, at) of all occurrences of the anchors that are open anywhere: an equal window may lie inside a factor elsewhere."""
     wanted = parsed.select(F.explode("open").alias("o")).groupBy(F.col("o.h").alias("h")).agg(F.max("o.n").alias("n"))
-    places = common.lookup(found.select("h", "uid", "at"), wanted, ["h"], "n", found.count(), ())
+    places = common.lookup(found.select("h", "uid", "at"), wanted, ["h"], "n", found.count(), (), top)
     return places.groupBy("uid").agg(F.collect_list(F.struct("h", "at")).alias("places"))
 
 

@@ -228,10 +228,10 @@ def by_counts(hot: DataFrame, length: int) -> DataFrame:
     return packed.where("part = -1").select("h", "cx", "j").mapInArrow(local, kind).union(shared.mapInArrow(answers, kind))
 
 
-def marked(kinds: DataFrame, length: int) -> DataFrame:
+def marked(kinds: DataFrame, length: int, top: int) -> DataFrame:
     """h, cx, starts: the repeated windows of each context that occurs once."""
     per = kinds.groupBy("h").agg(F.count("*").alias("per"))
-    kinds = common.materialise(common.lookup(kinds, per, ["h"], "per", kinds.count(), ("per",)), "rindex-kinds")
+    kinds = common.materialise(common.lookup(kinds, per, ["h"], "per", kinds.count(), ("per",), top), "rindex-kinds")
     n = kinds.where(f"per <= {HOT}").count()
     blocks = max(1, n // BLOCK)
 
@@ -254,16 +254,17 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     k = length + 1 - w
     kind = dict(docs.dtypes)["doc_id"]
     docs = common.numbered(docs.select("doc_id", "text"), "rindex-rows").select("uid", "row.doc_id", "row.text")
-    found = common.materialise(repeats.repeated(docs, byte_symbols, k, w, "rindex"), "rindex-found")
+    found, top = repeats.repeated(docs, byte_symbols, k, w, "rindex")
     parsed = repeats.factors(found, k, length, "rindex")
-    places = repeats.with_text(docs, repeats.at_boundaries(found, parsed))
+    places = repeats.with_text(docs, repeats.at_boundaries(found, parsed, top))
     around = common.materialise(contexts(places, length).withColumn("cx", F.xxhash64("ctx")), "rindex-contexts")
+    common.discard(found)
     kinds = around.groupBy("h", "cx").agg(F.count("*").alias("n"), F.min("ctx").alias("ctx"))
     kinds = common.materialise(kinds, "rindex-counted")
-    part = common.materialise(marked(kinds, length), "rindex-marked")
+    part = common.materialise(marked(kinds, length, top), "rindex-marked")
     whole = kinds.where("n > 1").select("h", "cx", F.sequence(F.lit(0).cast("long"), F.length("ctx").cast("long") - length).alias("starts"))
     hits = part.union(whole).groupBy("h", "cx").agg(F.flatten(F.collect_list("starts")).alias("starts")).join(kinds.select("h", "cx", "n"), ["h", "cx"])
-    more = common.lookup(around.select("h", "cx", "uid", "j"), hits, ["h", "cx"], "n", around.count(), ("starts",)).select("uid", F.transform("starts", lambda x: x + F.col("j")).alias("js"))
+    more = common.lookup(around.select("h", "cx", "uid", "j"), hits, ["h", "cx"], "n", around.count(), ("starts",), top).select("uid", F.transform("starts", lambda x: x + F.col("j")).alias("js"))
     more = more.groupBy("uid").agg(F.flatten(F.collect_list("js")).alias("js"))
     spans = parsed.select("uid", "starts", "ends").join(more, "uid", "left")
     joined = repeats.with_text(docs, spans, "left")

@@ -57,12 +57,13 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     k = length + 1 - w
     kind = dict(docs.dtypes)["doc_id"]
     docs = common.numbered(docs.select("doc_id", "text"), "rlz-rows").select("uid", "row.doc_id", "row.text")
-    found = common.materialise(repeats.repeated(docs, word_symbols, k, w, "rlz"), "rlz-found")
+    found, top = repeats.repeated(docs, word_symbols, k, w, "rlz")
     parsed = repeats.factors(found, k, length, "rlz")
-    places = repeats.with_text(docs, repeats.at_boundaries(found, parsed))
+    places = repeats.with_text(docs, repeats.at_boundaries(found, parsed, top))
     windows = common.materialise(boundary_windows(places, length), "rlz-windows")
+    common.discard(found)
     twice = windows.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1")
-    more = common.lookup(windows, twice, ["w0", "w1"], "n", windows.count(), ()).groupBy("uid").agg(F.collect_list("j").alias("js"))
+    more = common.lookup(windows, twice, ["w0", "w1"], "n", windows.count(), (), top).groupBy("uid").agg(F.collect_list("j").alias("js"))
     spans = parsed.select("uid", "starts", "ends").join(more, "uid", "left")
     joined = repeats.with_text(docs, spans, "left")
 
