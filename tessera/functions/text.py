@@ -18,9 +18,11 @@ STOPWORDS = ("academic", "assistant", "associate", "full", "in", "of", "or", "po
 
 def normalize(c: Column) -> Column:
     """Case-folded, without http(s)://(www.), every run of other than a-z and 0-9 one space, trimmed; null is empty."""
-    out = F.lower(F.coalesce(c, F.lit("")))
+    low = out = F.lower(F.coalesce(c, F.lit("")))
     for a, b in FOLDS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
+    # Few texts hold such a character; one test spares the others all replacements.
+    out = F.when(F.rlike(low, F.lit(f"[{''.join(FOLDS)}]")), out).otherwise(low)
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"https?://(www\.)?", ""), "[^a-z0-9]+", " "))
 
 

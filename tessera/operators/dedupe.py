@@ -7,16 +7,18 @@ with joins; only components of more than one row go to Python, where the order-d
 from __future__ import annotations
 
 import re
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 
 #: Labels that end a title. Fixed values.
 TITLE_ENDS = re.compile(r"\b(?:Personal type|Field of expertise|Organisation|Organization|Apply no later than|Apply before|Full-time equivalent|Salary|Read more)\s*:", re.I)
+#: Fields of a merge: filled where empty; taken from the row of the higher score; joined as lists. Fixed values.
 FILLED = ("department", "school", "location", "country", "region", "deadline", "date_posted", "summary", "application_angle")
 SCORED = ("fit_category", "fit_score", "role_type", "summary", "application_angle")
 LISTS = ("match_reasons", "required_materials", "warnings")
@@ -78,7 +80,7 @@ def fold(rows: list[dict], title_at: float = 0.9, institution_at: float = 0.9, s
         if hit is not None:
             merge(hit, row)
             if stored:
-                hit["is_new_this_run"] = False
+                hit["is_new_this_run"], hit["_hit"] = False, True
             continue
         leaders.append(row)
         by_id[row["canonical_id"]] = row
@@ -89,52 +91,82 @@ def fold(rows: list[dict], title_at: float = 0.9, institution_at: float = 0.9, s
     return leaders
 
 
-def with_component(postings: DataFrame, order: str = "ord") -> DataFrame:
-    """postings with the smallest `order` of their component over canonical id, URL and institution as `_component`.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without and gets one of its own."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not found:
+        import tempfile
+
+        found = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def written(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """df written as Parquet and read back, so that nothing before it is worked out twice."""
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
-    Minima over each key and over each row in turn, until nothing changes; every round is checkpointed.
+def with_component(postings: DataFrame) -> DataFrame:
+    """postings with the name of their component over canonical id, URL and institution as `_component`.
+
+    A row links its first key, its id, to its others. Rounds of contraction take every key to the least of itself and its neighbours and rewrite
+    the links, until none is left; each round at least halves the keys, and minima are combined before they are shuffled.
     """
-    keys = F.filter(F.array(F.concat(F.lit("i:"), F.col("canonical_id")), F.when(text.normalize(F.col("application_url")) != "", F.concat(F.lit("u:"), text.normalize(F.col("application_url")))), F.when(text.institution_key(F.col("institution")) != "", F.concat(F.lit("p:"), text.institution_key(F.col("institution"))))), lambda x: x.isNotNull())
-    links = postings.select(F.col(order).alias("_row"), F.explode(keys).alias("_key")).distinct()
-    label = postings.select(F.col(order).alias("_row"), F.col(order).alias("_component"))
-    spark = postings.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
+    url, place = text.normalize(F.col("application_url")), text.institution_key(F.col("institution"))
+    own = F.concat(F.lit("i:"), F.coalesce("canonical_id", F.lit("")))
+    keyed = postings.withColumn("_own", own)
+    others = F.filter(F.array(F.when(url != "", F.concat(F.lit("u:"), url)), F.when(place != "", F.concat(F.lit("p:"), place))), lambda x: x.isNotNull())
+    folder = shared_dir(postings.sparkSession)
+    links = written(keyed.select(F.col("_own").alias("a"), F.explode(others).alias("b")).distinct(), folder, "links")
+    label = links.select(F.col("a").alias("_own")).distinct().withColumn("_component", F.col("_own"))
+    while not links.isEmpty():
+        both = links.union(links.select("b", "a"))
+        to = written(both.groupBy("a").agg(F.min("b").alias("up")).select("a", F.least("a", "up").alias("up")), folder, "up")
+        label = label.join(to.select(F.col("a").alias("_component"), "up"), "_component", "left").select("_own", F.coalesce("up", "_component").alias("_component"))
+        label = written(label, folder, "labels")
+        moved = links.join(to, "a").select(F.col("up").alias("x"), "b").join(to.select(F.col("a").alias("b"), F.col("up").alias("y")), "b").where("x <> y")
+        links = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), folder, "links")
+    return keyed.join(label, "_own", "left").withColumn("_component", F.coalesce("_component", "_own")).drop("_own")
+
+
+def as_dicts(pdf: pd.DataFrame) -> list[dict]:
+    """Rows as dictionaries; a null of any column type is None."""
+    return [{k: None if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v else v for k, v in r.items()} for r in pdf.to_dict("records")]
+
 
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    while True:
-        per_key = links.join(label, "_row").groupBy("_key").agg(F.min("_component").alias("_low"))
-        new = links.join(per_key, "_key").groupBy("_row").agg(F.min("_low").alias("_component")).checkpoint()
-        changed = new.join(label.withColumnRenamed("_component", "_old"), "_row").where("_component <> _old").limit(1).count()
-        label = new
-        if not changed:
-            return postings.join(label, postings[order] == label["_row"]).drop("_row")
+def as_frame(rows: list[dict], schema) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in schema.names})
 
 
 def consolidate(postings: DataFrame, order: str = "ord", title_at: float = 0.9, institution_at: float = 0.9) -> DataFrame:
     """The merged leaders; a component is one task's work, a single row none of Python's."""
-    tagged = with_component(postings, order)
+    tagged = with_component(postings)
     size = F.count("*").over(Window.partitionBy("_component"))
     tagged = tagged.withColumn("_size", size)
     schema = postings.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(order)[schema.names].to_dict("records")
-        return pd.DataFrame(fold(rows, title_at, institution_at), columns=schema.names)
+        return as_frame(fold(as_dicts(pdf.sort_values(order)[schema.names]), title_at, institution_at), schema)
 
     alone = tagged.where("_size = 1").select(*schema.names)
     return alone.unionByName(tagged.where("_size > 1").groupBy("_component").applyInPandas(run, schema))
 
 
-def upsert(history: DataFrame, new: DataFrame, order: str = "ord", title_at: float = 0.9, institution_at: float = 0.9) -> DataFrame:
-    """history with new rows merged into it or added; stored rows come first and are never merged with each other."""
+def upsert(history: DataFrame, new: DataFrame, order: str = "ord", title_at: float = 0.9, institution_at: float = 0.9, mark: str | None = None) -> DataFrame:
+    """history with new rows merged into it or added; stored rows come first and are never merged with each other. mark: a further column, whether
+    a row was added or merged into."""
     both = history.withColumn("_stored", F.lit(True)).unionByName(new.withColumn("_stored", F.lit(False)))
-    rank = both.withColumn("_o", F.struct((~F.col("_stored")).alias("n"), F.col(order).alias("o")))
-    tagged = with_component(rank.withColumn("_ord", F.when(F.col("_stored"), F.col(order)).otherwise(F.col(order) + (1 << 40))), "_ord")
-    schema = history.schema
+    schema = history.withColumn(mark, F.lit(True)).schema if mark else history.schema
+    names = history.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("_ord")[[*schema.names, "_stored"]].to_dict("records")
-        return pd.DataFrame(fold(rows, title_at, institution_at, stored=True), columns=schema.names)
+        pdf = pdf.assign(_last=~pdf["_stored"].astype(bool)).sort_values(["_last", order])
+        rows = fold(as_dicts(pdf[[*names, "_stored"]]), title_at, institution_at, stored=True)
+        return as_frame([r | {mark or "_mark": bool(r.get("_hit")) or not r["_stored"]} for r in rows], schema)
 
-    return tagged.drop("_o").groupBy("_component").applyInPandas(run, schema)
+    return with_component(both).groupBy("_component").applyInPandas(run, schema)

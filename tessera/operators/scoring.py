@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,8 +31,13 @@ def any_of(c: Column, terms: tuple[str, ...]) -> Column:
 
 
 def role_type(title: Column, description: Column, region: Column) -> Column:
-    t = text.normalize(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
-    r = text.normalize(region)
+    said = text.normalize(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(description, F.lit(""))))
+    # Bound once by a lambda: the list tests the text dozens of times, and Catalyst would write it out for each.
+    return F.get(F.transform(F.array(F.struct(said.alias("t"), text.normalize(region).alias("r"))), lambda x: role_of(x["t"], x["r"])), F.lit(0))
+
+
+def role_of(t: Column, r: Column) -> Column:
+    """The decision list over normalized text and region."""
     lecturer = any_of(t, LECTURER)
     cases = [
         (any_of(t, POSTDOC) & t.contains("fellow") & any_of(t, ("prestigious", "faculty", "tenure")), "prestigious_postdoc_fellowship"),
@@ -63,6 +69,11 @@ def region_allowed(region: Column, included: tuple[str, ...] = REGIONS) -> Colum
     return F.replace(text.normalize(region), F.lit(" "), F.lit("_")).isin(*included)
 
 
+def plain_key(name: str) -> str:
+    """A configured name as text.normalize() has it."""
+    return re.sub(r"[^a-z0-9]+", " ", re.sub(r"https?://(www\.)?", "", name.casefold())).strip()
+
+
 def priority(institution: Column, names: list[str]) -> Column:
     return text.normalize(institution).isin(*{n for n in names}) if names else F.lit(False)
 
@@ -72,18 +83,19 @@ def model_score(research: Column, methods: Column, career: Column, department: C
     return 7 * research + 5 * methods + 3 * career + 3 * department + 2 * teaching
 
 
-def score(postings: DataFrame, keywords: dict[str, list[str]], as_of: str, priority_names: list[str] = (), settings: dict | None = None) -> DataFrame:
+def score(postings: DataFrame, keywords: dict[str, list[str]], as_of: str, priority_names: list[str] = (), settings: dict | None = None, included: tuple[str, ...] = REGIONS) -> DataFrame:
     """postings with role_type, rule_score, fit_score, fit_category, match_reasons, warnings, is_priority_institution."""
     s = DEFAULTS | (settings or {})
     col = lambda c: F.coalesce(F.col(c), F.lit(""))
     body = text.normalize(text.searchable(*(F.col(c) for c in ("title", "institution", "department", "school", "location", "country", "region", "description_text", "source_name"))))
-    out = postings.withColumn("_t", body).withColumn("role_type", role_type(F.col("title"), F.col("description_text"), F.col("region")))
+    # A generator is a wall to Catalyst: the text is normalized once, not once for each use.
+    out = postings.select("*", F.explode(F.array(body)).alias("_t")).withColumn("role_type", role_type(F.col("title"), F.col("description_text"), F.col("region")))
     out = out.withColumns({f"_{k}": keyword_hits(F.col("_t"), keywords.get(k, [])) for k in ("high_value", "medium_value", "negative")})
     weights = F.create_map(*(F.lit(x) for kv in s["role_weights"].items() for x in kv))
     w = F.coalesce(F.element_at(weights, F.col("role_type")), F.lit(float(s["role_weights"]["other"])))
     tenure, part_time, late = F.col("_t").contains("tenure"), F.col("_t").contains("part time"), dates.expired(F.col("deadline"), as_of)
-    known = priority(F.col("institution"), [n for n in priority_names])
-    allowed = region_allowed(F.col("region"))
+    known = priority(F.col("institution"), [plain_key(n) for n in priority_names])
+    allowed = region_allowed(F.col("region"), included)
     hits = lambda k, per, most: F.when(F.size(f"_{k}") > 0, F.least(F.lit(float(s[most])), F.lit(float(s[per])) * F.size(f"_{k}"))).otherwise(0.0)
     total = w + hits("high_value", "high_value_per_hit", "max_high_value_bonus")
     total = total + hits("medium_value", "medium_value_per_hit", "max_medium_value_bonus")
@@ -108,3 +120,24 @@ def score(postings: DataFrame, keywords: dict[str, list[str]], as_of: str, prior
     out = out.withColumn("fit_score", F.when(part_time, F.least(points, F.lit(int(s["lower_priority_score_cap"])))).otherwise(points))
     out = out.withColumns({"fit_category": category(F.col("fit_score")), "match_reasons": reasons, "warnings": warnings, "is_priority_institution": known})
     return out.drop("_t", "_high_value", "_medium_value", "_negative")
+
+
+#: What ends a title that a page's labels run into, and what begins one before its field. Fixed values.
+TITLE_ENDS = ("Personal type:", "Field of expertise:", "Organisation:", "Apply no later")
+TITLE_START = r"(?iu)^(?:open rank:?\s*)?(?:tenure[- ]track\s+)?(?:assistant|associate|full|research)\s+professor(?:s)?(?:\s+(?:of|in))?\s*"
+
+
+def title_focus(title: Column) -> Column:
+    """The field that a title names: without its rank, and without labels that run into it."""
+    ends = "|".join(re.escape(e) for e in TITLE_ENDS)
+    focus = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), f"(?s)(?:{ends}).*$", ""), TITLE_START, ""), F.lit(" -,:;"))
+    return F.when(focus == "", "the advertised research area").otherwise(focus)
+
+
+def with_prose(scored: DataFrame) -> DataFrame:
+    """scored with a summary, where it has none, and an application angle."""
+    some = lambda *cs: F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in cs), F.lit(""))
+    summary = F.concat(some("title"), F.lit(" at "), some("institution"), F.lit(", sourced from "), some("source_name"), F.lit("."))
+    angle = F.concat(F.lit("Connect your strongest relevant research evidence to the advertised focus on "), title_focus(F.col("title")), F.lit(", and name one credible collaboration or teaching contribution in "), some("department", "school", "institution"), F.lit("."))
+    own = F.when(F.col("summary") != "", F.col("summary")) if "summary" in scored.columns else F.lit(None).cast("string")
+    return scored.withColumns({"summary": F.coalesce(own, summary), "application_angle": angle})

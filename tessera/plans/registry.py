@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, extract, geo, text, urls
-from tessera.operators import dedupe, digest, scoring
+from tessera.operators import dedupe, digest, outputs, scoring, store
+from tessera.sources import boards as board_source
 from tessera.sources import feeds as feed_source
 from tessera.sources import pages as page_source
 
@@ -147,27 +148,44 @@ def target_match(spark, d):
     return digest.match_targets(p, targets, "ord")
 
 
+#: What a posting of a query has in the columns that it does not set.
+BLANK = {c: "" for c in (*dedupe.FILLED, "title", "institution", "application_url", "description_text", "fit_category", "role_type")}
+
+
+def blank(rows, **cols):
+    """rows as postings: the given columns, and blanks for all others."""
+    given = {c: F.lit(v) for c, v in BLANK.items()} | {c: F.array().cast("array<string>") for c in dedupe.LISTS} | {"fit_score": F.lit(0.0), "is_priority_institution": F.lit(False), "is_new_this_run": F.lit(True)} | cols
+    return rows.select(*(c.alias(n) for n, c in given.items()))
+
+
+def event_postings(spark, d):
+    """Every event as a posting of its user, in the order of time."""
+    order = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
+    return blank(
+        t(spark, d, "events"), ord=order, canonical_id=F.col("user_id").cast("string"), department=F.when(F.col("value") > 50, F.col("event_type")).otherwise(""), fit_score=F.col("value"),
+        is_priority_institution=F.col("value") > 90, match_reasons=F.array("event_type"), required_materials=F.array(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), warnings=F.array(F.col("event_id").cast("string")),
+    )
+
+
 def merge_first_nonempty(spark, d):
-    e = t(spark, d, "events")
-    kept = F.when(F.col("value") > 50, F.col("event_type"))
-    return e.groupBy("user_id").agg(F.min_by(kept, F.when(kept.isNotNull(), F.struct("ts", "event_id"))).alias("first_type"), F.max("value").alias("best_value"), F.bool_or(F.col("value") > 90).alias("any_high"))
+    e = dedupe.consolidate(event_postings(spark, d))
+    return e.select(F.col("canonical_id").cast("long").alias("user_id"), F.nullif("department", F.lit("")).alias("first_type"), F.col("fit_score").alias("best_value"), F.col("is_priority_institution").alias("any_high"))
 
 
 def merge_list_union(spark, d):
-    e = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("at"))
-    return e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "event_type"))), lambda x: x["event_type"]), "|").alias("types"))
+    return dedupe.consolidate(event_postings(spark, d)).select(F.col("canonical_id").cast("long").alias("user_id"), F.array_join("match_reasons", "|").alias("types"))
 
 
 def exact_consolidate(spark, d):
-    n = t(spark, d, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("k"))
-    return n.groupBy("k").agg(F.min("doc_id").alias("leader"), F.count("*").alias("members")).select("leader", "members")
+    n = blank(t(spark, d, "documents"), ord=F.col("doc_id"), canonical_id=F.sha2(text.normalize(F.col("text")), 256), warnings=F.array(F.col("doc_id").cast("string")))
+    return dedupe.consolidate(n).select(F.col("ord").alias("leader"), F.size("warnings").cast("long").alias("members"))
 
 
 def upsert_exact(spark, d):
-    e = t(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    cut = F.lit("1996-01-01").cast("timestamp")
-    old = e.groupBy("user_id").agg(F.min(F.when(F.col("ts") < cut, F.col("ts"))).alias("first_old"), F.max("ts").alias("last_seen"), F.count("*").alias("n"), F.max("value").alias("best"))
-    return old.select("user_id", "last_seen", "n", "best", F.col("first_old").isNull().alias("is_new"))
+    e = event_postings(spark, d)
+    old = dedupe.consolidate(e.where("ord < '19960101'").withColumn("school", F.lit("stored")))
+    out = dedupe.upsert(old, e.where("ord >= '19960101'"))
+    return out.select(F.col("canonical_id").cast("long").alias("user_id"), F.array_max("required_materials").cast("timestamp_ntz").alias("last_seen"), F.size("warnings").cast("long").alias("n"), F.col("fit_score").alias("best"), (F.col("school") == "").alias("is_new"))
 
 
 def llm_score_formula(spark, d):
@@ -193,8 +211,47 @@ def geo_infer(spark, d):
 
 
 def csv_record(spark, d):
-    doc = t(spark, d, "documents")
-    return doc.select("doc_id", F.array_join(F.array("source", "lang"), "\n").alias("lists"), (F.col("n_chars") > 1000).cast("int").alias("flag"))
+    p = t(spark, d, "documents").select(F.col("doc_id").alias("canonical_id"), F.array("source", "lang").alias("match_reasons"), (F.col("n_chars") > 1000).alias("is_new_this_run"))
+    return outputs.flat(p).select(F.col("canonical_id").cast("long").alias("doc_id"), F.col("match_reasons").alias("lists"), F.col("is_new_this_run").cast("int").alias("flag"))
+
+
+def read_back(spark, d):
+    p = t(spark, d, "documents").select(F.col("doc_id").alias("canonical_id"), F.array("source", "lang").alias("match_reasons"), (F.col("n_chars") > 1000).alias("is_new_this_run"))
+    return store.read_flat(outputs.flat(p)).select(F.col("canonical_id").cast("long").alias("doc_id"), F.element_at("match_reasons", 1).alias("source"), F.size("match_reasons").alias("n"), F.col("is_new_this_run").alias("flag"))
+
+
+def title_from_url(spark, d):
+    url = F.concat(F.lit("https://a.org/job/"), F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("_"), F.col("p_partkey") + 10_000, F.lit(".html?x=1"))
+    title = F.pandas_udf(lambda s: s.map(urls.title_from_url), "string")
+    return t(spark, d, "part").select("p_partkey", title(url).alias("title"))
+
+
+def html_to_text(spark, d):
+    lines = F.pandas_udf(lambda s: s.map(feed_source.html_to_text), "string")
+    return t(spark, d, "supplier").select("s_suppkey", lines(F.concat(F.lit("<p>A &amp;  "), "s_name", F.lit("</p><div> b<br>"), F.col("s_nationkey"), F.lit("</div>"))).alias("lines"))
+
+
+def supplier_pages(spark, d):
+    """A page of every supplier: a JSON-LD posting, a link that names a role, the same link again, and links that name none."""
+    name, key = F.col("s_name"), F.col("s_suppkey").cast("string")
+    node = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": ["JobPosting"], "title": "Chair of '), name, F.lit('", "url": "/ld/'), key, F.lit('", "hiringOrganization": {"name": "University '), F.col("s_nationkey"), F.lit('"}, "jobLocation": [{"address": {"addressLocality": "Leeds", "addressCountry": "England"}}], "description": "<b>Work</b> on '), key, F.lit('", "datePosted": "2026-05-0'), F.col("s_nationkey") % 9 + 1, F.lit('T08:00:00", "validThrough": "2026-08-01"}, {"@type": "Place"}]}</script>'))
+    link = F.concat(F.lit('<a href="/jobs/'), key, F.lit('/x"> Assistant  Professor of '), name, F.lit("</a>"))
+    html = F.concat(F.lit("<html>"), node, F.lit('<a href="/about">About us</a><a href="/jobs/search">Professor search</a>'), link, link, F.lit('<a href="mailto:x">Professor</a></html>'))
+    return t(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://b.org/"), key).alias("url"), html.alias("html"))
+
+
+def role_links(spark, d):
+    return page_source.candidates(page_source.links(supplier_pages(spark, d))).select("page_id", "url", "title")
+
+
+def structured_postings(spark, d):
+    found = board_source.postings(supplier_pages(spark, d))
+    return found.select("page_id", "title", "institution", "location", "country", "region", "application_url", "description_text", "date_posted", "deadline", "source_name")
+
+
+def summaries(spark, d):
+    p = t(spark, d, "supplier").select(F.concat(F.lit("Tenure-Track Assistant Professor of "), "s_name", F.lit(" Organisation: x")).alias("title"), F.lit("I").alias("institution"), F.lit("").alias("department"), F.lit("S").alias("school"), F.lit("feed").alias("source_name"), "s_suppkey")
+    return scoring.with_prose(p).select("s_suppkey", "summary", "application_angle", scoring.title_focus(F.col("title")).alias("focus"))
 
 
 def anchor_links(spark, d):
@@ -206,7 +263,7 @@ def candidate_links(spark, d):
 
 
 def posting_pipeline(spark, d):
-    p = page_source.postings(t(spark, d, "pages"))
+    p = page_source.postings(t(spark, d, "pages"), ".")  # the driver's pages name no roles
     s = scoring.score(p, KEYWORDS, AS_OF)
     return digest.top_of_sections(s.select("ord", "title", "canonical_id", "application_url", "role_type", "fit_score", "fit_category"), "fit_category", "fit_score", "ord", 20)
 
@@ -232,7 +289,7 @@ def feed_postings(spark, d):
 QUERIES = {f.__name__: f for f in (
     normalize_text, canonical_id, url_keep_first, strip_html, clean_text, url_keys, role_type, keyword_score, keyword_hits, fit_category, region_lookup, priority_institution, deadline_window, rfc_dates, section_topk, eligibility, target_match,
     merge_first_nonempty, merge_list_union, exact_consolidate, upsert_exact, llm_score_formula, run_totals, geo_source, geo_infer, csv_record, anchor_links, candidate_links, posting_pipeline, consolidate,
-    extract_units, feed_postings,
+    extract_units, feed_postings, read_back, title_from_url, html_to_text, role_links, structured_postings, summaries,
 )}
 
 _N = duck_normal("text")
@@ -287,6 +344,16 @@ ORACLES = {
     "geo_source": f"SELECT n_nationkey, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{c}'" for m, c, _ in geo.BOARD_COUNTRIES)} ELSE '' END AS country, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{r}'" for m, _, r in geo.BOARD_COUNTRIES)} ELSE 'eu' END AS region FROM nation",
     "geo_infer": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'United States' WHEN 1 THEN 'United Kingdom' WHEN 2 THEN 'Norway' ELSE '' END AS country, CASE c_custkey % 4 WHEN 0 THEN 'us' WHEN 1 THEN 'uk' WHEN 2 THEN 'nordics' ELSE '' END AS region FROM customer",
     "csv_record": "SELECT doc_id, source || chr(10) || lang AS lists, CAST(n_chars > 1000 AS INT) AS flag FROM documents",
+    "read_back": "SELECT doc_id, source, CAST(2 AS INT) AS n, n_chars > 1000 AS flag FROM documents",
+    "title_from_url": "SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM part",
+    "html_to_text": "SELECT s_suppkey, 'A & ' || s_name || chr(10) || 'b' || chr(10) || s_nationkey AS lines FROM supplier",
+    "role_links": "SELECT s_suppkey AS page_id, 'https://b.org/jobs/' || s_suppkey || '/x' AS url, 'Assistant Professor of ' || s_name AS title FROM supplier",
+    "structured_postings": """SELECT s_suppkey AS page_id, 'Chair of ' || s_name AS title, 'University ' || s_nationkey AS institution, 'Leeds, England' AS location, 'United Kingdom' AS country, 'uk' AS region, 'https://b.org/ld/' || s_suppkey AS application_url,
+          'Work on ' || s_suppkey AS description_text, '2026-05-0' || (s_nationkey % 9 + 1) AS date_posted, '2026-08-01' AS deadline, 'Job board' AS source_name FROM supplier
+        UNION ALL SELECT s_suppkey, 'Assistant Professor of ' || s_name, 'Institution not provided', '', '', '', 'https://b.org/jobs/' || s_suppkey || '/x',
+          'Candidate link extracted from Job board. Open the source page for the full job description.', NULL, NULL, 'Job board' FROM supplier""",
+    "summaries": """SELECT s_suppkey, 'Tenure-Track Assistant Professor of ' || s_name || ' Organisation: x at I, sourced from feed.' AS summary,
+        'Connect your strongest relevant research evidence to the advertised focus on ' || s_name || ', and name one credible collaboration or teaching contribution in S.' AS application_angle, s_name AS focus FROM supplier""",
     "extract_units": """SELECT doc_id, CASE WHEN source IS NULL OR lang IS NULL THEN '' ELSE 'Department of ' || source END AS unit,
         CASE WHEN source IS NULL OR lang IS NULL THEN '' ELSE 'West ' || lang END AS institution FROM documents""",
     "feed_postings": """SELECT doc_id * 100000 AS ord, 'Fellow ' || doc_id AS title, coalesce(source, 'Unknown institution') AS institution, 'https://a.org/' || doc_id AS application_url,

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, geo, text
-from tessera.sources import pages
+from tessera.operators import dedupe
+from tessera.sources import fetch, pages
 
 #: Marks of refused requests, tags that break lines, and labels of fields. Fixed values.
 BLOCKED = ("incapsula", "request unsuccessful", "pardon our interruption")
@@ -120,3 +121,17 @@ def postings(feeds: DataFrame) -> DataFrame:
     )
     out = pages.keep_first(out, "application_url", "ord")
     return out.withColumn("canonical_id", text.canonical_id(F.col("title"), F.col("institution"), F.col("application_url")))
+
+
+#: Bytes of a feed at most.
+FEED_BYTES = 5_000_000
+
+
+def collect(feeds: DataFrame, agent: str = "tessera", timeout: float = 30, delay: float = 2, opener: fetch.Opener = fetch.read_url) -> tuple[DataFrame, DataFrame]:
+    """Feeds (feed_id, url and their settings) as postings, each URL once over all feeds, and warnings (source, warning). Feeds are fetched once and
+    written to the shared folder."""
+    given = fetch.fetched(feeds, agent, timeout, delay, False, opener, FEED_BYTES).withColumn("payload", F.encode("html", "UTF-8")).drop("html")
+    given = dedupe.written(given, dedupe.shared_dir(feeds.sparkSession), "feeds")
+    here = given.where("warning is null")
+    unread = entries(here).where("warning is not null").join(here.select("feed_id", "name"), "feed_id").select(F.col("name").alias("source"), "warning")
+    return postings(here), given.where("warning is not null").select(F.col("name").alias("source"), "warning").union(unread)

@@ -36,7 +36,7 @@ class Links(HTMLParser):
         a = dict(attrs)
         if tag == "a":
             self._href, self._text = a.get("href") or "", []
-        elif tag == "script" and (a.get("type") or "").lower().startswith("application/ld+json"):
+        elif tag == "script" and (a.get("type") or "").lower().find("ld+json") >= 0:
             self._script = []
 
     def handle_data(self, data):
@@ -57,13 +57,13 @@ class Links(HTMLParser):
 
 def structured(node: object) -> Iterator[dict]:
     """The posting nodes of a JSON-LD document, in document order, nested ones too."""
-    if isinstance(node, dict):
-        kind = node.get("@type")
-        if "jobposting" in (str(x).lower() for x in (kind if isinstance(kind, list) else [kind])):
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        kinds = node.get("@type") if isinstance(node, dict) else None
+        if any(str(k).lower() == "jobposting" for k in (kinds if isinstance(kinds, list) else [kinds])):
             yield node
-        node = list(node.values())
-    for child in node if isinstance(node, list) else ():
-        yield from structured(child)
+        todo.extend(reversed(node if isinstance(node, list) else list(node.values()) if isinstance(node, dict) else []))
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def candidates(found: DataFrame, role_pattern: str = ROLE_TERMS, most: int = 150
     same_page = (host == urls.part(F.col("page_url"), 2)) & (path == F.regexp_replace(urls.part(F.col("page_url"), 3), "/+$", "")) & F.rlike("url", F.lit("#."))
     listing = F.rlike(F.lower(path), F.lit("|".join(re.escape(x) for x in urls.LISTING_PARTS)))
     low = F.lower("text")
-    kept = found.where(urls.is_http(F.col("url")) & ~low.startswith("skip to ") & ~same_page & ~listing)
+    kept = found.where((F.col("kind") == "a") & urls.is_http(F.col("url")) & ~low.startswith("skip to ") & ~same_page & ~listing)
     kept = kept.where(~low.isin(*GENERIC) | (urls.is_detail(F.col("url")) & low.isin(*FALLBACK)))
     kept = kept.withColumn("title", F.when(low.isin(*GENERIC) | (F.length("text") < 4), title_of("url")).otherwise(F.col("text")))
     kept = kept.where((F.col("title") != "") & ~F.lower("title").isin(*GENERIC) & F.rlike("title", F.lit("(?iu)" + role_pattern)))
@@ -123,9 +123,9 @@ def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def postings(pages: DataFrame, role_pattern: str = r".") -> DataFrame:
+def postings(pages: DataFrame, role_pattern: str = ROLE_TERMS) -> DataFrame:
     """Pages as postings: candidate links with their ids, first of each URL, with an order."""
-    found = candidates(links(pages.where(~blocked(F.col("html")))), role_pattern)
+    found = candidates(links(pages.where(F.coalesce(~blocked(F.col("html")), F.lit(True)))), role_pattern)
     first = keep_first(found, "url", "page_id", "pos")
     empty = {c: F.lit("") for c in ("department", "school", "location", "country", "region")}
     out = first.select((F.col("page_id") * 100_000 + F.col("pos")).alias("ord"), "title", F.lit("Institution not provided").alias("institution"), F.col("url").alias("application_url"), F.col("url").alias("source_url"), F.lit("pages").alias("source_name"), F.concat(F.lit("Candidate link extracted from pages: "), "text").alias("description_text"), F.lit(None).cast("string").alias("deadline")).withColumns(empty)
