@@ -25,8 +25,10 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the cluster's spark.checkpoint.dir, or, where it is unset (tests), our own."""
+    """The folder that all executors share: the cluster's spark.checkpoint.dir. A local session without it (tests) gets one of its own."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", conf)
