@@ -17,7 +17,87 @@ QUERIES = {
     "op10_html": html.op10_html,
 }
 
+#: Words of `t`, as a list without empty ones.
+_WORDS = "list_filter(string_split_regex({t}, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
+
+
+def _any_case(word: str) -> str:
+    """The word with ASCII letters in either case; the SQL engine's own switch folds further letters."""
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _places(pattern: str, kind: str, where: str = "true") -> str:
+    """u, kind, s, e, m of the leftmost non-overlapping matches in d: what lies between matches gives their places."""
+    return f"""SELECT u, '{kind}' AS kind, s, s + length(m) AS e FROM (
+        SELECT u, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(b[1:i], lambda x: length(x)))
+                                                  + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) AS s
+        FROM (SELECT u, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS b FROM d)) WHERE {where}"""
+
+
+_SIGN = "[\"'']?\\x20*[:=]\\x20*[\"'']?"
+_ASSIGN = f"(?:{'|'.join(_any_case(w) for w in ('password', 'passwd', 'secret', 'token', 'api_?key'))}){_SIGN}[A-Za-z0-9+/_.=-]+"
+_ACCOUNT = f"\\b(?:{'|'.join(_any_case(w) for w in ('username', 'user', 'login', 'account', 'client_?id'))}){_SIGN}[A-Za-z0-9_.@-]{{3,}}"
+_ENDPOINT = "\\b(?:https?|ftp|s3|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\\s\\x0B\\x1C-\\x1F\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\"''<>]+"
+
 ORACLES: dict[str, str] = {
+    "op1_secrets": f"""
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS t FROM documents),
+        base AS (SELECT *, 0 AS k, 's' AS role FROM ({_places(_ASSIGN, "assign", "length(regexp_replace(m, '^[^:=]*[:=]\\x20*[\"'']?', '')) >= 8")})
+            UNION ALL SELECT *, 1, 'i' FROM ({_places("AKIA[A-Z0-9]+", "access", "length(m) >= 16")})
+            UNION ALL SELECT *, 2, 's' FROM ({_places("[0-9a-f]{32,}", "hex")})),
+        weak AS (SELECT *, 3 AS k, 's' AS role FROM ({_places("[A-Za-z0-9+/_-]{20,}", "token", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')")})
+            UNION ALL SELECT *, 4, 'i' FROM ({_places(_ACCOUNT, "account")})
+            UNION ALL SELECT *, 5, 'e' FROM ({_places(_ENDPOINT, "endpoint")})),
+        blank AS ({_places("\\n[ \\t\\r]*\\n", "blank")}),
+        part AS MATERIALIZED (SELECT * FROM base UNION ALL SELECT * FROM weak),
+        link AS MATERIALIZED (SELECT a.u, a.s, a.e, a.k, a.kind, b.s AS s2, b.e AS e2, b.k AS k2, b.kind AS kind2 FROM part a JOIN part b ON a.u = b.u AND b.s BETWEEN a.e AND a.e + 200
+            WHERE a.role || b.role IN ('si', 'is', 'se', 'es') AND NOT EXISTS (SELECT 1 FROM blank x WHERE x.u = a.u AND x.s >= a.e AND x.s < b.s)),
+        spans AS (SELECT u, s, e, k, kind FROM base UNION SELECT u, s, e, k, kind FROM link WHERE k > 2 UNION SELECT u, s2, e2, k2, kind2 FROM link WHERE k2 > 2),
+        r AS (SELECT u, count(*) FILTER (WHERE k = 0) AS a, count(*) FILTER (WHERE k = 1) AS c, count(*) FILTER (WHERE k = 2) AS h,
+                     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (WHERE k < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k, e) AS spans FROM spans GROUP BY u),
+        n AS (SELECT u, count(*) AS n FROM link GROUP BY u)
+        SELECT d.doc_id, coalesce(r.a, 0) AS n_assign, coalesce(r.c, 0) AS n_access, coalesce(r.h, 0) AS n_hex, sha256(coalesce(r.base, '')) AS base_sha256,
+               coalesce(r.spans, '') AS spans, coalesce(n.n, 0) AS n_links FROM d LEFT JOIN r USING (u) LEFT JOIN n USING (u)""",
+    "op2_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS t FROM documents),
+        w AS (SELECT u, doc_id, {_WORDS.format(t="t")} AS w FROM d),
+        sets AS (SELECT u, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+        e AS MATERIALIZED (SELECT u, len(g) AS n, unnest(g) AS g FROM sets),
+        links AS MATERIALIZED (SELECT a.u AS a, b.u AS b FROM e a JOIN e b ON a.g = b.g AND a.u <> b.u AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+                  GROUP BY a.u, b.u, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+        reach(u, c) AS (SELECT u, doc_id FROM sets UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.u)
+        SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, r.component_id FROM sets s JOIN (SELECT u, min(c) AS component_id FROM reach GROUP BY u) r USING (u)""",
+    "op5_rlz": f"""
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
+        p AS (SELECT u, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word,
+                     unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 34 <= len(w) THEN md5_number(array_to_string(w[i:i + 34], ' ')) END)) AS h FROM d),
+        c AS (SELECT u, p, word, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS hit FROM p),
+        k AS (SELECT u, p, word, bool_or(hit) OVER (PARTITION BY u ORDER BY p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM c),
+        r AS (SELECT u, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY u)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(r.n_removed, 0) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (u)""",
+    "op6_near": """
+        WITH RECURSIVE v AS (SELECT row_number() OVER () AS u, vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+        ok AS (SELECT u, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        links AS MATERIALIZED (SELECT a.u AS a, b.u AS b FROM ok a JOIN ok b ON a.label = b.label AND a.u <> b.u AND len(a.e) = len(b.e)
+                  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+        reach(u, c) AS (SELECT u, vec_id FROM v UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.u),
+        comp AS (SELECT u, min(c) AS component_id FROM reach GROUP BY u),
+        n AS (SELECT a AS u, count(*) AS n FROM links GROUP BY a)
+        SELECT v.vec_id, coalesce(n.n, 0) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept FROM v JOIN comp USING (u) LEFT JOIN n USING (u)""",
+    "op7_rindex": """
+        WITH d AS (SELECT row_number() OVER () AS u, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        cut AS (SELECT u, 1000 * c AS base, substr(x, 2000 * c + 1, 2398) AS x, least(1000, length(x) // 2 - 1000 * c) AS n
+                FROM (SELECT u, x, unnest(range(0, (length(x) // 2 + 999) // 1000)) AS c FROM d)),
+        p AS (SELECT u, base + i AS p, substr(x, 2 * i - 1, 2) AS byte, CASE WHEN 2 * (i + 199) <= length(x) THEN md5_number(substr(x, 2 * i - 1, 400)) END AS h
+              FROM (SELECT u, base, x, unnest(range(1, n + 1)) AS i FROM cut)),
+        c AS (SELECT u, p, byte, h IS NOT NULL AND count(*) OVER (PARTITION BY h) > 1 AS hit FROM p),
+        k AS (SELECT u, p, byte, bool_or(hit) OVER (PARTITION BY u ORDER BY p ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM c),
+        s AS (SELECT u, p, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY u ORDER BY p), false) AS head FROM k),
+        r AS (SELECT u, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE head) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone) AS kept FROM s GROUP BY u)
+        SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(r.kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (u)""",
     "op8_topk": """
         WITH v AS (SELECT vec_id, row_number() OVER () AS u, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
                    FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)

@@ -355,3 +355,37 @@ def test_html_worst_pages():
     one = "<html><body><nav><a href=x>Home</a></nav><article>" + "<p>A sentence of plain prose, which says something.</p>" * 5 + "</article></body></html>"
     both = html.main_texts([one, "<p>x</p>" * 20_000, one], model)
     assert both[0] == both[2] == html.main_texts([one], model)[0]
+
+
+@pytest.mark.parametrize("name", ["op1_secrets", "op2_jaccard", "op5_rlz", "op6_near", "op7_rindex", "op8_topk"])
+def test_query_against_sql(spark, name):
+    """The queries of whole tables give the rows of their SQL."""
+    import duckdb
+
+    from tessera.llm import registry
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, folder).select(*want.columns)
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r)) for r in got.collect())
+
+
+def test_secrets_in_odd_texts(spark):
+    """Pieces of the rules put together at random, and nulls and repeated rows, against the SQL."""
+    import duckdb
+
+    from tessera.llm import registry
+
+    r = random.Random(11)
+    odd = ["token", "Secret", "paſsword", "api_key", "APIKEY", "passwd", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGHIJKL", "0f" * 16, "deadbeef", "abcd1234", "\n", "\n\n", " \n \n", "user", "username: bob1", "https://a.example/x", "Zx9Kq2Lm8Pw4Rt6Yv1Bn", "é", " ", "==", "_", "-", "tail"]
+    rows = [(i, "".join(r.choice(odd) for _ in range(r.randint(0, 60)))) for i in range(400)] + [(900, None), (900, ""), (901, "token=abcdefgh"), (901, "token=abcdefgh"), (None, "secret: 12345678")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(registry.ORACLES["op1_secrets"])
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).select(*want.columns).collect()
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(x)) for x in got)
+    assert sum(x["n_links"] for x in got) > 100
