@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +112,13 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
+def lists_of(column: pa.Array) -> Callable[[int], np.ndarray]:
+    """The list of longs of a row, without copies; a null is empty."""
+    offs, values = column.offsets.to_numpy(), column.values.to_numpy()
+    null = column.is_null().to_numpy(zero_copy_only=False)
+    return lambda i: values[:0] if null[i] else values[offs[i] : offs[i + 1]]
+
+
 _RNG = np.random.default_rng(20240607)
 BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_LOWER = BYTE.copy()
@@ -213,9 +220,7 @@ def i64(a: np.ndarray) -> np.ndarray:
 
 def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """True where any of the spans [start, end) lies."""
-    d = np.zeros(n + 1, np.int64)
-    np.add.at(d, start, 1)
-    np.add.at(d, end, -1)
+    d = np.bincount(start, minlength=n + 1) - np.bincount(end, minlength=n + 1)
     return np.cumsum(d[:-1]) > 0
 
 

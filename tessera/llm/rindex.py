@@ -59,14 +59,15 @@ class RunIndex:
             nxt = np.full(n, -1, np.int64)
             nxt[: n - width] = rank[width:]
             key = rank * (int(rank.max(initial=0)) + 2) + nxt + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.empty(n, np.int64)
             k = key[order]
             new[order] = np.cumsum(np.r_[True, k[1:] != k[:-1]]) - 1
             rank, width, distinct = new, 2 * width, bool((k[1:] != k[:-1]).all())
             ranks.append(rank)
         self.n, self.ranks = n, ranks
-        self.suffixes = np.argsort(rank, kind="stable")
+        self.suffixes = np.empty(n, np.int64)
+        self.suffixes[rank] = np.arange(n)
         self.bwt = s[self.suffixes - 1]
         self.heads = np.flatnonzero(np.r_[True, self.bwt[1:] != self.bwt[:-1]]) if n else np.zeros(0, np.int64)
 
@@ -87,14 +88,14 @@ class RunIndex:
         """For each place, the longest match with any other place, from samples at the ends of runs."""
         best = np.zeros(self.n, np.int64)
         at = np.arange(self.n)
-        heads, tails = self.heads[self.heads > 0], self.heads[self.heads > 0] - 1
-        for own, other in ((heads, heads - 1), (tails, tails + 1)):
-            if not len(own):
-                continue
-            here = self.suffixes[own]
-            value = np.full(self.n, -self.n, np.int64)
-            value[here] = self.prefix(here, self.suffixes[other]) + here
-            best = np.maximum(best, np.maximum.accumulate(value) - at)
+        heads = self.heads[self.heads > 0]
+        if len(heads):  # a run's end and the next one's head have each other's prefix
+            common_ = self.prefix(self.suffixes[heads], self.suffixes[heads - 1])
+            for own in (heads, heads - 1):
+                here = self.suffixes[own]
+                value = np.full(self.n, -self.n, np.int64)
+                value[here] = common_ + here
+                best = np.maximum(best, np.maximum.accumulate(value) - at)
         return best
 
 
@@ -272,12 +273,11 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = []
-            starts, ends, js = (b.column(c) for c in ("starts", "ends", "js"))
+            starts, ends, js = (common.lists_of(b.column(c)) for c in ("starts", "ends", "js"))
             for i, text in enumerate(b.column(1).to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 n = len(raw)
-                j = np.array(js[i].as_py() or [], np.int64)
-                s, t = (np.array(c[i].as_py() or [], np.int64) for c in (starts, ends))
+                j, s, t = js(i), starts(i), ends(i)
                 off = common.cover(n, np.r_[s, j], np.r_[t, j + length]) if len(s) + len(j) else np.zeros(n, bool)
                 kept = np.frombuffer(raw, np.uint8)[~off].tobytes()
                 runs = int(off[0] + (off[1:] & ~off[:-1]).sum()) if n else 0

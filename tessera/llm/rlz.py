@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def run(batches):
         for b in batches:
             total, gone, sha, kept = [], [], [], []
-            starts, ends, js = (b.column(c) for c in ("starts", "ends", "js"))
+            starts, ends, js = (common.lists_of(b.column(c)) for c in ("starts", "ends", "js"))
             for lo, hi, buf, offs in common.text_slices(b.column(1)):
                 ws, we = common.word_bounds(buf, offs)
                 cut = np.searchsorted(ws, offs)
@@ -78,8 +78,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 for i in range(hi - lo):
                     a, e = cut[i], cut[i + 1]
                     n = int(e - a)
-                    j = np.array(js[lo + i].as_py() or [], np.int64)
-                    s, t = (np.array(c[lo + i].as_py() or [], np.int64) for c in (starts, ends))
+                    j, s, t = js(lo + i), starts(lo + i), ends(lo + i)
                     off = common.cover(n, np.r_[s, j], np.r_[t, j + length]) if len(s) + len(j) else np.zeros(n, bool)
                     keep = a + np.flatnonzero(~off)
                     text = b" ".join([raw[x:y] for x, y in zip(ws[keep], we[keep], strict=True)])
