@@ -1,6 +1,7 @@
 """N-gram Jaccard join: a size-aware heavy-light join over sets of word shingles, up to the components of its links.
 
-Texts with equal sets are one node, named by the set's 64-bit digest. Nodes with sets of at most `boundary` shingles are light, others heavy.
+Texts with equal sets are one node, named by a 64-bit digest of the set; a second digest tells sets of one name apart, and these are named anew until no name
+is held by two sets. Nodes with sets of at most `boundary` shingles are light, others heavy.
 
 Light sets: two sets of a and b shingles link when they share o(a, b) = ceil(t (a + b) / (1 + t)); so a light set enumerates, for each
 size b that may link, its subsets of exactly o(a, b) shingles, and linked sets meet at one of them.
@@ -19,7 +20,10 @@ nodes that stand for it, in rounds, and only pairs of one list that lie in
 different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
 its parity sketches (bit h of 64 * SKETCH flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
 differ in shingles: the number of differing bits is a lower bound of that. Every pair of a list is thus verified, excluded or already
-connected, so components are those of all links. Verification counts shared shingles of the whole texts.
+connected, so components are those of all links. A list with more than WIDE nodes outside its most frequent component is not paired as it stands: its nodes
+are dealt again, by blocks of another hash, and linked sets agree on one of these too, so pairs are taken from nodes that share list and second block. A part of
+the postings that is far above the average, as one list may hold a third of all nodes, is not read by one task: its postings are rows, whose pivots are
+aggregates and found again by key. Verification counts shared shingles of the whole texts.
 
 Nulls and texts without words have no shingles and no links; a null doc_id is never a component's name unless all of it is null. Repeated
 rows share node and component. Other columns do not take part. An empty table gives no rows.
@@ -57,6 +61,12 @@ PIVOTS = 3
 ROUNDS = 1
 #: Least keys of its lists that a node carries: a pair is left to a smaller list that both are known to be in.
 KEYS = 12
+#: Nodes outside a list's most frequent component beyond which the list is dealt again by second blocks before it is paired.
+WIDE = 256
+#: A part of more than so many times PART postings is split over tasks.
+LARGE = 8
+#: Bits of a node's first name.
+NAME_BITS = 64
 #: Cost of verifying a candidate of a list against that of one posting.
 VERIFY = 3.0
 
@@ -77,14 +87,22 @@ def shingle_sets(column: pa.Array, k: int):
                 yield lo + i, np.zeros(0, np.uint64)
 
 
-def digest(s: np.ndarray) -> int:
+def digest(s: np.ndarray, salt: int = 0) -> int:
     """A signed 64-bit digest of a set; 0 is kept for the empty one."""
     if not len(s):
         return 0
-    x = int(common.mix(np.array([int(common.mix(s + np.uint64(0xA5A5)).sum(dtype=np.uint64)) ^ len(s) * 0x2545F491], np.uint64))[0])
+    tag = np.uint64(0xA5A5 + salt * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+    x = int(common.mix(np.array([int(common.mix(s + tag).sum(dtype=np.uint64)) ^ len(s) * 0x2545F491], np.uint64))[0])
     return (x or 1) - (1 << 64) if (x or 1) >= 1 << 63 else (x or 1)
 
 
+def name_of(s: np.ndarray, shared: frozenset[int], bits: int) -> int:
+    """The first of a set's digests that is not among the names known to be shared by unlike sets; of the first one, `bits` bits count."""
+    first = digest(s)
+    first = first if bits == 64 or not first else (first & (1 << bits) - 1) or 1
+    return first if first not in shared else next(d for d in (digest(s, i) for i in itertools.count(2)) if d not in shared)
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """The parity sketch of a set: SKETCH signed 64-bit words."""
     bits = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
@@ -157,11 +175,18 @@ def signatures(s: np.ndarray, num: int, den: int, light: int, bands: Bands) -> n
                 keys.append(common.mix(common.mix(s)[c].sum(axis=1, dtype=np.uint64) + tag * np.uint64(0x9E3779B1)))
         if n * den < num * (light + 1):
             return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    return np.concatenate([*keys, block_keys(s, bands)])
+
+
+def block_keys(s: np.ndarray, bands: Bands, salt: int = 0) -> np.ndarray:
+    """The keys of a set's blocks in its band and the next; linked sets share one. salt: another dealing of shingles to blocks."""
+    n, keys = len(s), []
     k = bands.of(n)
     values = common.mix(s ^ np.uint64(0x51ED27))
+    dealt = common.mix(s + np.uint64(salt)) if salt else s
     for band in (k, k + 1):
         p, spare = bands.blocks(band)
-        block = (s % np.uint64(p)).astype(np.int64)
+        block = (dealt % np.uint64(p)).astype(np.int64)
         order = np.argsort(block, kind="stable")
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values[order], out=total[1:], dtype=np.uint64)
@@ -173,23 +198,23 @@ def signatures(s: np.ndarray, num: int, den: int, light: int, bands: Bands) -> n
     return np.concatenate(keys)
 
 
-def nodes_of(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, hash of the text, node, n_shingles and the parity sketch s0, s1, ... of every document; node is 0 without shingles."""
+def nodes_of(docs: DataFrame, k: int, shared: frozenset[int], bits: int) -> DataFrame:
+    """doc_id, hash of the text, node, second digest, n_shingles and the parity sketch s0, s1, ... of every document; node is 0 without shingles."""
     sketch = [f"s{i}" for i in range(SKETCH)]
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
-            n, d, p = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, SKETCH), np.int64)
+            (n, d, e), p = np.zeros((3, b.num_rows), np.int64), np.zeros((b.num_rows, SKETCH), np.int64)
             for i, s in shingle_sets(b.column(1), k):
-                n[i], d[i], p[i] = len(s), digest(s), parity(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(n), *(pa.array(c) for c in p.T.copy())], names=["doc_id", "th", "node", "n_shingles", *sketch])
+                n[i], d[i], e[i], p[i] = len(s), name_of(s, shared, bits), digest(s, 1), parity(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(e), pa.array(n), *(pa.array(c) for c in p.T.copy())], names=["doc_id", "th", "node", "second", "n_shingles", *sketch])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, second long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
 
 
-def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int) -> DataFrame:
-    """part, keys, nodes: postings dealt to `parts` parts by key and packed, a row for each part and FLUSH postings of a task."""
+def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int, shared: frozenset[int], bits: int) -> DataFrame:
+    """part, n, keys, nodes: postings dealt to `parts` parts by key and packed, a row for each part and FLUSH postings of a task."""
 
     def packed(keys: list, nodes: list, lens: list):
         key, node = np.concatenate(keys), np.repeat(np.array(nodes, np.int64), lens)
@@ -199,13 +224,13 @@ def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int
         there, first = np.unique(part[order], return_index=True)
         cut = np.r_[first, len(key)]
         cols = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (key, node)]
-        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "keys", "nodes"])
+        return pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(np.diff(cut), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["part", "n", "keys", "nodes"])
 
     def run(batches):
         bands, keys, nodes, lens, seen, total = Bands(num, den), [], [], [], set(), 0
         for b in batches:
             for _, s in shingle_sets(b.column(0), k):
-                if len(s) and (d := digest(s)) not in seen:
+                if len(s) and (d := name_of(s, shared, bits)) not in seen:
                     seen.add(d)
                     keys.append(signatures(s, num, den, light, bands))
                     nodes.append(d)
@@ -217,7 +242,7 @@ def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int
         if total:
             yield packed(keys, nodes, lens)
 
-    return docs.select("text").mapInArrow(run, "part int, keys binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "part int, n long, keys binary, nodes binary")
 
 
 PAIR = np.dtype([("a", np.int64), ("b", np.int64)])
@@ -231,8 +256,7 @@ def distinct(pairs: np.ndarray) -> np.ndarray:
 
 def scanned(packed: DataFrame, parts: int) -> DataFrame:
     """key, node and pivots p0, p1, p2 of the lists of more than SHORT nodes; and, under key -1, the distinct pairs node, p0 of shorter ones, a
-    bounded number for each posting. A part holds PART postings on average; a node enters each list once and its lists are
-    spread over all parts, so one list, however long, is a small share of the postings."""
+    bounded number for each posting. A part holds PART postings on average; those of more than LARGE times that are left to `split`."""
 
     def run(batches):
         keys, nodes, part = [], [], None
@@ -285,14 +309,43 @@ def scanned(packed: DataFrame, parts: int) -> DataFrame:
                     yield from lists(part, keys, nodes)
                     keys, nodes = [], []
                 part = p
-                keys.append(np.frombuffer(b.column(1)[i].as_py(), np.uint32))
-                nodes.append(np.frombuffer(b.column(2)[i].as_py(), np.int64))
+                keys.append(np.frombuffer(b.column(2)[i].as_py(), np.uint32))
+                nodes.append(np.frombuffer(b.column(3)[i].as_py(), np.int64))
         if keys:
             yield from lists(part, keys, nodes)
 
     return packed.repartition(min(parts, PARTITIONS), "part").sortWithinPartitions("part").mapInArrow(run, "key long, node long, p0 long, p1 long, p2 long")
 
 
+def split(packed: DataFrame, parts: int) -> DataFrame:
+    """What `scanned` gives, by rows: no task reads a whole part or list. Pivots are aggregates, combined before they are shuffled."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                key = np.frombuffer(b.column(2)[i].as_py(), np.uint32).astype(np.int64) * parts + b.column(0)[i].as_py()
+                node = np.frombuffer(b.column(3)[i].as_py(), np.int64)
+                for a in range(0, len(key), 1 << 18):
+                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + (1 << 18)]), pa.array(node[a : a + (1 << 18)])], names=["key", "node"])
+
+    rows = common.materialise(packed.repartition("part", "nodes").mapInArrow(run, "key long, node long").distinct(), "jaccard-split")
+    each = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", F.xxhash64("node")).alias("p2"))
+    each = common.materialise(each.where("n > 1"), "jaccard-split-keys")
+    out = common.lookup(rows, each, ["key"], "n", rows.count(), ("n", "p0", "p1", "p2"))
+    few = out.where(f"n <= {SHORT}")
+    pairs = few.select("key", "node").join(few.select("key", F.col("node").alias("x")), "key").where("node < x").select("node", "x").distinct()
+    return out.where(f"n > {SHORT}").select("key", "node", "p0", "p1", "p2").union(pairs.select(F.lit(-1).cast("long"), "node", "x", "x", "x"))
+
+
+def lists_of(packed: DataFrame, parts: int) -> DataFrame:
+    """The lists of all parts, written to the shared folder. Parts of more than LARGE * PART postings are at most 1 / LARGE of the parts, of 4 bytes each."""
+    large = common.materialise(packed.groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > LARGE * PART).select("part"), "jaccard-large")
+    if large.isEmpty():
+        return common.materialise(scanned(packed, parts), "jaccard-lists")
+    near, far = packed.join(F.broadcast(large), "part", "left_anti"), packed.join(F.broadcast(large), "part", "left_semi")
+    return common.materialise(scanned(near, parts).union(split(far, parts)), "jaccard-lists")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link."""
 
@@ -317,20 +370,41 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
 
 
 def texts_of(docs: DataFrame, known: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text of the nodes of the pairs: the text of one document of each, found by its doc_id and hash."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    """node, text of the nodes of the pairs."""
+    return text_of(docs, known, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+
+
+def text_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the nodes: the text of one document of each, found by its doc_id and hash."""
     rep = known.select("node", F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th")).join(wanted, "node")
     return docs.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, node, c of the lists, c the node's component by the links; and key, main, rep of those of more than one component: the most frequent
-    one, and a node of it that differs from list to list."""
+    """key, node, c of the lists, c the node's component by the links; and key, main, rep, size, outside of those of more than one component: the most
+    frequent one, a node of it that differs from list to list, the list's nodes, and those outside the most frequent component."""
     found = common.components(links, "jaccard-components").select("node", "component")
     named = common.materialise(lists.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "jaccard-named")
     each = named.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("r"))
-    each = each.groupBy("key").agg(F.max(F.struct("n", "c", F.col("r.node").alias("rep"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep")), "jaccard-main")
+    each = each.groupBy("key").agg(F.max(F.struct("n", "c", F.col("r.node").alias("rep"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("n").alias("size"))
+    return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep"), "size", (F.col("size") - F.col("m.n")).alias("outside")), "jaccard-main")
+
+
+def dealt_again(wide: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """key, node, c, main, at of wide lists (key, node, c, main): `at` is a number for key and second block, alike for linked nodes of a list somewhere. A node
+    has as many rows as blocks for each of its lists, where pairing a list of m nodes takes m rows each. texts: node, text."""
+
+    def run(batches):
+        bands = Bands(num, den)
+        for b in batches:
+            keys = [np.zeros(0, np.int64)] * b.num_rows
+            for i, s in shingle_sets(b.column(1), k):
+                keys[i] = np.unique(block_keys(s, bands, 0x2C1B3C6D)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "blocks"])
+
+    blocks = common.materialise(texts.select("node", "text").mapInArrow(run, "node long, blocks array<long>"), "jaccard-blocks")
+    out = wide.join(blocks, "node").select("key", "node", "c", "main", F.explode("blocks").alias("block"))
+    return out.select("key", "node", "c", "main", F.xxhash64("key", "block").alias("at"))
 
 
 def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -338,17 +412,29 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     spark = docs.sparkSession
     common.tune(spark)
     docs = docs.select("doc_id", "text")
-    nodes = common.materialise(nodes_of(docs, k), "jaccard-nodes")
+    sketch, shared = [f"s{i}" for i in range(SKETCH)], frozenset()
+    while True:
+        nodes = common.materialise(nodes_of(docs, k, shared, NAME_BITS), "jaccard-nodes")
+        known = nodes.where("node <> 0").groupBy("node").agg(
+            F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch), (F.min("second") < F.max("second")).alias("twice")
+        )
+        known = common.materialise(known, "jaccard-known")
+        # Of n sets, about n * n / 2 ** 65 pairs share a name: 70 of 5e10.
+        again = frozenset(r[0] for r in known.where("twice").select("node").collect())
+        if not again:
+            break
+        shared |= again
+        common.discard(nodes, known)
+    known = known.drop("twice")
     sizes = nodes.where(f"n_shingles between 1 and {LIGHT_MOST}").groupBy("n_shingles").count().collect()
     light = boundary({r[0]: r[1] for r in sizes}, num, den)
     bands, per = Bands(num, den), {}
     for n, count in nodes.groupBy("n_shingles").count().collect():
         per[n] = count * (2 if n < 1 else bands.blocks(bands.of(n))[0] + bands.blocks(bands.of(n) + 1)[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(per.values()) // PART))
-    cand = common.materialise(scanned(postings(docs, k, num, den, light, parts), parts), "jaccard-lists")
-    sketch = [f"s{i}" for i in range(SKETCH)]
-    known = nodes.where("node <> 0").groupBy("node").agg(F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch))
-    known = common.materialise(known, "jaccard-known")
+    packed = common.materialise(postings(docs, k, num, den, light, parts, shared, NAME_BITS), "jaccard-postings")
+    cand = lists_of(packed, parts)
+    common.discard(packed)
     differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
     may_link = f"({differ}) * {num + den} <= (n + nx) * {den - num} and n * {den} >= nx * {num} and nx * {den} >= n * {num}"
     fold = [" ^ ".join(f"s{j}" for j in range(i, SKETCH, FOLD)) for i in range(FOLD)]
@@ -364,9 +450,10 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     first = common.materialise(verified(pairs, texts_of(docs, known, pairs), k, num, den), "jaccard-links")
     links = first
     named, main = in_components(lists, links)
+    total = lists.count()
     for _ in range(ROUNDS):
         # Nodes outside their list's most frequent component meet a node of it, another in each list; those nearest by sketch are verified.
-        met = named.join(main, "key").where("c <> main").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("x"), F.col("node").alias("who")).distinct()
+        met = common.lookup(named, main, ["key"], "size", total, ("main", "rep")).where("c <> main").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("x"), F.col("node").alias("who")).distinct()
         near = met.join(known, "node").join(right, "x").where(may_link).select("who", F.struct(F.expr(differ).alias("d"), F.col("node").alias("a"), F.col("x").alias("b")).alias("p"))
         near = near.groupBy("who").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
         near = common.materialise(near, "jaccard-pairs")
@@ -378,9 +465,15 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     # Near copies share very many lists; a pair is taken from the smallest that both carry, or any below it, never from those above.
     carried = lists.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("ks")).join(short, "node")
     carried = common.materialise(carried, "jaccard-carried")
-    out = named.join(main, "key").where("c <> main").select("key", "main", F.col("node").alias("x"), F.col("c").alias("cx"))
+    named = common.lookup(named, main, ["key"], "size", total, ("main", "outside"))
+    wide = named.where(F.col("outside") > WIDE).select("key", "node", "c", "main")
+    paired = named.where(F.col("outside") <= WIDE).select("key", "node", "c", "main", F.col("key").alias("at"))
+    if not main.where(F.col("outside") > WIDE).isEmpty():
+        again = dealt_again(wide, text_of(docs, known, wide.select("node").distinct()), k, num, den)
+        paired = common.materialise(paired.union(again), "jaccard-again")
+    out = paired.where("c <> main").select("at", F.col("node").alias("x"), F.col("c").alias("cx"))
     out = out.join(carried.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ks").alias("xks"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD))), "x")
-    more = named.join(carried, "node").join(out, "key").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
+    more = paired.join(carried, "node").join(out, "at").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
     more = more.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).distinct().join(known, "node").join(right, "x").where(may_link)
     more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
     second = verified(more, texts_of(docs, known, more), k, num, den)
