@@ -20,8 +20,7 @@ nodes that stand for it, in rounds, and only pairs of one list that lie in
 different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
 its parity sketches (bit h of 64 * SKETCH flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
 differ in shingles: the number of differing bits is a lower bound of that. Every pair of a list is thus verified, excluded or already
-connected, so components are those of all links. A list with more than WIDE nodes outside its most frequent component is not paired as it stands: its nodes
-are dealt again, by blocks of another hash, and linked sets agree on one of these too, so pairs are taken from nodes that share list and second block. A part of
+connected, so components are those of all links. A part of
 the postings that is far above the average, as one list may hold a third of all nodes, is not read by one task: its postings are rows, whose pivots are
 aggregates and found again by key. Verification counts shared shingles of the whole texts.
 
@@ -61,8 +60,6 @@ PIVOTS = 3
 ROUNDS = 1
 #: Least keys of its lists that a node carries: a pair is left to a smaller list that both are known to be in.
 KEYS = 12
-#: Nodes outside a list's most frequent component beyond which the list is dealt again by second blocks before it is paired.
-WIDE = 256
 #: A part of more than so many times PART postings is split over tasks.
 LARGE = 8
 #: Bits of a node's first name.
@@ -390,23 +387,6 @@ def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep"), "size", (F.col("size") - F.col("m.n")).alias("outside")), "jaccard-main")
 
 
-def dealt_again(wide: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """key, node, c, main, at of wide lists (key, node, c, main): `at` is a number for key and second block, alike for linked nodes of a list somewhere. A node
-    has as many rows as blocks for each of its lists, where pairing a list of m nodes takes m rows each. texts: node, text."""
-
-    def run(batches):
-        bands = Bands(num, den)
-        for b in batches:
-            keys = [np.zeros(0, np.int64)] * b.num_rows
-            for i, s in shingle_sets(b.column(1), k):
-                keys[i] = np.unique(block_keys(s, bands, 0x2C1B3C6D)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "blocks"])
-
-    blocks = common.materialise(texts.select("node", "text").mapInArrow(run, "node long, blocks array<long>"), "jaccard-blocks")
-    out = wide.join(blocks, "node").select("key", "node", "c", "main", F.explode("blocks").alias("block"))
-    return out.select("key", "node", "c", "main", F.xxhash64("key", "block").alias("at"))
-
-
 def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, hash of the text, n_shingles, component_id of every row: components of the links of similarity num / den or more."""
     spark = docs.sparkSession
@@ -465,12 +445,8 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     # Near copies share very many lists; a pair is taken from the smallest that both carry, or any below it, never from those above.
     carried = lists.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("ks")).join(short, "node")
     carried = common.materialise(carried, "jaccard-carried")
-    named = common.lookup(named, main, ["key"], "size", total, ("main", "outside"))
-    wide = named.where(F.col("outside") > WIDE).select("key", "node", "c", "main")
-    paired = named.where(F.col("outside") <= WIDE).select("key", "node", "c", "main", F.col("key").alias("at"))
-    if not main.where(F.col("outside") > WIDE).isEmpty():
-        again = dealt_again(wide, text_of(docs, known, wide.select("node").distinct()), k, num, den)
-        paired = common.materialise(paired.union(again), "jaccard-again")
+    named = common.lookup(named, main, ["key"], "size", total, ("main",))
+    paired = named.select("key", "node", "c", "main", F.col("key").alias("at"))
     out = paired.where("c <> main").select("at", F.col("node").alias("x"), F.col("c").alias("cx"))
     out = out.join(carried.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ks").alias("xks"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD))), "x")
     more = paired.join(carried, "node").join(out, "at").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
