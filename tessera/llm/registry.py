@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import embeddings, html, jaccard, langid, mixing, packing, rindex, rlz, secrets
+from tessera.llm import embeddings, html, jaccard, langid, middle, mixing, packing, rindex, rlz, secrets, sharding, trie
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_topk": embeddings.op8_topk,
     "op9_language": langid.op9_language,
     "op10_html": html.op10_html,
+    "op11_trie": trie.op11_trie,
+    "op12_middle": middle.op12_middle,
+    "op13_reshard": sharding.op13_reshard,
 }
 
 #: Words of `t`, as a list without empty ones.
@@ -106,4 +109,34 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY u ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op11_trie": """
+        WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT c, r, x, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(r) || ':' || r || x)) - 1 AS p FROM t),
+        v AS (SELECT c, n, c - c % 20 AS f, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))),
+                 lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda z, i: xor(z >> 1, CASE WHEN z & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295) % 4 AS h
+              FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+        s AS (SELECT v.*, least(v.h, coalesce(o.n, 0)) AS s FROM v LEFT JOIN v o ON o.c = v.f),
+        b AS (SELECT s.c, p.p, r, x FROM s JOIN p ON p.c = s.f WHERE p.p < s.h UNION ALL SELECT s.c, p.p - s.h + s.s, r, x FROM s JOIN p ON p.c = s.c WHERE p.p >= s.h),
+        m AS MATERIALIZED (SELECT c, p + 1 AS d, sha256(string_agg(sha256(length(r) || ':' || r || x), '' ORDER BY p) OVER (PARTITION BY c ORDER BY p)) AS k,
+                     len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM b UNION ALL SELECT c, 0, '', 0 FROM v),
+        g AS (SELECT d, k, min(c) AS top, count(*) AS n, any_value(w) AS w FROM m GROUP BY d, k),
+        q AS MATERIALIZED (SELECT m.c, m.d, g.top, g.n, (g.n - 1) * g.w AS w FROM m JOIN g ON g.d = m.d AND g.k = m.k),
+        l AS (SELECT c, max(d) AS len FROM m GROUP BY c),
+        e AS (SELECT q.d, q.top, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM q JOIN l USING (c) WHERE q.d = l.len GROUP BY q.d, q.top),
+        o AS MATERIALIZED (SELECT a.d, a.top, a.n, a.w, b.top AS up FROM q a LEFT JOIN q b ON b.c = a.c AND b.d = a.d - 1 WHERE a.c = a.top),
+        kids AS (SELECT d - 1 AS d, up AS top, count(*) AS n FROM o WHERE d > 0 GROUP BY 1, 2),
+        z AS (SELECT a.d, a.top, sum(o.w) AS saved, count(*) FILTER (WHERE kids.n IS NULL) AS leaves FROM o JOIN q a ON a.c = o.top AND a.d <= o.d LEFT JOIN kids ON kids.d = o.d AND kids.top = o.top GROUP BY 1, 2)
+        SELECT o.top AS conv_id, CAST(o.d AS BIGINT) AS depth, o.up AS parent_conv_id, o.n AS n_convs, coalesce(kids.n, 0) AS n_children, CAST(z.leaves AS BIGINT) AS n_leaves,
+               CAST(z.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM o JOIN z ON z.d = o.d AND z.top = o.top LEFT JOIN kids ON kids.d = o.d AND kids.top = o.top LEFT JOIN e ON e.d = o.d AND e.top = o.top""",
+    "op12_middle": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+        h AS (SELECT *, CAST('0x' || substr(s, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(s, 9, 8) AS BIGINT) % (n + 1) AS b,
+                     CASE WHEN n = 0 OR regexp_matches(t, '<[PSM]>') OR CAST('0x' || substr(s, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+                          WHEN CAST('0x' || substr(s, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        c AS (SELECT *, least(a, b) AS lo, greatest(a, b) AS hi FROM h),
+        p AS (SELECT *, substr(t, 1, lo) AS p, substr(t, lo + 1, hi - lo) AS m, substr(t, hi + 1) AS x FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || x || '<M>' || m ELSE '<S>' || x || '<P>' || p || '<M>' || m END) AS output_sha256,
+               sha256(t) AS restored_sha256 FROM p""",
 }
