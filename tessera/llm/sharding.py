@@ -211,7 +211,7 @@ def reshard(old: Layout, weights: list[float], cost: np.ndarray | None = None) -
     path, fresh = _write(fresh, "reshard")
     moved = fresh.agg(F.sum(F.when(F.col("from") != F.col("shard"), F.col("size"))), F.sum("size")).first()
     fresh = fresh.drop("from")
-    same = old.files.join(F.broadcast(leaves), FILE, "left_anti")
+    same = old.files.join(F.broadcast(leaves), FILE, "left_anti").select(*old.files.columns)
     files = common.materialise(same.unionByName(_files(fresh, path)), "files", keep=True)
     return Layout(new, old.rows.join(F.broadcast(leaves), FILE, "left_anti").unionByName(fresh), files, old.round + 1, moved[0] or 0, moved[1] or 0)
 
