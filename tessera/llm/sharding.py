@@ -95,15 +95,29 @@ def targets(total: int, weights: list[float]) -> list[int]:
     return [b - a for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def place_large(large: list[tuple], goal: list[int]) -> tuple[dict[tuple, int], list[int]]:
-    """The new shard of each large row (size, shard, ...): its own while that has room, else the one with most room; and the sizes they give the shards."""
-    load, to = [0] * len(goal), {}
+def place_large(large: list[tuple], total: int, weights: list[float]) -> tuple[dict[tuple, int], list[int], list[int]]:
+    """The new shard of each large row (size, shard, ...), the sizes they give the shards, and the shards' goals.
+
+    A row above every goal fills a shard alone and the other goals are set anew; else a row stays while its shard has room, or goes where most room is.
+    """
+    load, to, goal = [0] * len(weights), {}, targets(total, weights)
+    open_ = list(range(len(weights)))
     for row in sorted(large, reverse=True):
         size, own = row[0], row[1]
-        j = own if own < len(goal) and load[own] + size <= goal[own] else max(range(len(goal)), key=lambda s: (goal[s] - load[s], -s))
+        if len(open_) > 1 and size > max(goal[s] for s in open_):
+            j = own if own in open_ else max(open_, key=lambda s: (goal[s], -s))
+            open_.remove(j)
+            total -= size
+            goal[j] = size
+            for s, g in zip(open_, targets(total, [weights[s] for s in open_]), strict=True):
+                goal[s] = g
+        elif own in open_ and load[own] + size <= goal[own]:
+            j = own
+        else:
+            j = max(open_, key=lambda s: (goal[s] - load[s], -s))
         load[j] += size
         to[row] = j
-    return to, load
+    return to, load, goal
 
 
 def rooms(goal: list[int], load: list[int], supply: int) -> list[int]:
@@ -174,7 +188,7 @@ def reshard(old: Layout, weights: list[float], cost: np.ndarray | None = None) -
     """The layout brought to one shard for each weight, sizes in proportion to the weights, at least cost; cost: of a byte from old shard to new one.
 
     By default staying in the shard of the same number costs 0 and any move 1, so the fewest bytes move. Sizes differ from their goals by less than 1 / LARGE of
-    all bytes for each piece a shard gets; a row that is larger than a goal has its shard above it. Rows of 1 / LARGE of all bytes or more are placed one by one.
+    all bytes for each piece a shard gets; a row above every goal has a shard of its own. Rows of 1 / LARGE of all bytes or more are placed one by one.
     """
     spark, new = old.rows.sparkSession, len(weights)
     if cost is None:
@@ -185,8 +199,7 @@ def reshard(old: Layout, weights: list[float], cost: np.ndarray | None = None) -
     for r in small.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect():
         supply[r["shard"]] = r["bytes"]
     large = [tuple(r) for r in old.rows.where("large").select("size", *FILE, "place").collect()]
-    goal = targets(sum(supply) + sum(r[0] for r in large), weights)
-    to, load = place_large(large, goal)
+    to, load, goal = place_large(large, sum(supply) + sum(r[0] for r in large), weights)
     flow = min_cost_flow(supply, rooms(goal, load, sum(supply)), cost)
 
     before = Window.partitionBy("shard").orderBy("round", "block").rowsBetween(Window.unboundedPreceding, -1)
