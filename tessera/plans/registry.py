@@ -148,46 +148,67 @@ def target_match(spark, d):
     return digest.match_targets(p, targets, "ord")
 
 
-#: What a posting of a query has in the columns that it does not set.
-BLANK = {c: "" for c in (*dedupe.FILLED, "title", "institution", "application_url", "description_text", "fit_category", "role_type")}
-
-
-def blank(rows, **cols):
-    """rows as postings: the given columns, and blanks for all others."""
-    given = {c: F.lit(v) for c, v in BLANK.items()} | {c: F.array().cast("array<string>") for c in dedupe.LISTS} | {"fit_score": F.lit(0.0), "is_priority_institution": F.lit(False), "is_new_this_run": F.lit(True)} | cols
-    return rows.select(*(c.alias(n) for n, c in given.items()))
-
-
-def event_postings(spark, d):
-    """Every event as a posting of its user, in the order of time."""
+def event_postings(spark, d, *fields):
+    """Every event as a posting of its user, in the order of time, with the given fields."""
     order = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
-    return blank(
-        t(spark, d, "events"), ord=order, canonical_id=F.col("user_id").cast("string"), department=F.when(F.col("value") > 50, F.col("event_type")).otherwise(""), fit_score=F.col("value"),
-        is_priority_institution=F.col("value") > 90, match_reasons=F.array("event_type"), required_materials=F.array(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), warnings=F.array(F.col("event_id").cast("string")),
-    )
+    given = {
+        "department": F.when(F.col("value") > 50, F.col("event_type")).otherwise(""), "fit_score": F.col("value"), "is_priority_institution": F.col("value") > 90, "school": F.lit(""),
+        "match_reasons": F.array("event_type"), "required_materials": F.array(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "warnings": F.array(F.col("event_id").cast("string")),
+    }
+    return t(spark, d, "events").select(order.alias("ord"), F.col("user_id").cast("string").alias("canonical_id"), *(given[c].alias(c) for c in fields))
 
 
 def merge_first_nonempty(spark, d):
-    e = dedupe.consolidate(event_postings(spark, d))
+    e = dedupe.consolidate(event_postings(spark, d, "department", "fit_score", "is_priority_institution"))
     return e.select(F.col("canonical_id").cast("long").alias("user_id"), F.nullif("department", F.lit("")).alias("first_type"), F.col("fit_score").alias("best_value"), F.col("is_priority_institution").alias("any_high"))
 
 
 def merge_list_union(spark, d):
-    return dedupe.consolidate(event_postings(spark, d)).select(F.col("canonical_id").cast("long").alias("user_id"), F.array_join("match_reasons", "|").alias("types"))
+    return dedupe.consolidate(event_postings(spark, d, "match_reasons")).select(F.col("canonical_id").cast("long").alias("user_id"), F.array_join("match_reasons", "|").alias("types"))
 
 
 def exact_consolidate(spark, d):
-    n = blank(t(spark, d, "documents"), ord=F.col("doc_id"), canonical_id=F.sha2(text.normalize(F.col("text")), 256), warnings=F.array(F.col("doc_id").cast("string")))
+    n = t(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.sha2(text.normalize(F.col("text")), 256).alias("canonical_id"), F.array(F.col("doc_id").cast("string")).alias("warnings"))
     return dedupe.consolidate(n).select(F.col("ord").alias("leader"), F.size("warnings").cast("long").alias("members"))
 
 
 def upsert_exact(spark, d):
-    e = event_postings(spark, d)
+    e = event_postings(spark, d, "school", "fit_score", "required_materials", "warnings")
     old = dedupe.consolidate(e.where("ord < '19960101'").withColumn("school", F.lit("stored")))
     out = dedupe.upsert(old, e.where("ord >= '19960101'"))
     return out.select(F.col("canonical_id").cast("long").alias("user_id"), F.array_max("required_materials").cast("timestamp_ntz").alias("last_seen"), F.size("warnings").cast("long").alias("n"), F.col("fit_score").alias("best"), (F.col("school") == "").alias("is_new"))
 
 
+def order_postings(spark, d):
+    """Every order as a posting. Odd customers are institutions and priorities titles; even ones have no institution and a URL for each priority."""
+    odd, key = F.col("o_custkey") % 2 == 1, F.col("o_orderkey")
+    return t(spark, d, "orders").select(
+        key.alias("ord"), key.cast("string").alias("canonical_id"), F.concat(F.lit("Post "), F.col("o_orderpriority")).alias("title"),
+        F.when(odd, F.concat(F.when(key % 2 == 0, "The ").otherwise(""), F.lit("Customer University Number "), F.col("o_custkey"))).otherwise("Not listed").alias("institution"),
+        F.when(odd, "").otherwise(F.concat(F.when(key % 2 == 0, "https://www.a.org/").otherwise("http://a.org/"), F.col("o_custkey"), F.lit("/"), F.lower("o_orderpriority"))).alias("application_url"),
+        F.repeat(F.lit("x"), (key % 41).cast("int")).alias("description_text"), F.when(key % 3 == 0, F.col("o_orderstatus")).otherwise("").alias("department"),
+        (key % 101).cast("int").alias("fit_score"), F.concat(F.lit("T"), key).alias("role_type"), F.array(F.col("o_orderstatus"), F.concat(F.lit("m"), key % 5)).alias("match_reasons"),
+    )
+
+
+def consolidate_keys(spark, d):
+    out = dedupe.consolidate(order_postings(spark, d))
+    return out.select(F.col("ord").alias("leader"), "institution", F.length("description_text").cast("long").alias("longest"), "department", "fit_score", "role_type", F.array_join("match_reasons", "|").alias("reasons"))
+
+
+def upsert_keys(spark, d):
+    p = order_postings(spark, d).withColumn("school", F.lit(""))
+    old = dedupe.consolidate(p.where("ord % 4 = 0")).withColumn("school", F.lit("stored"))
+    out = dedupe.upsert(old, p.where("ord % 4 <> 0"), mark="seen")
+    return out.select(F.col("ord").alias("leader"), F.col("school") == "stored", "seen", "fit_score").toDF("leader", "stored", "seen", "fit_score")
+
+
+def fuzzy_duplicates(spark, d):
+    """Which earlier posting each part is a duplicate of: the brand is the institution, the name and size the title."""
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").cast("string").alias("canonical_id"), F.concat_ws(" ", F.lit("Professor of"), "p_name", F.lit("at grade"), "p_size").alias("title"), F.col("p_brand").alias("institution"))
+    return dedupe.duplicates(p).select("ord", "leader", "reason", F.round("score", 9).alias("score"))
+
+
 def llm_score_formula(spark, d):
     x = [(F.col(c) % 6).cast("long") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")]
     s = scoring.model_score(x[0], x[1], x[2], x[3], (F.col("l_quantity").cast("long") % 6))
@@ -288,7 +309,7 @@ def feed_postings(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     normalize_text, canonical_id, url_keep_first, strip_html, clean_text, url_keys, role_type, keyword_score, keyword_hits, fit_category, region_lookup, priority_institution, deadline_window, rfc_dates, section_topk, eligibility, target_match,
-    merge_first_nonempty, merge_list_union, exact_consolidate, upsert_exact, llm_score_formula, run_totals, geo_source, geo_infer, csv_record, anchor_links, candidate_links, posting_pipeline, consolidate,
+    merge_first_nonempty, merge_list_union, exact_consolidate, upsert_exact, consolidate_keys, upsert_keys, fuzzy_duplicates, llm_score_formula, run_totals, geo_source, geo_infer, csv_record, anchor_links, candidate_links, posting_pipeline, consolidate,
     extract_units, feed_postings, read_back, title_from_url, html_to_text, role_links, structured_postings, summaries,
 )}
 
@@ -296,6 +317,7 @@ _N = duck_normal("text")
 _BODY = duck_normal("'Assistant Professor ' || source || '     ' || CASE WHEN doc_id % 2 = 0 THEN 'us' ELSE 'mars' END || ' ' || coalesce(text, '') || ' feed'")
 _CAT = DUCK_CATEGORY.format("CAST(n_chars % 101 AS INT)")
 _SCORE = "7 * (l_orderkey % 6) + 5 * (l_partkey % 6) + 3 * (l_suppkey % 6) + 3 * (l_linenumber % 6) + 2 * (CAST(l_quantity AS BIGINT) % 6)"
+_ORDERS = "p AS (SELECT *, (o_custkey, o_orderpriority) AS g, CASE WHEN o_custkey % 2 = 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'The ' ELSE '' END || 'Customer University Number ' || o_custkey ELSE 'Not listed' END AS place FROM orders)"
 _PATH = duck_part("url", 3)
 _QUERY = duck_part("url", 4)
 _NAME = "lower(n_name)"
@@ -339,6 +361,12 @@ ORACLES = {
     "merge_list_union": "WITH f AS (SELECT user_id, event_type, min({'t': ts, 'e': event_id}) AS seen FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, '|' ORDER BY seen) AS types FROM f GROUP BY user_id",
     "exact_consolidate": f"SELECT min(doc_id) AS leader, count(*) AS members FROM (SELECT doc_id, {_N} AS k FROM documents) GROUP BY k",
     "upsert_exact": "SELECT user_id, max(ts) AS last_seen, count(*) AS n, max(value) AS best, min(ts) FILTER (ts < TIMESTAMP '1996-01-01') IS NULL AS is_new FROM events GROUP BY user_id",
+    "consolidate_keys": f"""WITH {_ORDERS}, f AS (SELECT g, v, min((o_orderkey, i)) AS nth FROM (SELECT g, o_orderkey, unnest([o_orderstatus, 'm' || o_orderkey % 5]) AS v, unnest([1, 2]) AS i FROM p) GROUP BY g, v),
+        l AS (SELECT g, string_agg(v, '|' ORDER BY nth) AS reasons FROM f GROUP BY g)
+        SELECT min(o_orderkey) AS leader, arg_min(place, o_orderkey) AS institution, max(o_orderkey % 41) AS longest, coalesce(arg_min(o_orderstatus, o_orderkey) FILTER (o_orderkey % 3 = 0), '') AS department, CAST(max(o_orderkey % 101) AS INT) AS fit_score,
+               'T' || arg_min(o_orderkey, (-(o_orderkey % 101), o_orderkey)) AS role_type, any_value(l.reasons) AS reasons FROM p JOIN l USING (g) GROUP BY g""",
+    "upsert_keys": f"""WITH {_ORDERS}
+        SELECT coalesce(min(o_orderkey) FILTER (o_orderkey % 4 = 0), min(o_orderkey)) AS leader, count(*) FILTER (o_orderkey % 4 = 0) > 0 AS stored, count(*) FILTER (o_orderkey % 4 <> 0) > 0 AS seen, CAST(max(o_orderkey % 101) AS INT) AS fit_score FROM p GROUP BY g""",
     "llm_score_formula": f"SELECT {DUCK_CATEGORY.format(f'({_SCORE})')} AS category, count(*) AS n, CAST(sum({_SCORE}) AS BIGINT) AS total FROM lineitem GROUP BY 1",
     "run_totals": "SELECT source AS institution, count(*) AS postings, count(*) FILTER (doc_id % 2 = 0) AS in_us, CAST(max(length(text)) AS INT) AS longest FROM documents GROUP BY source",
     "geo_source": f"SELECT n_nationkey, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{c}'" for m, c, _ in geo.BOARD_COUNTRIES)} ELSE '' END AS country, CASE {' '.join(f"WHEN contains({_NAME}, '{m}') THEN '{r}'" for m, _, r in geo.BOARD_COUNTRIES)} ELSE 'eu' END AS region FROM nation",
