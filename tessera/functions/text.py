@@ -21,9 +21,10 @@ def normalize(c: Column) -> Column:
     low = out = F.lower(F.coalesce(c, F.lit("")))
     for a, b in FOLDS.items():
         out = F.replace(out, F.lit(a), F.lit(b))
-    # Few texts hold such a character; one test spares the others all replacements.
-    out = F.when(F.rlike(low, F.lit(f"[{''.join(FOLDS)}]")), out).otherwise(low)
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"https?://(www\.)?", ""), "[^a-z0-9]+", " "))
+    # Texts of ASCII alone, told by two counters, and texts without addresses are spared their replacements.
+    out = F.when(F.octet_length(low) != F.char_length(low), out).otherwise(low)
+    out = F.when(F.contains(out, F.lit("://")), F.regexp_replace(out, r"https?://(www\.)?", "")).otherwise(out)
+    return F.trim(F.regexp_replace(out, "[^a-z0-9]+", " "))
 
 
 def canonical_id(title: Column, institution: Column, url: Column) -> Column:

@@ -2,7 +2,7 @@
 
 A row meets an earlier leader of its canonical id, else of its URL, else the first one of its institution whose title is alike. Leaders are found in
 rounds: a row is settled once no earlier open row may be what it meets. Titles are compared by class (institution and title as compared), by way of an
-index of their rarest 3-grams; length and characters bound the ratio before it is worked out. Members are merged into leaders by aggregates that
+index of their rarest 3-grams; lengths and common letters bound the ratio before it is worked out. Members are merged into leaders by aggregates that
 combine before they are shuffled. Where ids alone count, none of this is needed: one grouping merges all.
 
 Only where a merge gives a leader a title that compares otherwise does order reach further: the rows tied to it by id, URL or institution are then replayed
@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,29 +232,70 @@ def title_index(classes: DataFrame, at: float) -> DataFrame:
     return classes.select("class", "core").mapInPandas(rare, "class long, gram string, size int")
 
 
+def common_letters(a: list[str], b: list[str]) -> np.ndarray:
+    """The longest common subsequence of each pair of normalized titles, which no matching of blocks exceeds: one bit a letter of a, all pairs at once.
+
+    The bits of a pair of up to 64 letters are one machine word; longer ones are worked out one by one.
+    """
+    codes = {c: i for i, c in enumerate(" 0123456789abcdefghijklmnopqrstuvwxyz")}
+    out = np.zeros(len(a), np.int64)
+    small = [i for i in range(len(a)) if len(a[i]) <= 64]
+    if small:
+        masks = np.zeros((len(small), len(codes) + 1), np.uint64)
+        text_b = np.full((len(small), max(len(b[i]) for i in small)), len(codes))
+        seen: dict[str, np.ndarray] = {}
+        for n, i in enumerate(small):
+            if (row := seen.get(a[i])) is None:
+                row = seen[a[i]] = np.zeros(len(codes) + 1, np.uint64)
+                for at, c in enumerate(a[i]):
+                    row[codes[c]] |= np.uint64(1 << at)
+            masks[n] = row
+            text_b[n, : len(b[i])] = [codes[c] for c in b[i]]
+        v, each = np.full(len(small), ~np.uint64(0)), np.arange(len(small))
+        for j in range(text_b.shape[1]):
+            m = masks[each, text_b[:, j]]
+            v = (v + (v & m)) | (v & ~m)
+        sizes = np.array([len(a[i]) for i in small])
+        part = np.where(sizes == 64, ~np.uint64(0), (np.uint64(1) << (sizes % 64).astype(np.uint64)) - np.uint64(1))
+        out[small] = np.bitwise_count(~v & part)
+    for i in set(range(len(a))) - set(small):
+        masks_i: dict[str, int] = {}
+        for at, c in enumerate(a[i]):
+            masks_i[c] = masks_i.get(c, 0) | 1 << at
+        full = (1 << len(a[i])) - 1
+        w = full
+        for c in b[i]:
+            m = masks_i.get(c, 0)
+            w = ((w + (w & m)) | (w & ~m)) & full
+        out[i] = len(a[i]) - w.bit_count()
+    return out
+
+
 def alike(pairs: DataFrame, classes: DataFrame, title_at: float, institution_at: float) -> DataFrame:
-    """(a, b, score) of the pairs of classes whose titles and institutions are alike, a compared to b; bounds by length and by characters come first."""
+    """(a, b, score) of the pairs of classes whose titles and institutions are alike, a compared to b, each pair tried both ways; a bound by common letters comes first."""
     one, two = (classes.select(F.col("class").alias(x), F.col("core").alias(f"core_{x}"), F.col("name").alias(f"name_{x}")) for x in "ab")
 
     def compare(batches):
         for pdf in batches:
             out = []
-            for a, b, ta, tb, ia, ib in pdf[["a", "b", "core_a", "core_b", "name_a", "name_b"]].itertuples(index=False):
-                match = SequenceMatcher(None, ta, tb)
-                if match.real_quick_ratio() >= title_at and match.quick_ratio() >= title_at:
-                    score = match.ratio()
-                    if score >= title_at and (near := SequenceMatcher(None, ia, ib).ratio()) >= institution_at:
-                        out.append((a, b, min(score, near)))
+            sizes = (pdf["core_a"].str.len() + pdf["core_b"].str.len()).to_numpy()
+            near_enough = 2 * common_letters(pdf["core_a"].tolist(), pdf["core_b"].tolist()) >= title_at * sizes - 1e-9
+            some = pdf.loc[near_enough, ["a", "b", "core_a", "core_b", "name_a", "name_b"]].itertuples(index=False)
+            for a, b, ta, tb, ia, ib in (x if way else (x[1], x[0], x[3], x[2], x[5], x[4]) for x in some for way in (True, False)):
+                score = SequenceMatcher(None, ta, tb).ratio()
+                if score >= title_at and (near := SequenceMatcher(None, ia, ib).ratio()) >= institution_at:
+                    out.append((a, b, min(score, near)))
             yield pd.DataFrame(out, columns=["a", "b", "score"])
 
     return pairs.join(one, "a").join(two, "b").mapInPandas(compare, "a long, b long, score double")
 
 
 def index_pairs(left: DataFrame, right: DataFrame, at: float) -> DataFrame:
-    """(a, b) of unlike classes of one institution that share a gram of the index and have lengths that allow the ratio."""
+    """(a, b), a the lesser, of unlike classes of one institution that share a gram of the index and have lengths that allow the ratio."""
     a, b = left.select(F.col("class").alias("a"), "place", "gram", F.col("size").alias("sa")), right.select(F.col("class").alias("b"), "place", "gram", F.col("size").alias("sb"))
     near = 2 * F.least("sa", "sb") >= at * (F.col("sa") + F.col("sb")) - 1e-9
-    return a.join(b, ["place", "gram"]).where((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
+    pairs = a.join(b, ["place", "gram"]).where((F.col("a") != F.col("b")) & near)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 # --- leaders ---------------------------------------------------------------------------------------------------------------

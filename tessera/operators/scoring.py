@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,11 +56,38 @@ def role_of(t: Column, r: Column) -> Column:
     return geo.first_of([(c, F.lit(v)) for c, v in cases], F.lit("other"))
 
 
+#: So many terms are sought one by one; more of them by an automaton that reads a text once.
+FEW_TERMS = 64
+
+
+def automaton_hits(normalized: Column, keys: list[tuple[str, str]]) -> Column:
+    """The terms of (normal form, term) that occur anywhere in the text, overlaps included; one reading of the text, however many terms there are."""
+
+    def seek(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        where: dict[str, list[int]] = {}
+        for i, (key, _) in enumerate(keys):
+            where.setdefault(key, []).append(i)
+        seen = ahocorasick.Automaton()
+        for key, places in where.items():
+            seen.add_word(key, places)
+        seen.make_automaton()
+        for texts in batches:
+            found = ({id(places): places for _, places in seen.iter(t or "")} for t in texts)
+            yield pd.Series([[keys[i][1] for i in sorted(i for places in f.values() for i in places)] for f in found], dtype=object)
+
+    return F.pandas_udf(seek, "array<string>")(normalized)
+
+
 def keyword_hits(normalized: Column, terms: list[str]) -> Column:
     """The terms, in their order and spelling, whose normal form the text holds."""
-    if not terms:
+    keys = [(plain_key(t), t) for t in terms if plain_key(t)]
+    if not keys:
         return F.array().cast("array<string>")
-    return F.filter(F.array(*(F.when((text.normalize(F.lit(t)) != "") & normalized.contains(text.normalize(F.lit(t))), F.lit(t)) for t in terms)), lambda x: x.isNotNull())
+    if len(keys) > FEW_TERMS:
+        return automaton_hits(normalized, keys)
+    return F.filter(F.array(*(F.when(normalized.contains(k), F.lit(t)) for k, t in keys)), lambda x: x.isNotNull())
 
 
 def category(score: Column) -> Column:
@@ -87,12 +116,14 @@ def score(postings: DataFrame, keywords: dict[str, list[str]], as_of: str, prior
     """postings with role_type, rule_score, fit_score, fit_category, match_reasons, warnings, is_priority_institution."""
     s = DEFAULTS | (settings or {})
     col = lambda c: F.coalesce(F.col(c), F.lit(""))
-    body = text.normalize(text.searchable(*(F.col(c) for c in ("title", "institution", "department", "school", "location", "country", "region", "description_text", "source_name"))))
-    # A generator is a wall to Catalyst: the text is normalized once, not once for each use.
-    out = postings.select("*", F.explode(F.array(body)).alias("_t")).withColumn("role_type", role_type(F.col("title"), F.col("description_text"), F.col("region")))
+    fields = ("title", "institution", "department", "school", "location", "country", "region", "description_text", "source_name")
+    joined = lambda x, *cs: F.array_join(F.filter(F.array(*(x[c] for c in cs)), lambda y: y != ""), " ")
+    # Each field is normalized once; texts that are joined by spaces are their normal forms joined. A generator is a wall to Catalyst: none is worked out again.
+    once = F.transform(F.array(F.struct(*(text.normalize(F.col(c)).alias(c) for c in fields))), lambda x: F.struct(joined(x, *fields).alias("t"), joined(x, "title", "description_text").alias("said"), x["region"].alias("region")))
+    out = postings.select("*", F.explode(once).alias("_n")).withColumns({"_t": F.col("_n.t"), "role_type": role_of(F.col("_n.said"), F.col("_n.region"))}).drop("_n")
     out = out.withColumns({f"_{k}": keyword_hits(F.col("_t"), keywords.get(k, [])) for k in ("high_value", "medium_value", "negative")})
     weights = F.create_map(*(F.lit(x) for kv in s["role_weights"].items() for x in kv))
-    w = F.coalesce(F.element_at(weights, F.col("role_type")), F.lit(float(s["role_weights"]["other"])))
+    w = F.coalesce(F.element_at(weights, F.col("role_type")), F.lit(float(s["role_weights"].get("other", DEFAULTS["role_weights"]["other"]))))
     tenure, part_time, late = F.col("_t").contains("tenure"), F.col("_t").contains("part time"), dates.expired(F.col("deadline"), as_of)
     known = priority(F.col("institution"), [plain_key(n) for n in priority_names])
     allowed = region_allowed(F.col("region"), included)

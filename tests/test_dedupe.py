@@ -134,3 +134,19 @@ def test_one_institution_is_spread(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(tasks) == 4 and max(t["count"] for t in tasks) < 2 * min(t["count"] for t in tasks)
     assert dedupe.duplicates(rows).where("leader IS NULL").count() == n
+
+
+def test_common_letters():
+    r = random.Random(9)
+    word = lambda n: "".join(r.choice("ab c1") for _ in range(n))
+    a, b = zip(*((word(r.choice([0, 1, 5, 30, 63, 64, 65, 90])), word(r.choice([0, 3, 30, 64, 80]))) for _ in range(200)), strict=True)
+
+    def longest(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            last = 0
+            for j, d in enumerate(y):
+                last, row[j + 1] = row[j + 1], last + 1 if c == d else max(row[j], row[j + 1])
+        return row[-1]
+
+    assert dedupe.common_letters(list(a), list(b)).tolist() == [longest(x, y) for x, y in zip(a, b, strict=True)]

@@ -1,5 +1,7 @@
 """Scoring, dates, places, merging and page parsing on small cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, geo, text, urls
@@ -57,3 +59,15 @@ def test_pages(spark):
 def test_eligible(spark):
     case = lambda c, low, pri, sent: one(spark, digest.eligible(F.lit(c), F.lit(low), F.lit(pri), F.lit(sent)))[0]
     assert [case("A", False, False, False), case("A", False, False, True), case("C", False, True, False), case("C", True, False, False), case("D", False, True, False)] == [True, False, True, True, False]
+
+
+def test_many_keywords(spark):
+    """Many terms by one reading give what a search for each gives: overlaps, terms within terms, spellings alike, odd spellings."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab c") for _ in range(r.randint(0, 60))) for _ in range(200)] + [None, ""]
+    terms = sorted({"".join(r.choice("ab c") for _ in range(r.randint(1, 5))) for _ in range(150)}) + ["A-B", "a  b", "", "--", "a/b/c"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.normalize(F.col("t")).alias("t"))
+    many = df.select("t", scoring.keyword_hits(F.col("t"), terms).alias("got")).collect()
+    assert all(x["got"] == [t for t in terms if scoring.plain_key(t) and scoring.plain_key(t) in x["t"]] for x in many)
+    few = df.select("t", scoring.keyword_hits(F.col("t"), terms[:40]).alias("got")).collect()
+    assert all(x["got"] == [t for t in terms[:40] if scoring.plain_key(t) and scoring.plain_key(t) in x["t"]] for x in few)
