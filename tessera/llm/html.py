@@ -35,8 +35,10 @@ _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 #: A new one of these ends an open one.
 SELF_CLOSING = {"p": "p", "li": "li", "dt": "dt", "dd": "dd", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-#: The rest of a tag with its quoted values; possessive, so it is read once.
-_REST = re.compile(r"""(?:[^>"']++|"[^"]*"|'[^']*')*+>""")
+#: The rest of a tag; quotes count right after `=` alone. Possessive, so it is read once.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))*+>""")
+#: The end of a comment, and of one that ends as it begins.
+_COMMENT_END, _NO_COMMENT = re.compile("--!?>"), re.compile("<!---?>")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
@@ -58,8 +60,8 @@ class Tags:
         page = self.page
         while 0 <= (at := page.find("<", pos)) < self.last:
             if page.startswith("<!--", at):
-                end = page.find("-->", at + 4)
-                return at, len(page) if end < 0 else end + 3, False, "", ""
+                end = _NO_COMMENT.match(page, at) or _COMMENT_END.search(page, at + 4)
+                return at, end.end() if end else len(page), False, "", ""
             if page[at + 1] in "!?":
                 return at, page.find(">", at) + 1, False, "", ""
             m = _NAME.match(page, at + 1)

@@ -18,6 +18,7 @@ empty table gives no rows. Extra columns do not take part.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -34,6 +35,9 @@ CELL = 10_000
 LEAST, MORE = 48, 24
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
+#: White space in a row that goes another way; its splitter stops the process at about a million.
+LONG_RUN = 50_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_RUN)
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
@@ -42,7 +46,8 @@ class Encoder:
 
     Such a file splits a text before every space that a non-space follows, so the ids of the pieces between these places, joined, are the
     ids of the text; pieces repeat, so their ids are remembered, those of a text's first piece, which has no space before it, apart. A piece not
-    yet met goes through the merges of the same file. A text in which an added token is spelled out goes to tokenizers whole.
+    yet met goes through the merges of the same file. A text in which an added token is spelled out goes to tokenizers whole, as does a piece with
+    a very long run of white space, which the faster way cannot split.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,6 +67,8 @@ class Encoder:
         self.others: dict[str, bytes] = {}
 
     def new(self, piece: str, known: dict[str, bytes], key: str) -> bytes:
+        if len(piece) >= LONG_RUN and _LONG_SPACE.search(piece):
+            return np.array(self.whole.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
         ids = np.array(self.bpe.encode_ordinary(piece), dtype="<u4").tobytes()
         if len(key) <= 40:
             if len(known) >= CACHE_WORDS:
