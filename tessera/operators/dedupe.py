@@ -619,6 +619,15 @@ def duplicates(postings: DataFrame, order: str = "ord", title_at: float = 0.9, i
     return out.select(F.col("k.ord").alias("ord"), F.when(F.col("reason") != "", F.col("into.ord")).alias("leader"), F.nullif("reason", F.lit("")).alias("reason"), "score")
 
 
+def touched(history: DataFrame, new: DataFrame, order: str = "ord") -> DataFrame:
+    """The order of the stored rows that new rows may reach: all of a component over ids, URLs and institutions that holds a new row. Reads these columns alone."""
+    scratch = Scratch(history.sparkSession)
+    key = lambda df: df.select(F.col(order), *(c.alias(n) for n, c in key_columns(df).items()))
+    both = scratch(key(history).withColumn("stored", F.lit(True)).unionByName(key(new).withColumn("stored", F.lit(False))), "keys")
+    labels = scratch(with_component(both.select(order, "stored", "id", "url", "place"), scratch).select(order, "stored", "component"), "component")
+    return labels.where("stored").join(labels.where("NOT stored").select("component").distinct(), "component", "left_semi").select(order)
+
+
 def _resolve(postings: DataFrame, order: str, title_at: float, institution_at: float, stored: bool, mark: str | None) -> DataFrame:
     names = [c for c in postings.columns if c != "_stored"]
     scratch = Scratch(postings.sparkSession)

@@ -67,6 +67,8 @@ class Gateway:
     """
 
     def __init__(self, url: str, model: str, key_name: str, timeout: float = 60, retries: int = 2, opener: Callable = urlopen, sleep: Callable = time.sleep) -> None:
+        if not url.startswith(("http://", "https://")):
+            raise ValueError("the model's address is not set")
         if not os.environ.get(key_name, "").strip():
             raise RuntimeError(f"{key_name} is not set")
         self.url, self.model, self.key_name, self.timeout, self.retries, self.opener, self.sleep = url, model, key_name, timeout, retries, opener, sleep

@@ -5,6 +5,9 @@ Only what a reader sees reaches the driver: a bounded number of items and counts
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from email.message import EmailMessage
 from html import escape
 from typing import Protocol
@@ -31,16 +34,65 @@ HEADINGS = [
 ]
 
 
-def flat(postings: DataFrame) -> DataFrame:
-    """The CSV's columns: lists as lines, flags as 0 and 1, missing columns and nulls empty."""
+@dataclass(frozen=True)
+class Layout:
+    """How a digest is made: which categories enter, items of a ranked section, days of the deadline sections, subject and template.
+
+    The subject knows {num_new} and {num_strong}; the template the keys of HEADINGS.
+    """
+
+    main: tuple[str, ...] = ("A", "B")
+    c_if_priority: bool = True
+    with_d: bool = False
+    n: int = 20
+    soon: int = 14
+    urgent: int = 7
+    subject: str = "{num_new} new postings, {num_strong} strong fits"
+    template: str = "# Weekly digest\n\n" + "\n\n".join(f"## {title}\n{{{key}}}" for key, title in HEADINGS) + "\n"
+
+    @classmethod
+    def of(cls, get: Callable[[str, object], object], template: str) -> "Layout":
+        """The layout that settings give, `get` by dotted path; deadline sections without a setting hold today's alone."""
+        own = cls()
+        return cls(
+            tuple(get("newsletter.include_categories_main", own.main)), bool(get("newsletter.include_category_c_if_priority_institution", True)), bool(get("newsletter.include_category_d", False)),
+            int(get("newsletter.max_jobs_per_section", own.n)), int(get("deadline_reminders.reminder_window_days", 0)), int(get("deadline_reminders.urgent_window_days", 0)),
+            str(get("newsletter.subject_template", own.subject)), template or own.template,
+        )
 
+
+def flat_columns(postings: DataFrame) -> list[Column]:
     def one(c: str) -> Column:
         if c not in postings.columns:
             return F.lit("")
         value = F.array_join(c, "\n") if c in LISTS else F.col(c).cast("int") if c in FLAGS else F.col(c)
         return F.coalesce(value.cast("string"), F.lit(""))
 
-    return postings.select(*(one(c).alias(c) for c in COLUMNS))
+    return [one(c) for c in COLUMNS]
+
+
+def flat(postings: DataFrame) -> DataFrame:
+    """The CSV's columns: lists as lines, flags as 0 and 1, missing columns and nulls empty."""
+    return postings.select(*(value.alias(c) for c, value in zip(COLUMNS, flat_columns(postings), strict=True)))
+
+
+def write_one_csv(postings: DataFrame, path: str, order: str = "ord") -> int:
+    """One CSV file in order, with its header, and its rows: pieces made by the executors, in ranges of the order, are joined as they are."""
+    spark = postings.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    flat(postings.orderBy(order)).write.option("header", False).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    folder, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    out = fs.create(target, True)
+    out.write(bytearray((",".join(COLUMNS) + "\n").encode()))
+    for found in sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+        piece = fs.open(found)
+        hadoop.io.IOUtils.copyBytes(piece, out, 1 << 16, False)
+        piece.close()
+    out.close()
+    fs.delete(folder, True)
+    return postings.count()
 
 
 def write_csv(postings: DataFrame, path: str) -> None:
@@ -54,25 +106,25 @@ def lower_priority() -> Column:
     return text.normalize(text.searchable(*map(F.col, fields))).contains("part time")
 
 
-def eligible(postings: DataFrame) -> Column:
+def eligible(postings: DataFrame, how: Layout = Layout()) -> Column:
     """Whether a posting enters the digest; without a flag nothing has been sent yet."""
     emailed = F.coalesce("has_been_emailed", F.lit(False)) if "has_been_emailed" in postings.columns else F.lit(False)
-    return digest.eligible(F.col("fit_category"), lower_priority(), F.col("is_priority_institution"), emailed)
+    return digest.eligible(F.col("fit_category"), lower_priority(), F.col("is_priority_institution"), emailed, how.main, how.c_if_priority, how.with_d)
 
 
-def sections(postings: DataFrame, as_of: str, n: int = 20, soon: int = 14, urgent: int = 7) -> DataFrame:
-    """A row for each section an eligible posting belongs to: `section`, `rank` and the posting. Ranked sections hold their n best; the
+def sections(postings: DataFrame, as_of: str, how: Layout = Layout()) -> DataFrame:
+    """A row for each section an eligible posting belongs to: `section`, `rank` and the posting. Ranked sections hold their best; the
     deadline and warning sections hold all, in input order."""
     lower = lower_priority()
     fit, regular = F.col("fit_category"), ~lower
-    able = postings.where(eligible(postings))
+    able = postings.where(eligible(postings, how))
     belongs = {
         "lower_priority": lower, "strong_fit": regular & (fit == "A"), "good_fit": regular & (fit == "B"), "possible_priority": regular & (fit == "C") & F.col("is_priority_institution"),
-        "fellowships": F.col("role_type").contains("fellowship"), "deadlines_14": dates.due_within(F.col("deadline"), as_of, soon), "deadlines_7": dates.due_within(F.col("deadline"), as_of, urgent), "warnings": F.size("warnings") > 0,
+        "fellowships": F.col("role_type").contains("fellowship"), "deadlines_14": dates.due_within(F.col("deadline"), as_of, how.soon), "deadlines_7": dates.due_within(F.col("deadline"), as_of, how.urgent), "warnings": F.size("warnings") > 0,
     }
     listed = able.withColumn("section", F.explode(F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in belongs.items())), lambda x: x.isNotNull())))
     unranked = F.col("section").isin("deadlines_14", "deadlines_7", "warnings")
-    top = digest.top_of_sections(listed.where(~unranked), "section", "fit_score", "ord", n)
+    top = digest.top_of_sections(listed.where(~unranked), "section", "fit_score", "ord", how.n)
     return top.unionByName(listed.where(unranked).withColumn("rank", F.lit(0)))
 
 
@@ -92,13 +144,13 @@ def card(r: Row, compact: bool = False) -> str:
     return "\n".join([f"- {r['title']} - {r['institution']}", *(f"  {k}: {v}" for k, v in fields)])
 
 
-def render(postings: DataFrame, as_of: str, n: int = 20) -> tuple[str, str]:
+def render(postings: DataFrame, as_of: str, how: Layout = Layout()) -> tuple[str, str]:
     """The digest's subject and Markdown body. The unranked sections hold every match, however many; a digest of more than MOST items is
     refused with a ValueError, as it is no message and does not belong on the driver: write sections() as a table instead."""
-    shown = sections(postings, as_of, n)
+    shown = sections(postings, as_of, how)
     if shown.limit(MOST + 1).count() > MOST:
         raise ValueError(f"the digest has more than {MOST} items")
-    able = postings.where(eligible(postings)).count()
+    able = postings.where(eligible(postings, how)).count()
     by: dict[str, list[Row]] = {}
     for r in shown.orderBy("section", "rank", "ord").toLocalIterator():
         by.setdefault(r["section"], []).append(r)
@@ -110,8 +162,7 @@ def render(postings: DataFrame, as_of: str, n: int = 20) -> tuple[str, str]:
             parts[key] = "\n".join(f"- {r['title']} - {r['institution']}: {'; '.join(r['warnings'])}" for r in rows) or "No warnings for included jobs."
         elif key not in parts:
             parts[key] = "\n\n".join(card(r, key == "lower_priority") for r in rows) or "None this week."
-    body = "# Weekly digest\n\n" + "\n\n".join(f"## {title}\n{parts[key]}" for key, title in HEADINGS) + "\n"
-    return f"{able} new postings, {strong} strong fits", body
+    return how.subject.format(num_new=able, num_strong=strong), how.template.format(**parts)
 
 
 def as_html(body: str) -> str:
@@ -178,14 +229,14 @@ def note_payload(database_id: str) -> Column:
     return F.to_json(F.struct(F.struct(F.lit(database_id).alias("database_id")).alias("parent"), F.struct(*(v.alias(k) for k, v in fields.items())).alias("properties")))
 
 
-def run_summary(run: DataFrame, saved: DataFrame, targets: DataFrame, warnings: list[str], as_of: str, generated: str, n: int = 20) -> str:
+def run_summary(run: DataFrame, saved: DataFrame, targets: DataFrame, warnings: list[str], as_of: str, generated: str, how: Layout = Layout()) -> str:
     """The Markdown summary of a run: totals, target positions, the eligible postings in input order, source warnings and the digest's body.
     Like the digest, it is refused with a ValueError beyond MOST eligible postings."""
-    able = run.where(eligible(run))
+    able = run.where(eligible(run, how))
     if able.limit(MOST + 1).count() > MOST:
         raise ValueError(f"the summary has more than {MOST} postings")
     listed = able.orderBy("ord").collect()
-    _, body = render(run, as_of, n)
+    _, body = render(run, as_of, how)
     totals = [("Current run jobs", run.count()), ("Saved jobs in local outputs", saved.count()), ("Email-eligible jobs", len(listed)), ("Source warnings", len(warnings))]
     asked = targets.select("name", "title", "institution", "url").collect()
     found = {r["name"]: r["matched_ord"] for r in digest.match_targets(run, targets, "ord").collect()} if asked else {}

@@ -67,13 +67,18 @@ def collect(spark: SparkSession, c: config.Settings, live: bool, opener: fetch.O
             return
         parts.append(rows)
 
+    def some(told: DataFrame) -> list:
+        """Warnings as a reader can take them; if there are more, that is said."""
+        first = [(r[0], r[1]) for r in told.limit(outputs.MOST + 1).collect()]
+        return first if len(first) <= outputs.MOST else [*first[: outputs.MOST], ("further warnings", str(told.count() - outputs.MOST))]
+
     def boards_() -> tuple[DataFrame, list]:
         rows, told = boards.collect(as_table(spark, c.source("job_boards").get("sources") or [], "page_id"), robots=bool(s("respect_robots_txt", True)), details=int(s("max_detail_pages_per_source", boards.MOST_DETAILS)), **how)
-        return rows, told.limit(outputs.MOST).collect()
+        return rows, some(told)
 
     def feeds_() -> tuple[DataFrame, list]:
-        rows, told = feeds.collect(as_table(spark, c.source("rss").get("feeds") or [], "feed_id"), **how)
-        return rows, told.limit(outputs.MOST).collect()
+        rows, told = feeds.collect(as_table(spark, c.source("rss").get("feeds") or [], "feed_id"), **how | {"agent": str(c.source("rss").get("user_agent") or how["agent"])})
+        return rows, some(told)
 
     if live and c.source("job_boards").get("enabled", False):
         add("job boards", boards_)
@@ -96,13 +101,21 @@ def prepare(postings: DataFrame, title_at: float = 0.9, institution_at: float =
 
 def score(postings: DataFrame, c: config.Settings, as_of: str, client: model_scoring.Client | None = None) -> DataFrame:
     """Rule scores with summary and angle, and a model's scores where a client is given; answers are written before they are used, so none is asked for twice."""
-    included = tuple(k for k, on in (c.get("regions.include") or dict.fromkeys(scoring.REGIONS, True)).items() if on)
+    included = tuple(k for k, on in (c.get("regions.include") or {}).items() if on)
     out = scoring.with_prose(scoring.score(postings, c.keywords, as_of, c.priority_names(), c.get("scoring"), included))
     roles = tuple(scoring.DEFAULTS["role_weights"])
     out = model_scoring.rescore(out, client, c.profile, roles, float(c.get("openai.min_rule_score_for_llm", 0.35)))
     return dedupe.written(out, dedupe.shared_dir(postings.sparkSession), "scored")
 
 
+def client_of(c: config.Settings) -> tuple[model_scoring.Client | None, list[str]]:
+    """The model's client that the settings name, or why there is none; rule scores stand then."""
+    try:
+        return delivery.Gateway(str(c.get("openai.url") or ""), str(c.get("openai.model") or ""), str(c.get("openai.api_key_env_var") or "OPENAI_API_KEY")), []
+    except (RuntimeError, ValueError) as e:
+        return None, [f"model scoring unavailable; using rule scores: {e}"]
+
+
 @dataclass
 class Result:
     postings: DataFrame
@@ -120,6 +133,9 @@ def run(spark: SparkSession, c: config.Settings, dry_run: bool = False, live: bo
     today, now = clock.date().isoformat(), clock.replace(microsecond=0).isoformat()
     at = float(c.get("deduplication.fuzzy_title_threshold", 0.9)), float(c.get("deduplication.fuzzy_institution_threshold", 0.9))
     found, warnings = collect(spark, c, live, opener)
+    if client is None and not dry_run and c.get("openai.enabled", False):
+        client, told = client_of(c)
+        warnings += told
     scored = score(prepare(found, *at, today, now), c, today, None if dry_run else client)
     saved = scored.drop("model_problem", "rule_score")
     if c.get("outputs.sqlite.enabled", True):
@@ -132,8 +148,13 @@ def run(spark: SparkSession, c: config.Settings, dry_run: bool = False, live: bo
             saved = dedupe.written(delivery.sync_notes(saved, database), dedupe.shared_dir(spark), "noted")
             notes = saved.count()
     if c.get("outputs.csv.enabled", True):
-        outputs.write_csv(saved, str(c.place(c.get("outputs.csv.path", "data/postings_csv"))))
-    subject, body = outputs.render(saved, today, int(c.get("newsletter.max_jobs_per_section", 20)))
+        outputs.write_one_csv(saved, str(c.place(c.get("outputs.csv.path", "data/postings.csv"))))
+    how = outputs.Layout.of(c.get, c.template)
+    try:
+        subject, body = outputs.render(saved, today, how)
+    except (ValueError, KeyError, IndexError) as e:  # too long for a message, or a template with unknown fields: the run goes on without
+        subject, body = "", ""
+        warnings.append(f"no digest: {e}")
     path = ""
     if c.get("outputs.markdown_summary.enabled", True):
         asked = c.source("target_positions")
@@ -141,9 +162,14 @@ def run(spark: SparkSession, c: config.Settings, dry_run: bool = False, live: bo
         targets = spark.createDataFrame(rows, "name string, url string, title string, institution string")
         path = c.place(c.get("outputs.markdown_summary.path", "data/latest_run_summary.md"))
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(outputs.run_summary(scored, saved, targets, warnings, today, now), "utf-8")
+        try:
+            path.write_text(outputs.run_summary(scored, saved, targets, warnings, today, now, how), "utf-8")
+        except (ValueError, KeyError, IndexError) as e:
+            warnings.append(f"no summary: {e}")
     sent = "Email disabled by --no-email." if no_mail else "Email disabled."
-    if not no_mail and c.get("email.enabled", False):
+    if not body:
+        sent = "Email not sent. There is no digest."
+    elif not no_mail and c.get("email.enabled", False):
         try:
             sent = delivery.mail(delivery.credentials(base), subject, body, str(c.get("email.smtp_host", "smtp.gmail.com")), int(c.get("email.smtp_port", 587)), bool(c.get("email.use_tls", True)), dry_run)
         except delivery.MissingSettings as e:

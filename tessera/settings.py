@@ -8,6 +8,8 @@ from typing import Any
 
 #: Files of a configuration folder. Fixed values.
 PARTS = ("settings", "profile", "keywords", "institutions", "sources")
+#: The group of the institutions file that is watched. Fixed value.
+WATCHED = "priority_universities"
 TEMPLATE = "email_template.md"
 
 
@@ -33,9 +35,8 @@ class Settings:
         return at(self.sources, f"sources.{kind}", {}) or {}
 
     def priority_names(self) -> list[str]:
-        """Names and aliases of the watched institutions, in every group of the file."""
-        groups = self.institutions.values() if isinstance(self.institutions, dict) else [self.institutions]
-        entries = [e for g in groups if isinstance(g, list) for e in g]
+        """Names and aliases of the watched institutions."""
+        entries = at(self.institutions, WATCHED, []) or []
         return [n for e in entries for n in ([e] if isinstance(e, str) else [e.get("name"), *(e.get("aliases") or [])]) if n]
 
 

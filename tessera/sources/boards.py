@@ -64,10 +64,12 @@ def postings(pages: DataFrame, most: int = MOST_LINKS, role_pattern: str = page_
     host = F.lower(urls.part(F.col("page_url"), 2))
     carded = cards.postings(pages.select("page_id", "url", "html")).withColumns({"page_id": F.floor(F.col("ord") / 100_000), "pos": F.col("ord") % 100_000, "rank": F.lit(0)})
     carded = carded.withColumns({"employer": F.when(F.col("institution") == "Institution not provided", "").otherwise(F.col("institution")), "described": F.col("description_text"), "date_posted": F.lit(None).cast("string"), "deadline": F.lit(None).cast("string"), "url": F.col("application_url")})
-    linked = page_source.candidates(found.where((F.col("kind") == "a") & ~host.contains("academicpositions.")), role_pattern, most)
+    noded = structured(found)
+    taken = carded.select("page_id", "url").union(noded.select("page_id", "url"))
+    linked = page_source.candidates(found.where((F.col("kind") == "a") & ~host.contains("academicpositions.")), role_pattern, most, taken).select(*found.columns, "title")
     linked = linked.withColumns({"employer": F.lit(""), "department": F.lit(""), "location": F.lit(""), "described": F.lit(None).cast("string"), "date_posted": F.lit(None).cast("string"), "deadline": F.lit(None).cast("string")})
     shape = ("page_id", "pos", "rank", "url", "title", "employer", "department", "location", "described", "date_posted", "deadline")
-    every = carded.select(*shape).union(structured(found).withColumn("rank", F.lit(1)).select(*shape)).union(linked.withColumn("rank", F.lit(2)).select(*shape))
+    every = carded.select(*shape).union(noded.withColumn("rank", F.lit(1)).select(*shape)).union(linked.withColumn("rank", F.lit(2)).select(*shape))
     first = every.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("rank", "pos"))).where("_n = 1")
     joined = first.join(pages.select("page_id", *(F.col(c).alias(f"_{c}") for c in SETTINGS)), "page_id")
     place = geo.of_source(F.col("_country"), F.col("_region"), F.col("location"), F.col("_tags"))
@@ -85,7 +87,7 @@ def needs_details() -> Column:
     return F.col("description_text").startswith(CANDIDATE)
 
 
-def wanted_details(found: DataFrame, board: str = "source_name", most: int = MOST_DETAILS) -> DataFrame:
+def wanted_details(found: DataFrame, board: str = "page_id", most: int = MOST_DETAILS) -> DataFrame:
     """The first `most` postings of each board that need their detail page, as pages to fetch."""
     first = F.row_number().over(Window.partitionBy(board).orderBy("ord"))
     return found.where(needs_details()).withColumn("_n", first).where(F.col("_n") <= most).select("ord", F.col("application_url").alias("url"))

@@ -130,7 +130,7 @@ FEED_BYTES = 5_000_000
 def collect(feeds: DataFrame, agent: str = "tessera", timeout: float = 30, delay: float = 2, opener: fetch.Opener = fetch.read_url) -> tuple[DataFrame, DataFrame]:
     """Feeds (feed_id, url and their settings) as postings, each URL once over all feeds, and warnings (source, warning). Feeds are fetched once and
     written to the shared folder."""
-    given = fetch.fetched(feeds, agent, timeout, delay, False, opener, FEED_BYTES).withColumn("payload", F.encode("html", "UTF-8")).drop("html")
+    given = fetch.fetched(feeds, agent, timeout, delay, False, opener, FEED_BYTES, raw_bytes=True).withColumnRenamed("html", "payload")
     given = dedupe.written(given, dedupe.shared_dir(feeds.sparkSession), "feeds")
     here = given.where("warning is null")
     unread = entries(here).where("warning is not null").join(here.select("feed_id", "name"), "feed_id").select(F.col("name").alias("source"), "warning")

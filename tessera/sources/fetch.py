@@ -50,8 +50,8 @@ class Rules:
         return self.known[origin].can_fetch(self.agent, url)
 
 
-def fetched(wanted: DataFrame, agent: str = "tessera", timeout: float = 30, delay: float = 2, robots: bool = True, opener: Opener = read_url, most: int = PAGE_BYTES) -> DataFrame:
-    """The rows of `wanted` (url) with html and warning; one of these is null. Rows that are no web address, forbidden, too large or failing have a warning."""
+def fetched(wanted: DataFrame, agent: str = "tessera", timeout: float = 30, delay: float = 2, robots: bool = True, opener: Opener = read_url, most: int = PAGE_BYTES, raw_bytes: bool = False) -> DataFrame:
+    """The rows of `wanted` (url) with html and warning; one of these is null. raw_bytes: html holds the bytes as they came, not UTF-8 text. Rows that are no web address, forbidden, too large or failing have a warning."""
 
     def run(batches):
         rules, last = Rules(agent, timeout, opener), {}
@@ -72,7 +72,7 @@ def fetched(wanted: DataFrame, agent: str = "tessera", timeout: float = 30, dela
                     if len(raw) > most:
                         warning[i] = f"larger than {most} bytes"
                     else:
-                        html[i] = raw.decode("utf-8", "replace")
+                        html[i] = raw if raw_bytes else raw.decode("utf-8", "replace")
                 except (OSError, ValueError) as e:
                     warning[i] = f"{type(e).__name__}: {e}"
                 last[host] = time.monotonic()
@@ -80,4 +80,4 @@ def fetched(wanted: DataFrame, agent: str = "tessera", timeout: float = 30, dela
 
     kept = wanted.drop("html", "warning")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.repartition(F.coalesce(urls.part(F.col("url"), 2), F.lit(""))).mapInPandas(run, f"{kinds}, html string, warning string")
+    return kept.repartition(F.coalesce(urls.part(F.col("url"), 2), F.lit(""))).mapInPandas(run, f"{kinds}, html {'binary' if raw_bytes else 'string'}, warning string")

@@ -95,20 +95,24 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, page_url string, kind string, pos long, url string, text string, json string")
 
 
-def candidates(found: DataFrame, role_pattern: str = ROLE_TERMS, most: int = 150) -> DataFrame:
-    """The anchors that look like postings: titles for generic link texts come from the URL; a URL counts once a page; `most` a page."""
+def candidates(found: DataFrame, role_pattern: str = ROLE_TERMS, most: int = 150, taken: DataFrame | None = None) -> DataFrame:
+    """The anchors that look like postings: titles for generic link texts come from the URL; a URL counts once a page; `most` a page, those (page_id, url)
+    not counted that are taken already."""
     from pyspark.sql import Window
 
-    title_of = F.pandas_udf(lambda s: s.map(urls.title_from_url), "string")
+    title_of = F.pandas_udf(lambda s: s.map(urls.title_from_url, na_action="ignore"), "string")
     host, path = urls.part(F.col("url"), 2), F.regexp_replace(urls.part(F.col("url"), 3), "/+$", "")
     same_page = (host == urls.part(F.col("page_url"), 2)) & (path == F.regexp_replace(urls.part(F.col("page_url"), 3), "/+$", "")) & F.rlike("url", F.lit("#."))
     listing = F.rlike(F.lower(path), F.lit("|".join(re.escape(x) for x in urls.LISTING_PARTS)))
     low = F.lower("text")
     kept = found.where((F.col("kind") == "a") & urls.is_http(F.col("url")) & ~low.startswith("skip to ") & ~same_page & ~listing)
     kept = kept.where(~low.isin(*GENERIC) | (urls.is_detail(F.col("url")) & low.isin(*FALLBACK)))
-    kept = kept.withColumn("title", F.when(low.isin(*GENERIC) | (F.length("text") < 4), title_of("url")).otherwise(F.col("text")))
+    bare = low.isin(*GENERIC) | (F.length("text") < 4)
+    kept = kept.withColumn("title", F.when(bare, title_of(F.when(bare, F.col("url")))).otherwise(F.col("text")))  # the others reach Python as nulls
     kept = kept.where((F.col("title") != "") & ~F.lower("title").isin(*GENERIC) & F.rlike("title", F.lit("(?iu)" + role_pattern)))
     first = kept.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))).where("_n = 1")
+    if taken is not None:
+        first = first.join(taken.select("page_id", "url").distinct(), ["page_id", "url"], "left_anti")
     return first.withColumn("_n", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).where(F.col("_n") <= most).drop("_n")
 
 

@@ -63,7 +63,7 @@ def postings(spark):
 
 def test_digest(spark, monkeypatch):
     jobs = postings(spark)
-    got = {(r.section, r.ord, r["rank"]) for r in outputs.sections(jobs, "2026-06-01", n=1).collect()}
+    got = {(r.section, r.ord, r["rank"]) for r in outputs.sections(jobs, "2026-06-01", outputs.Layout(n=1)).collect()}
     assert got == {("strong_fit", 2, 1), ("good_fit", 6, 1), ("possible_priority", 4, 1), ("lower_priority", 3, 1), ("fellowships", 1, 1), ("deadlines_14", 1, 0), ("deadlines_7", 1, 0), ("warnings", 6, 0)}
     subject, body = outputs.render(jobs, "2026-06-01")
     assert subject.startswith("5 new") and body.index("- T2 - I & J") < body.index("- T1 - I & J") and "Match: r1; r2; r3\n" in body and "T5" not in body
