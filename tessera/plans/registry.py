@@ -13,7 +13,7 @@ from tessera.sources import pages as page_source
 
 AS_OF = "1997-06-01"
 KEYWORDS = {"high_value": ["the", "and on", "tion"], "medium_value": ["que", "der", "los"], "negative": ["token", "licence", "http"]}
-TARGETS = [("steel", "", "STEEL", "Brand"), ("brass part", "", "part BRASS", "Brand#1"), ("none", "", "zzz", "nowhere")]
+TARGETS = [("steel", "", "STEEL", "Brand"), ("brass part", "", "part BRASS", "Brand#1"), ("none", "", "zzz", "nowhere"), ("address", "https://A.org/part/77/", "zzz", ""), ("any post", "", "Full Professor", "brand#2")]
 
 
 def t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -143,7 +143,7 @@ def eligibility(spark, d):
 
 
 def target_match(spark, d):
-    p = t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat_ws(" ", "p_name", "p_type").alias("title"), F.col("p_brand").alias("institution"), F.lit("").alias("application_url"), F.lit("").alias("source_url"))
+    p = t(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 97 == 5, "Professor").otherwise(F.concat_ws(" ", "p_name", "p_type")).alias("title"), F.col("p_brand").alias("institution"), F.concat(F.lit("http://a.org/part/"), "p_partkey").alias("application_url"), F.lit("").alias("source_url"))
     targets = spark.createDataFrame(TARGETS, "name string, url string, title string, institution string")
     return digest.match_targets(p, targets, "ord")
 
@@ -353,9 +353,11 @@ ORACLES = {
     "section_topk": "SELECT * FROM (SELECT o_orderpriority, o_totalprice, o_orderkey, CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rank FROM orders) WHERE rank <= 20",
     "eligibility": f"""SELECT doc_id, fit_category, coalesce(CASE WHEN pt AND fit_category = 'C' THEN true WHEN fit_category IN ('A', 'B') THEN true WHEN fit_category = 'C' AND quality = 1 THEN true ELSE false END AND NOT toxic = 1, false) AS eligible
         FROM (SELECT doc_id, {_CAT} AS fit_category, contains({_N}, 'part time') AS pt, quality, toxic FROM documents JOIN labels USING (doc_id))""",
-    "target_match": """WITH p AS (SELECT p_partkey AS ord, p_name || ' ' || p_type AS title, trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS b FROM part),
-        g AS (SELECT * FROM (VALUES ('steel', ['steel'], 'brand'), ('brass part', ['part', 'brass'], 'brand 1'), ('none', ['zzz'], 'nowhere')) v(name, terms, inst)),
-        m AS (SELECT g.name, arg_min(p.title, p.ord) AS matched_title, min(p.ord) AS matched_ord FROM g JOIN p ON list_has_all(string_split(p.n, ' '), g.terms) AND (contains(p.b, g.inst) OR contains(g.inst, p.b)) GROUP BY g.name)
+    "target_match": """WITH q AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 97 = 5 THEN 'Professor' ELSE p_name || ' ' || p_type END AS title, p_brand FROM part),
+        p AS (SELECT ord, title, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS n, trim(regexp_replace(lower(p_brand), '[^a-z0-9]+', ' ', 'g')) AS b, 'a.org/part/' || ord AS u FROM q),
+        g AS (SELECT * FROM (VALUES ('steel', ['steel'], 'brand', 'steel', ''), ('brass part', ['part', 'brass'], 'brand 1', '', ''), ('none', ['zzz'], 'nowhere', '', ''), ('address', ['zzz'], '', '', 'a.org/part/77'), ('any post', [], 'brand 2', 'full professor', '')) v(name, terms, inst, said, url)),
+        m AS (SELECT g.name, arg_min(p.title, p.ord) AS matched_title, min(p.ord) AS matched_ord FROM g JOIN p ON g.url <> '' AND contains(p.u, g.url)
+              OR g.inst <> '' AND p.b <> '' AND (contains(p.b, g.inst) OR contains(g.inst, p.b)) AND CASE WHEN len(g.terms) > 0 THEN list_has_all(string_split(p.n, ' '), g.terms) ELSE p.n <> '' AND (contains(p.n, g.said) OR contains(g.said, p.n)) END GROUP BY g.name)
         SELECT g.name, matched_title, matched_ord, matched_ord IS NOT NULL AS found FROM g LEFT JOIN m USING (name)""",
     "merge_first_nonempty": "SELECT user_id, arg_min(event_type, {'t': ts, 'e': event_id}) FILTER (value > 50) AS first_type, max(value) AS best_value, bool_or(value > 90) AS any_high FROM events GROUP BY user_id",
     "merge_list_union": "WITH f AS (SELECT user_id, event_type, min({'t': ts, 'e': event_id}) AS seen FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, '|' ORDER BY seen) AS types FROM f GROUP BY user_id",

@@ -71,3 +71,25 @@ def test_many_keywords(spark):
     assert all(x["got"] == [t for t in terms if scoring.plain_key(t) and scoring.plain_key(t) in x["t"]] for x in many)
     few = df.select("t", scoring.keyword_hits(F.col("t"), terms[:40]).alias("got")).collect()
     assert all(x["got"] == [t for t in terms[:40] if scoring.plain_key(t) and scoring.plain_key(t) in x["t"]] for x in few)
+
+
+def test_targets(spark):
+    """The containment join against the rule on every pair; no nested loop."""
+    r = random.Random(6)
+    words = ["assistant", "professor", "of", "law", "art", "soil", "in", "x1"]
+    say = lambda n: " ".join(r.choice(words) for _ in range(n)).title()
+    places, links = ["Hill", "Hill University", "The Dale", "", None], ["", None, "https://a.org/j/1", "http://A.org/j/12/", "https://b.org", "nonsense"]
+    posts = [(i, say(r.randint(0, 5)), r.choice(places), r.choice(links), r.choice(links)) for i in range(60)]
+    wants = [(f"t{i}", say(r.randint(0, 4)), r.choice(places), r.choice(["", "", "https://a.org/j/1", "https://a.org", "https://org"])) for i in range(80)]
+    p = spark.createDataFrame(posts, "ord long, title string, institution string, application_url string, source_url string")
+    t = spark.createDataFrame(wants, "name string, title string, institution string, url string")
+    each = t.select(*(F.col(c).alias(f"t_{c}") for c in t.columns)).crossJoin(p)
+    target = urls.canonical_url(F.col("t_url"))
+    rule = (target != "") & (urls.canonical_url(F.col("application_url")).contains(target) | urls.canonical_url(F.col("source_url")).contains(target))
+    rule |= text.title_matches(F.col("title"), F.col("t_title")) & text.soft_contains(F.col("institution"), F.col("t_institution"))
+    want = {x["t_name"]: x["o"] for x in each.where(rule).groupBy("t_name").agg(F.min("ord").alias("o")).collect()}
+    out = digest.match_targets(p, t, "ord")
+    got = {x["name"]: x["matched_ord"] for x in out.collect()}
+    assert 10 < len(want) < 80 and got == {w[0]: want.get(w[0]) for w in wants}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
