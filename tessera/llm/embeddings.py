@@ -236,7 +236,11 @@ LEAF = 64
 
 
 class CoverTree:
-    """A cover tree over rows: nodes hold a centre, which is a row, and a covering radius; children's radii are about half."""
+    """A cover tree over rows: nodes hold a centre, which is a row, and a covering radius; a child's radius is at most half its parent's.
+
+    A leaf holds up to `leaf` rows, or more whose halved balls would be more than a quarter of them: such rows lie apart, and balls tell nothing of
+    them. With leaf 1 every row comes to a leaf of its own, so a group's worst score is a single query's there.
+    """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF) -> None:
         self.x = x
@@ -259,18 +263,18 @@ class CoverTree:
         if len(i) <= self.leaf or self.radius[me] == 0:
             self.rows[me] = i
             return me
-        # Centres at least half the radius apart cover the node; at most 8, then the nearest takes the row and the radius says how far.
-        picks, near_, of = [0], ((x - x[0]) ** 2).sum(axis=1), np.zeros(len(i), np.int64)
-        while len(picks) < 8 and near_.max() > (self.radius[me] / 2) ** 2:
+        # Centres more than half the radius apart, until none of the rows is further than that from the nearest.
+        picks, near_, of = [int(np.argmin(d))], d**2, np.zeros(len(i), np.int64)
+        while near_.max() > (self.radius[me] / 2) ** 2:
+            if self.leaf > 1 and len(picks) > len(i) // 4:
+                self.rows[me] = i
+                return me
             p = int(np.argmax(near_))
             dp = ((x - x[p]) ** 2).sum(axis=1)
             of[dp < near_] = len(picks)
             near_ = np.minimum(near_, dp)
             picks.append(p)
         groups = [i[of == g] for g in range(len(picks)) if (of == g).any()]
-        if len(groups) == 1:
-            half = len(i) // 2
-            groups = [i[:half], i[half:]]
         self.children[me] = [self.grow(g) for g in groups]
         return me
 
@@ -284,10 +288,10 @@ class Search:
         self.score = np.full((len(queries), k), -np.inf)
         self.floor = np.full(len(queries), -np.inf) if floor is None else floor
         self.who = np.full((len(queries), k), np.iinfo(np.int64).max)
-        self.pairs = 0
+        self.scored = np.zeros(len(queries), np.int64)
 
     def run(self) -> None:
-        self.qt, self.xt = CoverTree(self.q), CoverTree(self.x)
+        self.qt, self.xt = CoverTree(self.q, 1), CoverTree(self.x)
         # Best pairs first: the worst kth score of each query group rises early.
         import heapq
 
@@ -324,7 +328,7 @@ class Search:
         return min(self.worst(c) for c in self.qt.children[a])
 
     def leaf(self, qi: np.ndarray, xi: np.ndarray) -> None:
-        self.pairs += len(qi) * len(xi)
+        self.scored[qi] += len(xi)
         s = self.q[qi] @ self.x[xi].T
         s[self.qids[qi][:, None] == self.ids[xi][None, :]] = -np.inf
         best = np.concatenate([self.score[qi], s], axis=1)
@@ -344,7 +348,8 @@ def as_rows(data: bytes, n: int, dim: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (vec_id divisible by `every`) the rows of highest integer inner product.
+    """query_id, rank, vec_id, score, n_scored: for each query (vec_id divisible by `every`) the rows of highest integer inner product, and how many rows were
+    scored to find them.
 
     Rows and queries are cut into blocks and groups that are small balls. Each group searches the block nearest to it first, which gives its
     queries a kth score each; a block is met by a group only if its ball could reach the worst of these, and only then are their vectors brought together, in one
@@ -394,6 +399,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     first = reach.groupBy("g").agg(F.max_by("block", F.struct("middle", "block")).alias("block"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    names = ["quid", "query_id", "vec_id", "score", "scored"]
+
     def search(batches):
         for b in batches:
             for r in range(b.num_rows):
@@ -405,7 +412,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     s = Search(q, qids, x, ids, k, np.array([known.get(u, -np.inf) for u in quids.tolist()]))
                     s.run()
                     at, col = np.nonzero(np.isfinite(s.score) & (s.score >= s.floor[:, None]))
-                    yield pa.RecordBatch.from_arrays([pa.array(quids[at]), pa.array(qids[at]), pa.array(s.who[at, col]), pa.array(s.score[at, col].astype(np.int64))], names=["quid", "query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(quids[at]), pa.array(qids[at]), pa.array(s.who[at, col]), pa.array(s.score[at, col].astype(np.int64)), pa.nulls(len(at), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(quids), pa.array(qids), *[pa.nulls(len(quids), pa.int64())] * 2, pa.array(s.scored)], names=names)
                     continue
                 big = [[int(v) for v in row] for row in x]
                 for quid, qid, row in zip(quids.tolist(), qids.tolist(), q, strict=True):
@@ -413,25 +421,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     best = sorted((-sum(a * c for a, c in zip(row, y, strict=True)), i) for i, y in zip(ids.tolist(), big, strict=True) if i != qid)[:k]
                     if best:
                         score = [max(-(1 << 63), min((1 << 63) - 1, -s)) for s, _ in best]
-                        yield pa.RecordBatch.from_arrays([pa.array([quid] * len(best)), pa.array([qid] * len(best)), pa.array([i for _, i in best]), pa.array(score, pa.int64())], names=["quid", "query_id", "vec_id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([quid] * len(best)), pa.array([qid] * len(best)), pa.array([i for _, i in best]), pa.array(score, pa.int64()), pa.array([len(ids)] + [0] * (len(best) - 1), pa.int64())], names=names)
 
     def met(pairs: DataFrame) -> DataFrame:
         """pairs: block, g, floor."""
         asks = groups.select(F.col("at").alias("g"), F.col("ids").alias("qids"), F.col("uids").alias("quids"), F.col("x").alias("q"))
         work = pairs.join(asks, "g").join(blocks.select(F.col("at").alias("block"), "dim", "ids", "x"), "block")
-        return work.repartition(parts, "block", "g").mapInArrow(search, "quid long, query_id long, vec_id long, score long")
+        return work.repartition(parts, "block", "g").mapInArrow(search, "quid long, query_id long, vec_id long, score long, scored long")
 
     kind = "array<struct<quid: long, floor: long>>"
     near_ = common.materialise(met(first.withColumn("floor", F.lit(None).cast(kind))), "topk-first")
-    kth = near_.groupBy("quid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("quid", "floor")
+    kth = near_.where("vec_id IS NOT NULL").groupBy("quid").agg(F.count("*").alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select("quid", "floor")
     each = groups.select(F.col("at").alias("g"), F.explode("uids").alias("quid")).join(kth, "quid", "left")
     floors = each.groupBy("g").agg(F.collect_list(F.when(F.col("floor").isNotNull(), F.struct("quid", "floor"))).alias("floor"), F.min("floor").alias("worst"), F.count_if(F.col("floor").isNull()).alias("without"))
     rest = reach.join(floors, "g").where("without > 0 or up >= worst").join(first, ["g", "block"], "left_anti").select("block", "g", "floor")
     found = near_.union(met(rest))
-    order = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("quid").orderBy(F.col("score").desc_nulls_last(), "vec_id")
+    found = found.withColumn("n_scored", F.sum("scored").over(Window.partitionBy("quid"))).withColumn("rank", F.row_number().over(order))
+    return found.where((F.col("rank") <= k) & F.col("vec_id").isNotNull()).select("query_id", "rank", "vec_id", "score", "n_scored")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:
     """The five best rows for every query vector."""
-    return top_k(common.table(spark, sf_dir, "embeddings"))
+    return top_k(common.table(spark, sf_dir, "embeddings")).drop("n_scored")
