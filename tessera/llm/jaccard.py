@@ -58,8 +58,8 @@ SHORT = 32
 PIVOTS = 3
 #: Times that nodes outside a list's most frequent component are verified against nodes of it before pairs are scanned.
 ROUNDS = 1
-#: Least keys of its lists that a node carries: a pair is left to a smaller list that both are known to be in.
-KEYS = 12
+#: Nodes of a block of a list; blocks meet blocks, and pairs are made within a task, by sketches.
+TILE = 512
 #: A part of more than so many times PART postings is split over tasks.
 LARGE = 8
 #: Bits of a node's first name.
@@ -387,6 +387,66 @@ def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep"), "size", (F.col("size") - F.col("m.n")).alias("outside")), "jaccard-main")
 
 
+def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, x), node the lesser, of pairs of lists (key, node, c, main, size, outside) that lie in two components, one of them outside the main one, and that
+    the short sketches leave possible. The nodes outside meet the whole list in tiles of TILE by TILE nodes, and only pairs that may link leave a tile."""
+    words = [f"s{i}" for i in range(FOLD)]
+    rows = open_.join(short, "node").select(
+        "key", "node", "c", "n", *words, (F.col("c") == F.col("main")).alias("inner"), F.ceil(F.col("size") / TILE).cast("int").alias("wide"), F.ceil(F.col("outside") / TILE).cast("int").alias("high")
+    )
+    place, shown = F.xxhash64("node"), ["node", "c", "n", *words, "inner"]
+    across = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(place, "wide").cast("int").alias("j"), *shown, F.lit(False).alias("out"))
+    down = rows.where("NOT inner").select("key", F.pmod(place, "high").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), *shown, F.lit(True).alias("out"))
+
+    def pairs(node, c, n, sketch, inner, out):
+        (y,) = np.nonzero(out)
+        (x,) = np.nonzero(~out)
+        for at in range(0, len(y), TILE):  # a hash may deal a block somewhat more than TILE nodes
+            o = y[at : at + TILE]
+            ok = (c[x][:, None] != c[o][None, :]) & (inner[x][:, None] | (node[x][:, None] < node[o][None, :]))
+            na, nb = n[x][:, None], n[o][None, :]
+            ok &= (na * den >= nb * num) & (nb * den >= na * num)
+            differ = np.zeros(ok.shape, np.int64)
+            for w in range(FOLD):
+                differ += np.bitwise_count(sketch[w][x][:, None] ^ sketch[w][o][None, :])
+            i, j = np.nonzero(ok & (differ * (num + den) <= (na + nb) * (den - num)))
+            if len(i):
+                one, two = node[x[i]], node[o[j]]
+                met = np.empty(len(i), PAIR)
+                met["a"], met["b"] = np.minimum(one, two), np.maximum(one, two)
+                yield distinct(met)
+
+    def run(batches):
+        held = None
+
+        def tiles(t: pa.Table, last: bool):
+            """The pairs of all whole tiles, and the rows of the one that may go on."""
+            col = lambda c: t.column(c).to_numpy()
+            key, i, j = col("key"), col("i"), col("j")
+            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+            ends = np.r_[heads[1:], len(key)]
+            whole = len(heads) if last else len(heads) - 1
+            node, c, n, inner, out = (col(x) for x in ("node", "c", "n", "inner", "out"))
+            sketch = [col(w).view(np.uint64) for w in words]
+            found = [m for a, b in zip(heads[:whole], ends[:whole], strict=True) for m in pairs(node[a:b], c[a:b], n[a:b], [w[a:b] for w in sketch], inner[a:b], out[a:b])]
+            return (distinct(np.concatenate(found)) if found else np.zeros(0, PAIR)), t.slice(int(heads[whole])) if whole < len(heads) else None
+
+        def given(met):
+            for a in range(0, len(met), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(met["a"][a : a + (1 << 18)]), pa.array(met["b"][a : a + (1 << 18)])], names=["node", "x"])
+
+        for b in batches:
+            if b.num_rows:
+                t = pa.Table.from_batches([b])
+                met, held = tiles((t if held is None else pa.concat_tables([held, t])).combine_chunks(), False)
+                yield from given(met)
+        if held is not None:
+            yield from given(tiles(held.combine_chunks(), True)[0])
+
+    dealt = across.unionByName(down).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "node long, x long")
+
+
 def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """doc_id, hash of the text, n_shingles, component_id of every row: components of the links of similarity num / den or more."""
     spark = docs.sparkSession
@@ -419,8 +479,6 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     may_link = f"({differ}) * {num + den} <= (n + nx) * {den - num} and n * {den} >= nx * {num} and nx * {den} >= n * {num}"
     fold = [" ^ ".join(f"s{j}" for j in range(i, SKETCH, FOLD)) for i in range(FOLD)]
     short = known.select("node", "n", *(F.expr(e).alias(f"s{i}") for i, e in enumerate(fold)))
-    short_differ = " + ".join(f"bit_count(s{i} ^ xs{i})" for i in range(FOLD))
-    short_may_link = may_link.replace(differ, short_differ)
     right = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
     lists = cand.where("key <> -1")
     shared = lists.select("node", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
@@ -442,15 +500,8 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
         links = common.materialise(links.union(verified(near, texts_of(docs, known, near), k, num, den)).distinct(), "jaccard-links")
         pairs = pairs.union(near)
         named, main = in_components(lists, links)
-    # Near copies share very many lists; a pair is taken from the smallest that both carry, or any below it, never from those above.
-    carried = lists.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, KEYS).alias("ks")).join(short, "node")
-    carried = common.materialise(carried, "jaccard-carried")
-    named = common.lookup(named, main, ["key"], "size", total, ("main",))
-    paired = named.select("key", "node", "c", "main", F.col("key").alias("at"))
-    out = paired.where("c <> main").select("at", F.col("node").alias("x"), F.col("c").alias("cx"))
-    out = out.join(carried.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ks").alias("xks"), *(F.col(f"s{i}").alias(f"xs{i}") for i in range(FOLD))), "x")
-    more = paired.join(carried, "node").join(out, "at").where(f"c <> cx and (c = main or node < x) and {short_may_link} and coalesce(array_min(array_intersect(ks, xks)) >= key, true)")
-    more = more.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).distinct().join(known, "node").join(right, "x").where(may_link)
+    more = tiled(common.lookup(named, main, ["key"], "size", total, ("main", "size", "outside")), short, num, den)
+    more = more.distinct().join(known, "node").join(right, "x").where(may_link)
     more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
     second = verified(more, texts_of(docs, known, more), k, num, den)
     all_links = links.select("a", "b").union(second)
