@@ -20,6 +20,8 @@ LECTURER = ("lecturer", "senior lecturer", "lectureship")
 POSTDOC = ("postdoc", "post-doctoral", "postdoctoral researcher", "research associate")
 OPEN_RANK = ("open rank", "assistant associate full professor", "associate full professor", "faculty positions")
 ASSOCIATE = ("associate professor", "assistant/associate professor")
+#: Weights of a model's five dimensions, of 0 to 5 each: research, methods, career, department, teaching. Fixed values.
+MODEL_WEIGHTS = (7, 5, 3, 3, 2)
 #: Weights. Fixed values, all replaceable by settings.
 DEFAULTS = {
     "role_weights": {"assistant_professor": 0.30, "tenure_track_assistant_professor": 0.30, "lecturer_ap_equivalent": 0.30, "faculty_fellowship": 0.30, "prestigious_postdoc_fellowship": 0.18, "regular_postdoc": -0.25, "teaching_only": -0.25, "open_rank": 0.30, "associate_professor_eu_tt_equivalent": 0.30, "business_school_adjacent": 0.10, "other": -0.25},
@@ -109,7 +111,7 @@ def priority(institution: Column, names: list[str]) -> Column:
 
 def model_score(research: Column, methods: Column, career: Column, department: Column, teaching: Column) -> Column:
     """The score of five model dimensions of 0 to 5."""
-    return 7 * research + 5 * methods + 3 * career + 3 * department + 2 * teaching
+    return sum(w * c for w, c in zip(MODEL_WEIGHTS, (research, methods, career, department, teaching), strict=True))
 
 
 def score(postings: DataFrame, keywords: dict[str, list[str]], as_of: str, priority_names: list[str] = (), settings: dict | None = None, included: tuple[str, ...] = REGIONS) -> DataFrame:

@@ -7,6 +7,9 @@ import logging
 import os
 import smtplib
 import sys
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -55,17 +58,17 @@ def collect(spark: SparkSession, c: config.Settings, live: bool, opener: fetch.O
     """Postings of every source that is enabled, in one order, and warnings. A source that fails is a warning. Without live sources, the demo rows."""
     s = lambda name, other: c.get(f"scraping.{name}", other)
     how = {"agent": str(s("user_agent", "tessera")), "timeout": float(s("request_timeout_seconds", 30)), "delay": float(s("delay_between_requests_seconds", 2)), "opener": opener}
-    parts, warnings = [], []
+    folder, limit = dedupe.shared_dir(spark), float(s("source_time_limit_seconds", 3600))
+    jobs: list[tuple[str, Callable[[], tuple[DataFrame, list]]]] = []
+    warnings: list[str] = []
 
     def add(kind: str, make) -> None:
-        try:
-            found, told = make()
-            rows = dedupe.written(found, dedupe.shared_dir(spark), kind)
-            warnings.extend(f"{r[0]}: {r[1]}" for r in told)
-        except Exception as e:  # one source stops no other
-            warnings.append(f"Source {kind} failed: {e}")
-            return
-        parts.append(rows)
+        jobs.append((kind, make))
+
+    def gather(kind: str, make) -> tuple[DataFrame, list]:
+        spark.sparkContext.setJobGroup(f"tessera {kind}", kind, interruptOnCancel=True)
+        found, told = make()
+        return dedupe.written(found, folder, kind.replace(" ", "-")), told
 
     def some(told: DataFrame) -> list:
         """Warnings as a reader can take them; if there are more, that is said."""
@@ -89,6 +92,21 @@ def collect(spark: SparkSession, c: config.Settings, live: bool, opener: fetch.O
         warnings.append("official pages: live pages are not fetched; using none of them")
     if live and c.source("rss").get("enabled", False):
         add("feeds", feeds_)
+    parts = []
+    # Sources are read side by side; their order is that of the list. One that fails or outlasts its time is a warning and stops no other.
+    pool = ThreadPoolExecutor(max(1, len(jobs)))
+    begun, running = time.monotonic(), [(kind, pool.submit(gather, kind, make)) for kind, make in jobs]
+    for kind, job in running:
+        try:
+            rows, told = job.result(max(0.0, begun + limit - time.monotonic()))
+            parts.append(rows)
+            warnings.extend(f"{r[0]}: {r[1]}" for r in told)
+        except TimeoutError:
+            spark.sparkContext.cancelJobGroup(f"tessera {kind}")
+            warnings.append(f"Source {kind} failed: no end after {limit:g} seconds")
+        except Exception as e:  # whatever a source raises costs its own postings alone
+            warnings.append(f"Source {kind} failed: {e}")
+    pool.shutdown(wait=False, cancel_futures=True)
     if not parts:
         parts = [demo.postings(spark).limit(0)]
     return in_order(union_all(parts)), warnings
@@ -104,7 +122,8 @@ def score(postings: DataFrame, c: config.Settings, as_of: str, client: model_sco
     included = tuple(k for k, on in (c.get("regions.include") or {}).items() if on)
     out = scoring.with_prose(scoring.score(postings, c.keywords, as_of, c.priority_names(), c.get("scoring"), included))
     roles = tuple(scoring.DEFAULTS["role_weights"])
-    out = model_scoring.rescore(out, client, c.profile, roles, float(c.get("openai.min_rule_score_for_llm", 0.35)))
+    kept = c.get("openai.answers_path")
+    out = model_scoring.rescore(out, client, c.profile, roles, float(c.get("openai.min_rule_score_for_llm", 0.35)), str(c.place(kept)) if kept else None)
     return dedupe.written(out, dedupe.shared_dir(postings.sparkSession), "scored")
 
 
@@ -137,7 +156,7 @@ def run(spark: SparkSession, c: config.Settings, dry_run: bool = False, live: bo
         client, told = client_of(c)
         warnings += told
     scored = score(prepare(found, *at, today, now), c, today, None if dry_run else client)
-    saved = scored.drop("model_problem", "rule_score")
+    saved = scored.drop("model_problem", "model_tokens", "rule_score")
     if c.get("outputs.sqlite.enabled", True):
         saved = store.save(scored, str(c.place(c.get("outputs.store.path", "data/postings"))), today, now, *at)
     saved = dedupe.written(saved, dedupe.shared_dir(spark), "saved")
@@ -174,7 +193,7 @@ def run(spark: SparkSession, c: config.Settings, dry_run: bool = False, live: bo
             sent = delivery.mail(delivery.credentials(base), subject, body, str(c.get("email.smtp_host", "smtp.gmail.com")), int(c.get("email.smtp_port", 587)), bool(c.get("email.use_tls", True)), dry_run)
         except delivery.MissingSettings as e:
             sent = f"Email not sent. {e}"
-    totals = {"collected": found.count(), "scored": scored.count(), "saved": saved.count(), "warnings": len(warnings)}
+    totals = {"collected": found.count(), "scored": scored.count(), "saved": saved.count(), "warnings": len(warnings), "model_tokens": scored.agg(F.sum("model_tokens")).first()[0] or 0}
     LOG.info("run complete: %s, email=%s", totals, sent)
     for w in warnings:
         LOG.warning(w)

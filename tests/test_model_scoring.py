@@ -1,6 +1,7 @@
 """Model scores with stand-in clients."""
 
 import json
+import uuid
 
 from test_outputs import postings
 from pyspark.sql import functions as F
@@ -37,3 +38,32 @@ def test_rescore(spark):
     assert got[6].warnings == ["w"] and got[1].warnings == ["w", "n"]
     assert m.rescore(jobs, None, {}, ROLES).where("model_problem is not null").count() == 0
     assert m.rescore(jobs.limit(0), client(), {}, ROLES).count() == 0
+
+
+def counted(folder):
+    """A client that leaves a file for each request it is asked, and counts tokens."""
+    answer = client()
+
+    class Counted:
+        usage = {"total_tokens": 0}
+
+        def __call__(self, request: str) -> dict:
+            (folder / uuid.uuid4().hex).write_text(request)
+            self.usage["total_tokens"] += 7
+            return answer(request)
+
+    return Counted()
+
+
+def test_answers_are_kept(spark, tmp_path):
+    """Tokens are columns, whatever process asked; no request with an answer is asked again; failures are."""
+    (tmp_path / "asked").mkdir()
+    jobs = postings(spark).withColumn("rule_score", F.lit(0.9))
+    once = [r.asDict() for r in m.rescore(jobs, counted(tmp_path / "asked"), {}, ROLES, folder=str(tmp_path / "answers")).collect()]
+    asked = [json.loads(p.read_text())["job"]["title"] for p in (tmp_path / "asked").iterdir()]
+    assert len(asked) == len(set(asked)) == 6 and sum(r["model_tokens"] for r in once) == 42
+    again = [r.asDict() for r in m.rescore(jobs, counted(tmp_path / "asked"), {}, ROLES, folder=str(tmp_path / "answers")).collect()]
+    failed = {r["title"] for r in once if r["model_problem"]}
+    assert len(list((tmp_path / "asked").iterdir())) == 6 + len(failed) and sum(r["model_tokens"] for r in again) == 7 * len(failed)
+    plain = lambda rows: sorted(str({k: v for k, v in r.items() if k != "model_tokens"}) for r in rows)
+    assert plain(once) == plain(again) == plain(r.asDict() for r in m.rescore(jobs, client(), {}, ROLES).collect())

@@ -1,6 +1,8 @@
 """Boards, stored postings, delivery and a whole run, on small inputs."""
 
 import json
+import time
+import uuid
 from datetime import datetime, timezone
 
 import pytest
@@ -8,7 +10,7 @@ import pytest
 from tessera import run as whole_run
 from tessera import settings
 from tessera.operators import delivery, outputs, store
-from tessera.sources import boards, feeds
+from tessera.sources import boards, feeds, fetch
 
 LD = '<script type="application/ld+json">{"@type": "JobPosting", "title": "Assistant Professor of Law", "url": "/p/1", "hiringOrganization": "Hill University", "validThrough": "2026-08-01T00:00", "jobLocation": {"address": "Perth, Australia"}}</script>'
 SITE = {
@@ -235,3 +237,37 @@ def test_digest_settings(spark, folder):
     (folder / "settings.yaml").write_text(text + "\nopenai: {enabled: true}")
     got = whole_run.run(spark, settings.load(folder), clock=clock, environment={}, no_mail=True)
     assert got.body == "" and any("no digest" in w for w in got.warnings) and any("model scoring unavailable" in w for w in got.warnings) and got.postings.count() == 3
+
+
+def test_hosts_are_fetched_at_once(spark, tmp_path):
+    """Pages of one host one after the other, hosts side by side."""
+
+    def opener(url, agent, timeout, most):
+        began = time.time()
+        time.sleep(1.0)
+        (tmp_path / uuid.uuid4().hex).write_text(json.dumps([url.split("/")[2], began, time.time()]))
+        return b"x"
+
+    df = spark.createDataFrame([(f"https://h{h}.org/{i}",) for h in range(3) for i in range(2)], "url string")
+    out = fetch.fetched(df, delay=0, robots=False, opener=opener)
+    assert out.rdd.getNumPartitions() == 3 and out.where("html = 'x'").count() == 6
+    spans = [json.loads(p.read_text()) for p in tmp_path.iterdir()]
+    meet = lambda a, b: a[1] < b[2] and b[1] < a[2]
+    pairs = [(a, b) for i, a in enumerate(spans) for b in spans[:i]]
+    assert not any(meet(a, b) for a, b in pairs if a[0] == b[0]) and any(meet(a, b) for a, b in pairs if a[0] != b[0])
+
+
+def test_sources_side_by_side(spark, folder):
+    """A source that hangs is a warning; the others' postings stay in order."""
+    (folder / "settings.yaml").write_text((folder / "settings.yaml").read_text().replace("scraping: {", "scraping: {source_time_limit_seconds: 25, "))
+
+    plain = opener_of(SITE)
+
+    def opener(url, agent, timeout, most):
+        if "a.org" in url:
+            time.sleep(60)
+        return plain(url, agent, timeout, most)
+
+    found, warnings = whole_run.collect(spark, settings.load(folder), True, opener)
+    assert [r.title for r in found.orderBy("ord").collect()] == ["Fellow"]
+    assert any("job boards failed: no end after 25 seconds" in w for w in warnings)
