@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,24 @@ def discard(*tables: DataFrame) -> None:
             _MADE.remove(t.scratch)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; call it when no open DataFrame reads them."""
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch tables that are made within, for release()."""
+    start, made = len(_MADE), []
+    try:
+        yield made
+    finally:
+        made += _MADE[start:]
+
+
+def release(spark: SparkSession, made: list[str]) -> None:
+    """Delete recorded scratch tables; call it when no open DataFrame reads them. Tables of other queries stay."""
+    while made:
+        name = made.pop()
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        if name in _MADE:
+            _MADE.remove(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
