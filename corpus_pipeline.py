@@ -12,25 +12,40 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import common, jaccard, langid, mixing, packing, secrets
 
 
+#: Scratch tables of the stages whose rows may still be read; deleted once the next stage has them written.
+_MADE: list[str] = []
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; null texts and texts without a letter go. Repeated rows and null doc_ids stay as they are."""
     return langid.accept(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs, k=5, num=80, den=100)
+    """One document of each group of near duplicates, the one of the smallest doc_id; rows without doc_id and texts without words stay."""
+    with common.recorded() as made:
+        out = jaccard.keep_one(docs, k=5, num=80, den=100)
+    _MADE.extend(made)
+    return out
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
+    """All rows, each reported secret replaced by a mark; null texts stay null."""
+    common.release(spark, _MADE)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    """Rows of the text that the mix takes, repeats as rows of their own; a null source is a source, a null or empty text gives nothing to take."""
+    with common.recorded() as made:
+        out = mixing.mixed(docs)
+    _MADE.extend(made)
+    return out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    common.release(spark)
+    """Pieces of the token ids of every row, placed in sequences; a null text is empty and gives its end id alone."""
+    common.release(spark, _MADE)
     return packing.pack(docs)
 
 
