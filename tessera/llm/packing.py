@@ -33,6 +33,8 @@ CAPACITY = 2048
 CELL = 10_000
 #: Lengths that a round of the program prices: so many of the least covered ones, and so many drawn ones.
 LEAST, MORE = 48, 24
+#: Free places of the configurations that a stricter rounding keeps, at most.
+ROOMS = (64, 16, 4, 0)
 #: Words whose ids a worker remembers.
 CACHE_WORDS = 300_000
 #: White space in a row that goes another way; its splitter stops the process at about a million.
@@ -187,15 +189,15 @@ def program(lengths: np.ndarray, demand: np.ndarray, capacity: int, passes: floa
     return uses, sum(x for *_, x in uses) / float(covered.min()) / dual, dual
 
 
-def rounded(uses: list[Use], lengths: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """Whole numbers of uses of the configurations that are filled at least as far as the solution is on average; what they place leaves `left`.
+def rounded(uses: list[Use], lengths: np.ndarray, left: np.ndarray, least: float = 0) -> list[tuple[np.ndarray, int]]:
+    """Whole numbers of uses of the configurations that are filled at least as far as the solution is on average, and to `least`; what they place leaves `left`.
 
     Uses are scaled to the demand and rounded down, and then, the largest rest first, rounded up where all of the configuration is still left.
     """
     fill = [int((lengths[at] * times).sum()) for at, times, _ in uses]
     volume = sum(x * f for (*_, x), f in zip(uses, fill, strict=True))
     scale, mean = float((left * lengths).sum()) / volume, volume / sum(x for *_, x in uses)
-    kept = sorted(((at, times, x * scale) for (at, times, x), f in zip(uses, fill, strict=True) if f >= mean - 1e-6), key=lambda u: -u[2])
+    kept = sorted(((at, times, x * scale) for (at, times, x), f in zip(uses, fill, strict=True) if f >= max(least, mean - 1e-6)), key=lambda u: -u[2])
     out, rests = [], []
     for at, times, x in kept:
         n = int(min(np.floor(x), (left[at] // times).min()))
@@ -229,10 +231,20 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, seen: dict | N
     if not given:
         return out
     uses, gap, dual = program(lengths[some], left[some], capacity)
-    placed = rounded([(some[at], times, x) for at, times, x in uses], lengths, left)
+    uses = [(some[at], times, x) for at, times, x in uses]
+    # Rounding keeps all configurations of average fill or better, or only those that leave little or nothing free; the fewest sequences count, then the
+    # most pieces that the program placed. Best fit without the program is the last resort, so it is never undercut.
+    best, most = None, 0
+    for room in (None, *ROOMS, -1):
+        rest = left.copy()
+        opened = [] if room == -1 else rounded(uses, lengths, rest, 0 if room is None else capacity - room)
+        plan = best_fit(lengths, rest, capacity, opened)
+        used = sum(g for _, g in plan)
+        if best is None or (used, rest.sum()) < most:
+            best, most = plan, (used, rest.sum())
     if seen is not None:
-        seen |= {"given": given, "placed": given - int(left.sum()), "gap": gap, "bound": dual}
-    return out + best_fit(lengths, left, capacity, placed)
+        seen |= {"given": given, "placed": given - int(most[1]), "gap": gap, "bound": dual}
+    return out + best
 
 
 def best_fit(lengths: np.ndarray, counts: np.ndarray, capacity: int, opened: list[tuple[np.ndarray, int]] | None = None) -> list[tuple[np.ndarray, int]]:

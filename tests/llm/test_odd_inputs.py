@@ -31,3 +31,12 @@ def test_quotes():
     assert blocks("<p data-x=it's>four</p><p>five</p><p title='>q'>six</p>") == ["four", "five", "six"]
     assert blocks("""<p a="x > y" b = 'z > w' c=d="e f>one</p><p it's>two</p><p a=>three</p><p a='>four</p><p b="y">five</p>""")[:3] == ["one", "two", "three"]
     assert html.tree("<p " + "a=\"x " * 50_000 + ">text</p>")[1][0][1] == "text"
+
+
+@pytest.mark.parametrize("least,most", [(900, 1501), (600, 1101), (2, 2048), (1000, 1030)])
+def test_plans_beat_best_fit(least, most):
+    """A plan holds every piece and never needs more sequences than best fit alone."""
+    lengths, counts = np.unique(np.random.default_rng(least).integers(least, most, 6000), return_counts=True)
+    plan = packing.solve(lengths, counts, 2048)
+    assert (sum(p * n for p, n in plan) == counts).all() and all((p * lengths).sum() <= 2048 for p, _ in plan)
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(lengths, counts, 2048))
