@@ -291,7 +291,11 @@ class Search:
         self.scored = np.zeros(len(queries), np.int64)
 
     def run(self) -> None:
-        self.qt, self.xt = CoverTree(self.q, 1), CoverTree(self.x)
+        self.xt = CoverTree(self.x)
+        if self.xt.rows[self.xt.root] is not None:  # rows that lie apart: no ball to prune, one product for all queries
+            self.leaf(np.arange(len(self.q)), self.xt.rows[self.xt.root])
+            return
+        self.qt = CoverTree(self.q, 1)
         # Best pairs first: the worst kth score of each query group rises early.
         import heapq
 
