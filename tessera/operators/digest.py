@@ -25,9 +25,12 @@ GRAM = 6
 
 
 def _best(spots: DataFrame, keys: DataFrame, of: list[str], key: str) -> DataFrame:
-    """spots (of.., key), one for each `of`: its key that the fewest rows of keys hold."""
-    often = keys.join(spots.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
-    return spots.join(often, key).groupBy(*of).agg(F.min_by(key, F.struct("_n", key)).alias(key))
+    """spots (of.., key), one for each `of`: its key that the fewest rows of keys hold.
+
+    What comes of targets is broadcast, here and below, as they come from settings; left to its estimates, Spark may take postings' parts for the smaller side.
+    """
+    often = keys.join(F.broadcast(spots.select(key).distinct()), key, "left_semi").groupBy(key).agg(F.count("*").alias("_n"))
+    return F.broadcast(spots).join(often, key).groupBy(*of).agg(F.min_by(key, F.struct("_n", key)).alias(key))
 
 
 def _parts(c: Column, sizes: list[int]) -> Column:
@@ -50,7 +53,7 @@ def _contained(texts: DataFrame, wanted: DataFrame, text_: str, want: str) -> Da
     probes = texts.where(F.col(text_) != "").select("*", F.explode(_parts(F.col(text_), sizes)).alias("_part"))
     spots = wanted.select(want, F.explode(F.filter(_parts(F.col(want), sizes), lambda x: F.length(x) == F.col("_size"))).alias("_part"))
     index = _best(spots, probes.select("_part"), [want], "_part")
-    return probes.join(index, "_part").where(F.contains(F.col(text_), F.col(want))).select(want, "_ord", "_title", "_place")
+    return probes.join(F.broadcast(index), "_part").where(F.contains(F.col(text_), F.col(want))).select(want, "_ord", "_title", "_place")
 
 
 def match_targets(postings: DataFrame, targets: DataFrame, order: str) -> DataFrame:
@@ -67,17 +70,17 @@ def match_targets(postings: DataFrame, targets: DataFrame, order: str) -> DataFr
     termed = t.where(F.size("t_terms") > 0)
     probes = p.select("_ord", "_title", "_place", "_terms", F.explode("_terms").alias("_term"))
     index = _best(termed.select("t_terms", F.explode("t_terms").alias("_term")).distinct(), probes.select("_term"), ["t_terms"], "_term")
-    by_terms = near(probes.join(termed.join(index, "t_terms"), "_term").where(F.size(F.array_except("t_terms", "_terms")) == 0))
+    by_terms = near(probes.join(F.broadcast(termed.join(index, "t_terms")), "_term").where(F.size(F.array_except("t_terms", "_terms")) == 0))
 
     bare = t.where((F.size("t_terms") == 0) & (F.col("t_title") != ""))
-    within = near(_contained(p.select("_ord", "_title", "_place", "_said"), bare, "_said", "t_title").join(bare, "t_title"))
+    within = near(_contained(p.select("_ord", "_title", "_place", "_said"), bare, "_said", "t_title").join(F.broadcast(bare), "t_title"))
     around = bare.select("t_name", "t_place", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("t_title")), lambda n: F.transform(F.sequence(F.lit(1), F.length("t_title") - n + 1), lambda i: F.substring(F.col("t_title"), i, n)))))).alias("_said"))
-    about = near(p.select("_ord", "_title", "_place", "_said").join(around, "_said"))
+    about = near(p.select("_ord", "_title", "_place", "_said").join(F.broadcast(around), "_said"))
 
     addresses = p.select("_ord", "_title", "_place", F.explode(F.array_distinct("_urls")).alias("_url"))
-    by_url = _contained(addresses, t, "_url", "t_url").join(t.select("t_name", "t_url"), "t_url")
+    by_url = _contained(addresses, t, "_url", "t_url").join(F.broadcast(t.select("t_name", "t_url")), "t_url")
 
     shape = ("t_name", "_ord", "_title")
     hits = by_terms.select(*shape).union(within.select(*shape)).union(about.select(*shape)).union(by_url.select(*shape))
     found = hits.groupBy(F.col("t_name").alias("name")).agg(F.min_by("_title", "_ord").alias("matched_title"), F.min("_ord").alias("matched_ord"))
-    return targets.select("name").join(found, "name", "left").withColumn("found", F.col("matched_ord").isNotNull())
+    return targets.select("name").join(F.broadcast(found), "name", "left").withColumn("found", F.col("matched_ord").isNotNull())
