@@ -89,7 +89,9 @@ def keyword_hits(normalized: Column, terms: list[str]) -> Column:
         return F.array().cast("array<string>")
     if len(keys) > FEW_TERMS:
         return automaton_hits(normalized, keys)
-    return F.filter(F.array(*(F.when(normalized.contains(k), F.lit(t)) for k, t in keys)), lambda x: x.isNotNull())
+    # Bound once by a lambda: written out for each term, the text would be normalized for each.
+    given = lambda n: F.filter(F.array(*(F.when(n.contains(k), F.lit(t)) for k, t in keys)), lambda x: x.isNotNull())
+    return F.get(F.transform(F.array(normalized), given), F.lit(0))
 
 
 def category(score: Column) -> Column:

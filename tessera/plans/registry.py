@@ -104,8 +104,9 @@ def keyword_score(spark, d):
 
 
 def keyword_hits(spark, d):
-    n = text.normalize(F.col("text"))
-    return t(spark, d, "documents").select("doc_id", *(F.array_join(scoring.keyword_hits(n, v), "|").alias(k) for k, v in KEYWORDS.items()))
+    # A generator is a wall to Catalyst: the text is normalized once for all lists.
+    n, docs = F.col("n"), t(spark, d, "documents").select("doc_id", F.explode(F.array(text.normalize(F.col("text")))).alias("n"))
+    return docs.select("doc_id", *(F.array_join(scoring.keyword_hits(n, v), "|").alias(k) for k, v in KEYWORDS.items()))
 
 
 def fit_category(spark, d):
