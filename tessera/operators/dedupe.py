@@ -17,6 +17,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,11 @@ GRAM = 3
 #: then the pairs that are still open are compared. The rows that result are the same.
 MANY_PAIRS = 300
 INDEX_ROUNDS = 3
+#: Classes of an institution that one task compares in their order, where nothing but titles ties its rows.
+#: Institutions of more go by rounds; the rows are the same.
+LOCAL_CLASSES = 8192
+#: Places of a letter in letters_of(); a title that repeats one more often has the rest counted apart.
+REPEATS = 16
 
 
 # --- the rules on single rows, for replays ---------------------------------------------------------------------------------
@@ -57,6 +63,63 @@ def ratio(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, normal(a), normal(b)).ratio()
 
 
+@lru_cache(1 << 16)
+def letters_of(title: str) -> tuple[int, int]:
+    """The letters of a normalized title as bits, the nth of a kind having a bit of its own; and how many found none."""
+    bits, seen, rest = 0, Counter(), 0
+    for c in title:
+        if seen[c] < REPEATS:
+            bits |= 1 << (ord(c) - 32) * REPEATS + seen[c]
+        else:
+            rest += 1
+        seen[c] += 1
+    return bits, rest
+
+
+def common_pair(a: str, b: str) -> int:
+    """common_letters of one pair."""
+    masks: dict[str, int] = {}
+    for at, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << at
+    w = full = (1 << len(a)) - 1
+    for c in b:
+        m = masks.get(c, 0)
+        w = ((w + (w & m)) | (w & ~m)) & full
+    return len(a) - w.bit_count()
+
+
+@lru_cache(1 << 18)
+def close(a: str, b: str, at: float) -> float | None:
+    """The ratio of normalized titles, the one to the other, if it is at least `at`; a bound by common letters comes first."""
+    if 2 * common_pair(a, b) < at * (len(a) + len(b)) - 1e-9:
+        return None
+    score = SequenceMatcher(None, a, b).ratio()
+    return score if score >= at else None
+
+
+def alike_at(a: str, b: str, at: float) -> float | None:
+    """close(), after bounds that cost next to nothing: lengths and letters."""
+    if a == b:
+        return 1.0 if at <= 1 else None
+    least = at * (len(a) + len(b)) - 1e-9
+    if 2 * min(len(a), len(b)) < least:
+        return None
+    (x, more), (y, rest) = letters_of(a), letters_of(b)
+    return None if 2 * ((x & y).bit_count() + min(more, rest)) < least else close(a, b, at)
+
+
+@lru_cache(1 << 16)
+def as_compared(title: str | None) -> str:
+    return normal(core_title(title))
+
+
+@lru_cache(1 << 16)
+def place_of(institution: str | None) -> tuple[str, str]:
+    """An institution's key, empty where it is missing, and its name as it is compared."""
+    name = normal(institution)
+    return "" if is_missing(institution) else re.sub(r"^the\s+", "", name), name
+
+
 def core_title(value: str | None) -> str:
     return _TITLE_ENDS.split(value or "", maxsplit=1)[0].strip(" -,:;")
 
@@ -100,14 +163,15 @@ class Replay:
         hit = self.by_id.get(row["canonical_id"]) or self.by_url.get(url)
         if hit or not place:
             return hit
+        core, name = as_compared(row.get("title")), place_of(row.get("institution"))[1]
         for other in self.by_place.get(place, []):
-            if ratio(core_title(row.get("title")), core_title(other.get("title"))) >= self.title_at and ratio(row.get("institution"), other.get("institution")) >= self.institution_at:
+            if alike_at(core, as_compared(other.get("title")), self.title_at) is not None and alike_at(name, place_of(other.get("institution"))[1], self.institution_at) is not None:
                 return other
         return None
 
     def add(self, row: dict) -> dict | None:
         """The leader that the row is merged into; none if it leads itself."""
-        url, place = normal(row.get("application_url")), "" if is_missing(row.get("institution")) else re.sub(r"^the\s+", "", normal(row.get("institution")))
+        url, place = normal(row.get("application_url")), place_of(row.get("institution"))[0]
         hit = None if self.stored and row.get("_stored") else self.met(row, url, place)
         if hit is not None:
             merge(hit, row)
@@ -315,14 +379,74 @@ def key_columns(postings: DataFrame) -> dict[str, Column]:
     }
 
 
+def locally(firsts: DataFrame, title_at: float, institution_at: float) -> DataFrame:
+    """(class, to, score) of classes (class, place, core, name, k): the first class of its institution, in the order of k, that leads and is alike; null where it leads
+    itself. A task holds the leaders of one institution, of LOCAL_CLASSES at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, led = None, []
+        for pdf in batches:
+            out = []
+            for place, c, core_, name in zip(pdf["place"], pdf["class"], pdf["core"], pdf["name"], strict=True):
+                if place != at:
+                    at, led = place, []
+                for other, title, place_name in led:
+                    if (score := alike_at(core_, title, title_at)) is not None and (near := alike_at(name, place_name, institution_at)) is not None:
+                        out.append((c, other, min(score, near)))
+                        break
+                else:
+                    led.append((c, core_, name))
+                    out.append((c, None, None))
+            yield pd.DataFrame({"class": [x[0] for x in out], "to": pd.array([x[1] for x in out], dtype="Int64"), "score": pd.Series([x[2] for x in out], dtype="float64")})
+
+    dealt = firsts.repartition("place").sortWithinPartitions("place", "k").select("place", "class", "core", "name")
+    return dealt.mapInPandas(run, "class long, to long, score double")
+
+
 def leaders(keyed: DataFrame, title_at: float, institution_at: float, scratch: Scratch) -> DataFrame:
     """(uid, k, into, reason, score) of every row: the k of its leader, its own where it leads.
 
-    keyed: uid, k (rows in order), id, url, place, core, name, stored (a leader from the start, met by the last of equal URLs). A round settles the open rows that
-    no earlier open row can be met by; the first open row of all is one of them. Rows are short: no text but titles takes part.
+    A row is plain where it has no URL and is not stored, and its id occurs in one class alone. Plain rows of a class all meet what the first of them meets, or that
+    one itself, so rounds see the first alone. Institutions of plain rows and at most LOCAL_CLASSES classes are compared in order, each by one task, without rounds.
     """
     classes = scratch(keyed.where("place <> ''").groupBy("place", "core", "name").agg(F.min("uid").alias("class")), "classes")
-    rows = scratch(keyed.join(classes, ["place", "core", "name"], "left").select("uid", "k", "id", "url", "class", "stored"), "rows")
+    rows = keyed.join(classes, ["place", "core", "name"], "left").select("uid", "k", "id", "url", "class", "stored")
+    if classes.isEmpty():
+        return rounds(scratch(rows, "rows"), classes, title_at, institution_at, scratch)
+    rows = scratch(rows, "classed")
+    tied = (F.col("url") != "") | F.col("stored") | F.col("class").isNull()
+    ids = rows.groupBy("id").agg((~F.bool_or(tied) & (F.min("class") == F.max("class"))).alias("plain"))
+    rows = scratch(rows.join(ids, "id").withColumn("plain", F.coalesce("plain", F.lit(False))), "rows")
+    firsts = scratch(rows.where("plain").groupBy("class").agg(F.min(F.struct("k", "uid", "id")).alias("f")).select("class", "f.*"), "firsts")
+    small = classes.join(rows.where("NOT plain").select("class").distinct().withColumn("tied", F.lit(True)), "class", "left").groupBy("place").agg(F.count("*").alias("n"), F.bool_or("tied").alias("tied"))
+    small = scratch(small.where((F.col("n") <= LOCAL_CLASSES) & F.col("tied").isNull()).select("place"), "small")
+    local = scratch(locally(firsts.join(classes, "class").join(small, "place", "left_semi"), title_at, institution_at), "local")
+    to = firsts.select(F.col("class").alias("to"), F.col("k").alias("to_k"))
+    fuzzy, own, none = F.lit("fuzzy_title_institution"), F.lit(""), F.lit(None).cast("double")
+    done = local.join(to, "to", "left").select("class", F.col("to_k").alias("into"), F.when(F.col("to").isNull(), own).otherwise(fuzzy).alias("reason"), "score")
+    done = firsts.join(done, "class").select("class", "k", F.coalesce("into", "k").alias("into"), "reason", "score", F.col("id").alias("first_id"))
+    others = firsts.join(local.select("class"), "class", "left_anti").select("uid", "k", "id", F.lit("").alias("url"), "class", F.lit(False).alias("stored"))
+    others = scratch(others.union(rows.where("NOT plain").select("uid", "k", "id", "url", "class", "stored")), "others")
+    out = []
+    if not others.isEmpty():
+        found = scratch(rounds(others, classes.join(small, "place", "left_anti"), title_at, institution_at, scratch), "found")
+        out.append(found.join(firsts.select("uid"), "uid", "left_anti"))
+        done = done.union(firsts.join(found.drop("k"), "uid").select("class", "k", "into", "reason", "score", F.col("id").alias("first_id")))
+    done = scratch(done, "done").withColumnRenamed("k", "first_k")
+    leads = F.col("reason") == ""
+    told = rows.where("plain").join(done, "class").select(
+        "uid", "k", "into", F.when(F.col("k") == F.col("first_k"), F.col("reason")).when(leads & (F.col("id") == F.col("first_id")), "canonical_id").otherwise(fuzzy).alias("reason"),
+        F.when((F.col("k") == F.col("first_k")) | ~leads, F.col("score")).otherwise(1.0).alias("score"),
+    )
+    return told.union(out[0]) if out else told
+
+
+def rounds(rows: DataFrame, classes: DataFrame, title_at: float, institution_at: float, scratch: Scratch) -> DataFrame:
+    """leaders() of rows (uid, k, id, url, class, stored) and their classes by rounds.
+
+    k: rows in order; stored: a leader from the start, met by the last of equal URLs. A round settles the open rows that no earlier open row can be met by; the
+    first open row of all is one of them. Rows are short: no text but titles takes part.
+    """
     index = scratch(title_index(classes, title_at).join(classes.select("class", "place"), "class"), "index")
     lists = index.groupBy("place", "gram").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0]
     wait = INDEX_ROUNDS if lists and lists > MANY_PAIRS * classes.count() else 0

@@ -150,3 +150,34 @@ def test_common_letters():
         return row[-1]
 
     assert dedupe.common_letters(list(a), list(b)).tolist() == [longest(x, y) for x, y in zip(a, b, strict=True)]
+
+
+def parts(n: int, seed: int = 11, shared: float = 0.0) -> list[dict]:
+    """Rows of four institutions with titles that resemble each other, some in many rows; ids are their own but for a share of them."""
+    r = random.Random(seed)
+    name = lambda: f"Professor of {r.choice(['large', 'small', 'hot', 'blue'])} {r.choice(['ring', 'bolt', 'gear'])} at grade {r.randint(1, 20)}"
+    return [{"ord": i, "canonical_id": f"id{r.randrange(n)}" if r.random() < shared else f"own{i}", "title": name(), "institution": f"{r.choice(['', 'The '])}Brand {r.randrange(4)}"} for i in range(n)]
+
+
+@pytest.mark.parametrize("shared,most,without", [(0.0, 8192, "index_pairs"), (0.3, 8192, None), (0.1, 20, None)])
+def test_titles_in_order(spark, shared, most, without, monkeypatch):
+    """An institution whose rows titles alone tie is compared in order: no pairs are made. Others go by rounds; both give the replay's leaders."""
+    if most != 8192:
+        monkeypatch.setattr(dedupe, "LOCAL_CLASSES", most)
+    if without:
+        monkeypatch.setattr(dedupe, without, None)
+    rows = parts(250, shared=shared)
+    rows[7] |= {"institution": "Brand alone"}
+    replay, want = dedupe.Replay(), {}
+    for x in copies(rows):
+        hit = replay.add(x)
+        want[x["ord"]] = None if hit is None else hit["ord"]
+    got = dedupe.duplicates(spark.createDataFrame([tuple(x.values()) for x in rows], "ord long, canonical_id string, title string, institution string").repartition(3)).collect()
+    assert {r["ord"]: r["leader"] for r in got} == want
+    assert all((r["reason"] is None) == (r["leader"] is None) for r in got)
+    by = {x["ord"]: x for x in rows}
+    for r in got:
+        if r["reason"] == "canonical_id":
+            assert by[r["ord"]]["canonical_id"] == by[r["leader"]]["canonical_id"]
+        elif r["reason"]:
+            assert r["score"] == pytest.approx(min(dedupe.ratio(by[r["ord"]][c], by[r["leader"]][c]) for c in ("title", "institution")))
