@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,10 @@ GRAM = 3
 #: then the pairs that are still open are compared. The rows that result are the same.
 MANY_PAIRS = 300
 INDEX_ROUNDS = 3
-#: Classes of an institution that one task compares in their order, where nothing but titles ties its rows.
-#: Institutions of more go by rounds; the rows are the same.
+#: Classes of an institution that one task compares in their order, where nothing but titles ties its rows; and rows of one that a task folds in their order, where
+#: no id or URL of them occurs elsewhere. Institutions of more go by rounds; the rows are the same.
 LOCAL_CLASSES = 8192
+NEAR_ROWS = 2000
 #: Places of a letter in letters_of(); a title that repeats one more often has the rest counted apart.
 REPEATS = 16
 
@@ -197,15 +199,6 @@ def fold(rows: list[dict], title_at: float = 0.9, institution_at: float = 0.9, s
     return replay.leaders
 
 
-def as_dicts(pdf: pd.DataFrame) -> list[dict]:
-    """Rows as dictionaries; a null of any column type is None."""
-    return [{k: None if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v else v for k, v in r.items()} for r in pdf.to_dict("records")]
-
-
-def as_frame(rows: list[dict], schema) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in schema.names})
-
-
 # --- scratch tables --------------------------------------------------------------------------------------------------------
 
 
@@ -685,28 +678,53 @@ def with_component(keyed: DataFrame, scratch: Scratch) -> DataFrame:
     return keyed.join(label, "_own", "left").withColumn("component", F.coalesce("component", "_own")).drop("_own")
 
 
-def replayed(rows: DataFrame, schema, title_at: float, institution_at: float, stored: bool, mark: str | None) -> DataFrame:
+def folded(rows: DataFrame, schema, title_at: float, institution_at: float, stored: bool, mark: str | None) -> DataFrame:
     """The leaders of each component (component, _k, _stored and the schema's columns), folded in order; memory holds one component's leaders."""
     names = [c for c in schema.names if c != mark]
 
-    def given(replay: Replay) -> pd.DataFrame:
-        out = [r | {"is_new_this_run": r.get("is_new_this_run")} | ({mark: bool(r.get("_hit")) or not r["_stored"]} if mark else {}) for r in replay.leaders]
-        return as_frame(out, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, replay, done, kinds = None, None, [], []
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, replay = None, None
-        for pdf in batches:
-            for component, row in zip(pdf["component"], as_dicts(pdf[[*names, "_stored"]]), strict=True):
+        def given() -> pa.RecordBatch:
+            cols = [pa.array([r.get(c) for r in done], kind) for c, kind in zip(names, kinds, strict=True)]
+            if mark:
+                cols.append(pa.array([bool(r.get("_hit")) or not r["_stored"] for r in done], pa.bool_()))
+            return pa.RecordBatch.from_arrays(cols, names=[*names, *([mark] if mark else [])])
+
+        for b in batches:
+            kinds = [b.schema.field(c).type for c in names]
+            shown = [*names, "_stored"]
+            for component, *values in zip(b.column("component").to_pylist(), *(b.column(c).to_pylist() for c in shown), strict=True):
                 if component != at:
-                    if replay is not None:
-                        yield given(replay)
+                    done += replay.leaders if replay is not None else []
                     at, replay = component, Replay(title_at, institution_at, stored)
-                replay.add(row)
-        if replay is not None:
-            yield given(replay)
+                replay.add(dict(zip(shown, values, strict=True)))
+            if len(done) >= 1000:
+                yield given()
+                done = []
+        done += replay.leaders if replay is not None else []
+        if done:
+            yield given()
 
     dealt = rows.repartition("component").sortWithinPartitions("component", "_k").select("component", "_stored", *names)
-    return dealt.mapInPandas(run, schema)
+    order = [*names, *([mark] if mark else [])]
+    return dealt.mapInArrow(run, type(schema)([schema[c] for c in order])).select(*schema.names)
+
+
+def replayed(rows: DataFrame, schema, title_at: float, institution_at: float, stored: bool, mark: str | None) -> DataFrame:
+    """folded() for components in which a merge gave a leader another title."""
+    return folded(rows, schema, title_at, institution_at, stored, mark)
+
+
+def far_homes(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """home of the homes (keyed: home, id, url) of more than NEAR_ROWS rows, or with an id or URL that occurs in another home. All others are tied to nothing else."""
+    out = keyed.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > NEAR_ROWS).select("home")
+    for c in ("id", "url"):
+        split = keyed.where(F.col(c) != "") if c == "url" else keyed
+        split = scratch(split.groupBy(c).agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select(c), f"split-{c}")
+        if not split.isEmpty():
+            out = out.union(keyed.join(split, c, "left_semi").select("home"))
+    return scratch(out.distinct(), "far")
 
 
 # --- consolidation and upsert ----------------------------------------------------------------------------------------------
@@ -719,13 +737,11 @@ def _numbered(postings: DataFrame, order: str) -> DataFrame:
     return postings.withColumn("_k", F.struct((~F.col("_stored")).alias("new"), F.col(order).alias("ord"), F.monotonically_increasing_id().alias("uid")))
 
 
-def _tied(postings: DataFrame) -> bool:
-    """Whether anything but ids can tie rows."""
-    if not {"application_url", "institution"} & set(postings.columns):
-        return False
-    keys = key_columns(postings)
-    found = postings.agg(F.max(keys["url"] != ""), F.max(keys["place"] != "")).first()
-    return bool(found[0] or found[1])
+def _homed(rows: DataFrame) -> DataFrame:
+    """rows with _url and _home: the institution's key, else the URL, else the id."""
+    keys = key_columns(rows)
+    home = F.when(keys["place"] != "", F.concat(F.lit("p:"), keys["place"])).when(keys["url"] != "", F.concat(F.lit("u:"), keys["url"])).otherwise(F.concat(F.lit("i:"), keys["id"]))
+    return rows.withColumns({"_url": keys["url"], "_home": home})
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -756,8 +772,12 @@ def _resolve(postings: DataFrame, order: str, title_at: float, institution_at: f
     names = [c for c in postings.columns if c != "_stored"]
     scratch = Scratch(postings.sparkSession)
     rows = _numbered(postings, order)
-    if not _tied(postings):
-        if {"title", "description_text", "summary", "application_angle"} & set(names):  # these may be read again by their numbers, which one read fixes
+    tied = bool({"application_url", "institution"} & set(names))  # whether anything but ids can tie rows
+    if tied:
+        rows = scratch(_homed(rows), "postings")
+        tied = not rows.where("_home NOT LIKE 'i:%'").isEmpty()
+    if not tied:
+        if "_home" not in rows.columns and {"title", "description_text", "summary", "application_angle"} & set(names):  # these may be read again by their numbers, which one read fixes
             rows = scratch(rows, "postings")
         rows = rows.withColumn("_into", F.coalesce("canonical_id", F.lit("")))
         if mark:
@@ -768,6 +788,18 @@ def _resolve(postings: DataFrame, order: str, title_at: float, institution_at: f
         seen = rows.groupBy("_into").agg(F.bool_or(~F.col("_stored")).alias("_seen"))
         out = merged(rows, names, scratch, hit=True).join(seen, "_into")
         return out.select(*names, *([F.col("_seen").alias(mark)] if mark else []))
+    schema = (postings.drop("_stored").withColumn(mark, F.lit(True)) if mark else postings.drop("_stored")).schema
+    # Most homes are small and tied to no other: one shuffle brings each together, and a stream folds it.
+    far = far_homes(rows.select(F.col("_home").alias("home"), F.coalesce("canonical_id", F.lit("")).alias("id"), F.col("_url").alias("url")), scratch).withColumnRenamed("home", "_home")
+    if far.isEmpty():
+        return folded(rows.withColumnRenamed("_home", "component"), schema, title_at, institution_at, stored, mark)
+    near = rows.join(far, "_home", "left_anti").withColumnRenamed("_home", "component")
+    rest = rows.join(far, "_home", "left_semi").drop("_home", "_url")
+    return folded(near, schema, title_at, institution_at, stored, mark).unionByName(_rounds(rest, names, schema, title_at, institution_at, stored, mark, scratch))
+
+
+def _rounds(rows: DataFrame, names: list[str], schema, title_at: float, institution_at: float, stored: bool, mark: str | None, scratch: Scratch) -> DataFrame:
+    """The merged leaders of rows by rounds."""
     rows = scratch(rows, "postings")
     keyed = scratch(_keyed(rows), "keyed")
     into = scratch(leaders(keyed, title_at, institution_at, scratch), "into")
@@ -778,9 +810,6 @@ def _resolve(postings: DataFrame, order: str, title_at: float, institution_at: f
     alone = rows.join(members, F.col("_k.uid") == F.col("uid"), "left_anti")
     if mark:
         alone, out = alone.withColumn(mark, ~F.col("_stored")), out.withColumn(mark, F.lit(True))
-        schema = postings.drop("_stored").withColumn(mark, F.lit(True)).schema
-    else:
-        schema = postings.drop("_stored").schema
     shown = [*names, *([mark] if mark else [])]
     if "title" in names:
         out = scratch(out, "merged")

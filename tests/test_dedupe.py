@@ -181,3 +181,24 @@ def test_titles_in_order(spark, shared, most, without, monkeypatch):
             assert by[r["ord"]]["canonical_id"] == by[r["leader"]]["canonical_id"]
         elif r["reason"]:
             assert r["score"] == pytest.approx(min(dedupe.ratio(by[r["ord"]][c], by[r["leader"]][c]) for c in ("title", "institution")))
+
+
+@pytest.mark.parametrize("near", [2000, 9])
+def test_small_homes_are_folded(spark, near, monkeypatch):
+    """Institutions that no id or URL ties to others are folded at once, without rounds; larger ones go by rounds and give the same."""
+    if near == 2000:
+        monkeypatch.setattr(dedupe, "leaders", None)
+    else:
+        monkeypatch.setattr(dedupe, "NEAR_ROWS", near)
+    rows = postings(12, 120)
+    for i, x in enumerate(rows):
+        x |= {"canonical_id": f"own{i}", "application_url": "", "institution": f"Uni {i % 11 if i % 3 else i}"}
+        if i % 10 == 0:
+            x |= {"institution": None, "application_url": f"https://u.org/{i % 40}"}
+    got = [r.asDict() for r in dedupe.consolidate(table(spark, rows)).collect()]
+    assert comparable(got) == comparable(dedupe.fold(copies(rows)))
+    stored = dedupe.fold(copies(rows[:60]))
+    want = dedupe.fold([x | {"_stored": True} for x in copies(stored)] + [x | {"_stored": False} for x in copies(rows[60:])], stored=True)
+    got = [r.asDict() for r in dedupe.upsert(table(spark, stored), table(spark, rows[60:]), mark="_seen").collect()]
+    assert comparable(got) == comparable(want)
+    assert {r["ord"]: r["_seen"] for r in got} == {r["ord"]: bool(r.get("_hit")) or not r["_stored"] for r in want}
