@@ -19,7 +19,8 @@ against the pivots it shares most lists with; the components of these links are
 nodes that stand for it, in rounds, and only pairs of one list that lie in
 different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
 its parity sketches (bit h of 64 * SKETCH flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
-differ in shingles: the number of differing bits is a lower bound of that. Every pair of a list is thus verified, excluded or already
+differ in shingles: the number of differing bits is a lower bound of that. A sketch of fixed width is full for large sets, and then excludes no pair, so these have
+wider ones in tiles. Every pair of a list is thus verified, excluded or already
 connected, so components are those of all links. A part of
 the postings that is far above the average, as one list may hold a third of all nodes, is not read by one task: its postings are rows, whose pivots are
 aggregates and found again by key. Verification counts shared shingles of the whole texts.
@@ -52,6 +53,10 @@ SLICE = 1 << 20
 SKETCH = 32
 #: Words of the folded sketch that long lists carry.
 FOLD = 8
+#: Sets of more shingles than the first number take a sketch of their own to tiles, as their folded ones are full; beyond the second it has LARGE_SKETCH words.
+FULL_FROM, LARGE_FROM, LARGE_SKETCH = 700, 2000, 4 * SKETCH
+#: Pairs whose own sketches are compared at once.
+CHUNK = 1 << 12
 #: Lists of at most so many nodes are pairs at once; longer ones go by pivots.
 SHORT = 32
 #: Pivots that a node is verified against at first.
@@ -100,12 +105,33 @@ def name_of(s: np.ndarray, shared: frozenset[int], bits: int) -> int:
     return first if first not in shared else next(d for d in (digest(s, i) for i in itertools.count(2)) if d not in shared)
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set: SKETCH signed 64-bit words."""
-    bits = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+def parity(s: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """The parity sketch of a set: signed 64-bit words. A wider one, its parts of SKETCH words combined by xor, is the narrower one."""
+    bits = np.bincount(((s >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def own_sketch(s: np.ndarray) -> bytes | None:
+    """The sketch that a set takes to tiles: none where the folded one does."""
+    return None if len(s) <= FULL_FROM else parity(s, SKETCH if len(s) <= LARGE_FROM else LARGE_SKETCH).tobytes()
+
+
+def sketches(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The narrow form of each sketch, the wide form of those that have one (else zeros), and which these are."""
+    wide = np.array([len(x) == 8 * LARGE_SKETCH for x in own], bool)
+    full = np.zeros((len(own), LARGE_SKETCH), np.uint64)
+    for i, x in enumerate(own):
+        full[i, : len(x) // 8] = np.frombuffer(x, np.uint64)
+    narrow = np.bitwise_xor.reduce(full.reshape(len(own), -1, SKETCH), axis=1)
+    return narrow, np.where(wide[:, None], full, np.uint64(0)), wide
+
+
+def least_apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """A lower bound of the shingles in which the sets of each pair of sketches differ."""
+    (a, wa, la), (b, wb, lb) = sketches(one), sketches(two)
+    return np.where(la & lb, np.bitwise_count(wa ^ wb).sum(axis=1, dtype=np.int64), np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64))
+
+
 def overlap(a: int, b: int, num: int, den: int) -> int:
     """Shingles that sets of a and b must share to link: the least o with den * o >= num * (a + b - o)."""
     return -(-num * (a + b) // (num + den))
@@ -196,18 +222,18 @@ def block_keys(s: np.ndarray, bands: Bands, salt: int = 0) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, k: int, shared: frozenset[int], bits: int) -> DataFrame:
-    """doc_id, hash of the text, node, second digest, n_shingles and the parity sketch s0, s1, ... of every document; node is 0 without shingles."""
+    """doc_id, hash of the text, node, second digest, n_shingles and the parity sketches s0, s1, ... and own of every document; node is 0 without shingles."""
     sketch = [f"s{i}" for i in range(SKETCH)]
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
         for b in batches:
-            (n, d, e), p = np.zeros((3, b.num_rows), np.int64), np.zeros((b.num_rows, SKETCH), np.int64)
+            (n, d, e), p, own = np.zeros((3, b.num_rows), np.int64), np.zeros((b.num_rows, SKETCH), np.int64), [None] * b.num_rows
             for i, s in shingle_sets(b.column(1), k):
-                n[i], d[i], e[i], p[i] = len(s), name_of(s, shared, bits), digest(s, 1), parity(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(e), pa.array(n), *(pa.array(c) for c in p.T.copy())], names=["doc_id", "th", "node", "second", "n_shingles", *sketch])
+                n[i], d[i], e[i], p[i], own[i] = len(s), name_of(s, shared, bits), digest(s, 1), parity(s), own_sketch(s)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(e), pa.array(n), *(pa.array(c) for c in p.T.copy()), pa.array(own, pa.binary())], names=["doc_id", "th", "node", "second", "n_shingles", *sketch, "own"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, second long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, second long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch) + ", own binary")
 
 
 def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int, shared: frozenset[int], bits: int) -> DataFrame:
@@ -392,13 +418,13 @@ def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
     the short sketches leave possible. The nodes outside meet the whole list in tiles of TILE by TILE nodes, and only pairs that may link leave a tile."""
     words = [f"s{i}" for i in range(FOLD)]
     rows = open_.join(short, "node").select(
-        "key", "node", "c", "n", *words, (F.col("c") == F.col("main")).alias("inner"), F.ceil(F.col("size") / TILE).cast("int").alias("wide"), F.ceil(F.col("outside") / TILE).cast("int").alias("high")
+        "key", "node", "c", "n", "own", *words, (F.col("c") == F.col("main")).alias("inner"), F.ceil(F.col("size") / TILE).cast("int").alias("wide"), F.ceil(F.col("outside") / TILE).cast("int").alias("high")
     )
-    place, shown = F.xxhash64("node"), ["node", "c", "n", *words, "inner"]
+    place, shown = F.xxhash64("node"), ["node", "c", "n", "own", *words, "inner"]
     across = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(place, "wide").cast("int").alias("j"), *shown, F.lit(False).alias("out"))
     down = rows.where("NOT inner").select("key", F.pmod(place, "high").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), *shown, F.lit(True).alias("out"))
 
-    def pairs(node, c, n, sketch, inner, out):
+    def pairs(node, c, n, sketch, inner, out, own):
         (y,) = np.nonzero(out)
         (x,) = np.nonzero(~out)
         for at in range(0, len(y), TILE):  # a hash may deal a block somewhat more than TILE nodes
@@ -410,6 +436,13 @@ def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
             for w in range(FOLD):
                 differ += np.bitwise_count(sketch[w][x][:, None] ^ sketch[w][o][None, :])
             i, j = np.nonzero(ok & (differ * (num + den) <= (na + nb) * (den - num)))
+            both = np.flatnonzero((n[x[i]] > FULL_FROM) & (n[o[j]] > FULL_FROM))
+            keep = np.ones(len(i), bool)
+            for a in range(0, len(both), CHUNK):
+                m = both[a : a + CHUNK]
+                p, q = x[i[m]], o[j[m]]
+                keep[m] = least_apart([own[v].as_py() for v in p], [own[v].as_py() for v in q]) * (num + den) <= (n[p] + n[q]) * (den - num)
+            i, j = i[keep], j[keep]
             if len(i):
                 one, two = node[x[i]], node[o[j]]
                 met = np.empty(len(i), PAIR)
@@ -427,8 +460,8 @@ def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
             ends = np.r_[heads[1:], len(key)]
             whole = len(heads) if last else len(heads) - 1
             node, c, n, inner, out = (col(x) for x in ("node", "c", "n", "inner", "out"))
-            sketch = [col(w).view(np.uint64) for w in words]
-            found = [m for a, b in zip(heads[:whole], ends[:whole], strict=True) for m in pairs(node[a:b], c[a:b], n[a:b], [w[a:b] for w in sketch], inner[a:b], out[a:b])]
+            sketch, own = [col(w).view(np.uint64) for w in words], t.column("own").chunk(0)
+            found = [m for a, b in zip(heads[:whole], ends[:whole], strict=True) for m in pairs(node[a:b], c[a:b], n[a:b], [w[a:b] for w in sketch], inner[a:b], out[a:b], own[a:b])]
             return (distinct(np.concatenate(found)) if found else np.zeros(0, PAIR)), t.slice(int(heads[whole])) if whole < len(heads) else None
 
         def given(met):
@@ -456,7 +489,7 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     while True:
         nodes = common.materialise(nodes_of(docs, k, shared, NAME_BITS), "jaccard-nodes")
         known = nodes.where("node <> 0").groupBy("node").agg(
-            F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch), (F.min("second") < F.max("second")).alias("twice")
+            F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*sketch, "own")), (F.min("second") < F.max("second")).alias("twice")
         )
         known = common.materialise(known, "jaccard-known")
         # Of n sets, about n * n / 2 ** 65 pairs share a name: 70 of 5e10.
@@ -465,7 +498,7 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
             break
         shared |= again
         common.discard(nodes, known)
-    known = known.drop("twice")
+    with_own, known = known, known.drop("twice", "own")
     sizes = nodes.where(f"n_shingles between 1 and {LIGHT_MOST}").groupBy("n_shingles").count().collect()
     light = boundary({r[0]: r[1] for r in sizes}, num, den)
     bands, per = Bands(num, den), {}
@@ -478,7 +511,7 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
     may_link = f"({differ}) * {num + den} <= (n + nx) * {den - num} and n * {den} >= nx * {num} and nx * {den} >= n * {num}"
     fold = [" ^ ".join(f"s{j}" for j in range(i, SKETCH, FOLD)) for i in range(FOLD)]
-    short = known.select("node", "n", *(F.expr(e).alias(f"s{i}") for i, e in enumerate(fold)))
+    short = with_own.select("node", "n", "own", *(F.expr(e).alias(f"s{i}") for i, e in enumerate(fold)))
     right = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
     lists = cand.where("key <> -1")
     shared = lists.select("node", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
