@@ -57,6 +57,8 @@ FOLD = 8
 FULL_FROM, LARGE_FROM, LARGE_SKETCH = 700, 2000, 4 * SKETCH
 #: Pairs whose own sketches are compared at once.
 CHUNK = 1 << 12
+#: Pairs that a task of tiles remembers.
+SEEN = 1 << 18
 #: Lists of at most so many nodes are pairs at once; longer ones go by pivots.
 SHORT = 32
 #: Pivots that a node is verified against at first.
@@ -450,7 +452,7 @@ def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
                 yield distinct(met)
 
     def run(batches):
-        held = None
+        held, seen = None, set()  # near sets meet in many lists: a task gives a pair once, as far as SEEN pairs tell
 
         def tiles(t: pa.Table, last: bool):
             """The pairs of all whole tiles, and the rows of the one that may go on."""
@@ -465,6 +467,11 @@ def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
             return (distinct(np.concatenate(found)) if found else np.zeros(0, PAIR)), t.slice(int(heads[whole])) if whole < len(heads) else None
 
         def given(met):
+            if len(seen) + len(met) > SEEN:
+                seen.clear()
+            both = list(zip(met["a"].tolist(), met["b"].tolist(), strict=True))
+            met = met[[x not in seen for x in both]] if both else met
+            seen.update(both[:SEEN])
             for a in range(0, len(met), 1 << 18):
                 yield pa.RecordBatch.from_arrays([pa.array(met["a"][a : a + (1 << 18)]), pa.array(met["b"][a : a + (1 << 18)])], names=["node", "x"])
 
