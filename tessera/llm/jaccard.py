@@ -17,7 +17,8 @@ The boundary is the size at which enumerating subsets starts to cost more than p
 Lists are scanned without emitting their pairs: three nodes of each list are its pivots; every node is verified
 against the pivots it shares most lists with; the components of these links are then joined to the lists, nodes outside a list's most frequent component are verified against the nearest
 nodes that stand for it, in rounds, and only pairs of one list that lie in
-different components are verified, those outside the list's most frequent component against the rest. Of these, a pair is dropped when
+different components are verified: those outside the list's most frequent component against each other, and against that component, once for all lists that share it,
+if its ball leaves a link possible. Of these, a pair is dropped when
 its parity sketches (bit h of 64 * SKETCH flips for each shingle that hashes to h) differ in more bits than linked sets of their sizes
 differ in shingles: the number of differing bits is a lower bound of that. A sketch of fixed width is full for large sets, and then excludes no pair, so these have
 wider ones in tiles. Every pair of a list is thus verified, excluded or already
@@ -65,6 +66,8 @@ SHORT = 32
 PIVOTS = 3
 #: Times that nodes outside a list's most frequent component are verified against nodes of it before pairs are scanned.
 ROUNDS = 1
+#: A main component is met as a whole unless these are more than so many times the pairs of its lists.
+WHOLE = 4
 #: Nodes of a block of a list; blocks meet blocks, and pairs are made within a task, by sketches.
 TILE = 512
 #: A part of more than so many times PART postings is split over tasks.
@@ -415,15 +418,66 @@ def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFr
     return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep"), "size", (F.col("size") - F.col("m.n")).alias("outside")), "jaccard-main")
 
 
-def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
+def outside(lists: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """key, node, c, main, rep of the postings outside their list's most frequent component, and the nodes of the list outside and inside it."""
+    named, main = in_components(lists, links)
+    out = common.lookup(named, main, ["key"], "size", total, ("main", "rep", "size", "outside")).where("c <> main")
+    return common.materialise(out.select("key", "node", "c", "main", "rep", "outside", (F.col("size") - F.col("outside")).alias("inside")), "jaccard-outside")
+
+
+def left_open(outer: DataFrame, lists: DataFrame, total: int, links: DataFrame, known: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, x) of lists that lie in two components by the links and that sketches leave possible; outer and total: of the lists, as before the last links.
+
+    Postings outside the main component meet each other in their list. Nodes of the main one are not dealt for each list: a node outside meets the
+    component once, and only if the ball around the node that names it leaves a link possible, as differing bits of sketches are a metric. Where a component
+    has many more nodes than its lists hold of it, those of the lists are met instead.
+    """
+    words = [f"s{i}" for i in range(SKETCH)]
+    differ = " + ".join(f"bit_count({c} ^ x{c})" for c in words)
+    found = common.components(links, "jaccard-components").select("node", F.col("component").alias("c"))
+    # c is as before the last links: pairs that these tie are compared again, and no posting is joined for it.
+    within = tiled(outer.select("key", "node", "c", F.lit(0).cast("long").alias("main"), F.col("outside").alias("size"), "outside"), short, num, den)
+
+    # whole: the component that the main one of a list now belongs to. Its name is one of its nodes.
+    met = common.materialise(outer.select("node", "main").distinct(), "jaccard-met")
+    mains = met.select("main").distinct().join(found.select(F.col("node").alias("main"), F.col("c").alias("whole")), "main", "left").select("main", F.coalesce("whole", "main").alias("whole"))
+    members = found.select("node", F.col("c").alias("whole")).union(mains.select("whole", "whole")).distinct().join(mains.select("whole").distinct(), "whole", "left_semi").select("node", "whole")
+    centre = known.select(F.col("node").alias("whole"), *(F.col(c).alias("x" + c) for c in words))
+    balls = members.join(known, "node").join(centre, "whole").groupBy("whole").agg(F.count("*").alias("m"), F.max(F.expr(differ)).alias("radius"), F.min("n").alias("least"), F.max("n").alias("most"))
+    balls = common.materialise(mains.join(balls, "whole"), "jaccard-balls")
+    near = met.join(balls, "main").join(known, "node").where(f"n * {den} >= least * {num} and most * {den} >= n * {num}").join(centre, "whole")
+    near = near.where(f"({differ} - radius) * {num} <= n * {den - num}").select("node", "main", "whole", "m").join(found, "node", "left")
+    near = common.materialise(near.select("node", F.coalesce("c", "node").alias("c"), "main", "whole", "m").where("c <> whole"), "jaccard-near")
+    touching = outer.drop("c").join(near.select("node", "c", "main", "whole"), ["node", "main"])
+    keys = touching.groupBy("key").agg(F.first("whole").alias("whole"), F.count("*").alias("outs"), F.first("inside").alias("inside"), F.first("outside").alias("outside"))
+    once = near.select("node", "c", "whole", "m").distinct()
+    cost = once.groupBy("whole").agg(F.count("*").alias("outs"), F.first("m").alias("m")).join(keys.groupBy("whole").agg(F.sum(F.col("outs") * F.col("inside")).alias("pairs")), "whole")
+    cost = common.materialise(cost.select("whole", "m", "outs", (F.col("outs") * F.col("m") <= WHOLE * F.col("pairs")).alias("by_component")), "jaccard-cost")
+    names = ("key", "node", "c", "main", "size", "outside")
+
+    few = cost.where("by_component")
+    outs = once.drop("m").join(few, "whole").select("whole", "node", "c", "whole", "m", "outs").toDF(*names)
+    ins = members.join(few, "whole").select("whole", "node", "whole", "whole", "m", "outs").toDF(*names)
+    out = within.union(tiled(outs.union(ins), short, num, den, main_only=True))
+    if cost.where("NOT by_component").isEmpty():
+        return out
+    keys = keys.join(cost.where("NOT by_component").select("whole"), "whole").select("key", "whole", "outs", (F.col("inside") + F.col("outside")).alias("size"))
+    keys = common.materialise(keys, "jaccard-keys")
+    outs = touching.select("key", "node", "c").join(keys, "key").select("key", "node", "c", "whole", "size", "outs").toDF(*names)
+    ins = common.lookup(lists.select("key", "node"), keys, ["key"], "size", total, ("whole", "size", "outs")).join(found, "node", "left").where("coalesce(c, node) = whole")
+    return out.union(tiled(outs.union(ins.select("key", "node", "whole", "whole", "size", "outs").toDF(*names)), short, num, den, main_only=True))
+
+
+def tiled(open_: DataFrame, short: DataFrame, num: int, den: int, main_only: bool = False) -> DataFrame:
     """(node, x), node the lesser, of pairs of lists (key, node, c, main, size, outside) that lie in two components, one of them outside the main one, and that
-    the short sketches leave possible. The nodes outside meet the whole list in tiles of TILE by TILE nodes, and only pairs that may link leave a tile."""
+    the short sketches leave possible. The nodes outside meet the whole list, or those of the main component alone, in tiles of TILE by TILE nodes, and only pairs
+    that may link leave a tile."""
     words = [f"s{i}" for i in range(FOLD)]
     rows = open_.join(short, "node").select(
         "key", "node", "c", "n", "own", *words, (F.col("c") == F.col("main")).alias("inner"), F.ceil(F.col("size") / TILE).cast("int").alias("wide"), F.ceil(F.col("outside") / TILE).cast("int").alias("high")
     )
     place, shown = F.xxhash64("node"), ["node", "c", "n", "own", *words, "inner"]
-    across = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(place, "wide").cast("int").alias("j"), *shown, F.lit(False).alias("out"))
+    across = (rows.where("inner") if main_only else rows).select("key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(place, "wide").cast("int").alias("j"), *shown, F.lit(False).alias("out"))
     down = rows.where("NOT inner").select("key", F.pmod(place, "high").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), *shown, F.lit(True).alias("out"))
 
     def pairs(node, c, n, sketch, inner, out, own):
@@ -527,11 +581,12 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     pairs = common.materialise(pairs.join(known, "node").join(right, "x").where(may_link).select(F.col("node").alias("a"), F.col("x").alias("b")), "jaccard-pairs")
     first = common.materialise(verified(pairs, texts_of(docs, known, pairs), k, num, den), "jaccard-links")
     links = first
-    named, main = in_components(lists, links)
     total = lists.count()
-    for _ in range(ROUNDS):
+    outer = outside(lists, links, total)
+    for turn in range(ROUNDS):
         # Nodes outside their list's most frequent component meet a node of it, another in each list; those nearest by sketch are verified.
-        met = common.lookup(named, main, ["key"], "size", total, ("main", "rep")).where("c <> main").select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("x"), F.col("node").alias("who")).distinct()
+        outer = outside(lists, links, total) if turn else outer
+        met = outer.select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("x"), F.col("node").alias("who")).distinct()
         near = met.join(known, "node").join(right, "x").where(may_link).select("who", F.struct(F.expr(differ).alias("d"), F.col("node").alias("a"), F.col("x").alias("b")).alias("p"))
         near = near.groupBy("who").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
         near = common.materialise(near, "jaccard-pairs")
@@ -539,8 +594,7 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
             break
         links = common.materialise(links.union(verified(near, texts_of(docs, known, near), k, num, den)).distinct(), "jaccard-links")
         pairs = pairs.union(near)
-        named, main = in_components(lists, links)
-    more = tiled(common.lookup(named, main, ["key"], "size", total, ("main", "size", "outside")), short, num, den)
+    more = left_open(outer, lists, total, links, known, short, num, den)
     more = more.distinct().join(known, "node").join(right, "x").where(may_link)
     more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
     second = verified(more, texts_of(docs, known, more), k, num, den)
