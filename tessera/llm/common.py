@@ -241,27 +241,44 @@ def cover(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 # --- components ------------------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the smallest node that each node of the edges (a, b) reaches.
+#: Rounds of components() whose labels one plan joins.
+LABELS = 4
+
+
+def components(edges: DataFrame, name: str = "components", known: DataFrame | None = None) -> DataFrame:
+    """(node, component): the smallest node that each node of the edges (a, b) reaches. known: what this gave for earlier edges, which these add to.
 
     Rounds of contraction: every node goes to the smallest of itself and its neighbours, edges are rewritten and made
-    distinct, until none is left; each round at least halves the nodes. Minima are combined before they are shuffled, so a node
-    with very many edges is no hot spot. Each round is written to the shared folder; the driver sees only counts.
+    distinct, until none is left; each round at least halves the nodes. Known components are one node each from the start. Minima are combined before they
+    are shuffled, so a node with very many edges is no hot spot. Each round is written to the shared folder; the driver sees only counts.
     """
+    if known is not None:
+        ka, kb = (known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+        edges = edges.join(ka, "a", "left").join(kb, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     e = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-    labels: DataFrame | None = None
+    labels, open_ = None, 0
     while not e.isEmpty():
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         to = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")), name)
         if labels is None:
             labels = to.select("node", F.col("up").alias("component"))
         else:
-            up = to.select(F.col("node").alias("component"), "up")
-            labels = labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        labels = materialise(labels, name)
+            labels, open_ = relabelled(labels, to), open_ + 1
+            if open_ == LABELS:
+                labels, open_ = materialise(labels, name), 0
         ua, ub = to.select(F.col("node").alias("a"), F.col("up").alias("ua")), to.select(F.col("node").alias("b"), F.col("up").alias("ub"))
         moved = e.join(ua, "a").join(ub, "b").where("ua <> ub")
         e = materialise(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), name)
     if labels is None:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component")) if known is None else known
+    labels = materialise(labels, name) if open_ else labels
+    if known is None:
+        return labels
+    # The name of a known component is a node of it, so it is labelled by the first part and new nodes by the second.
+    out = relabelled(known, labels.withColumnRenamed("component", "up")).union(labels.join(known.select("node"), "node", "left_anti"))
+    return materialise(out, name)
+
+
+def relabelled(labels: DataFrame, to: DataFrame) -> DataFrame:
+    up = to.select(F.col("node").alias("component"), "up")
+    return labels.join(up, "component", "left").select("node", F.coalesce("up", "component").alias("component"))

@@ -52,6 +52,8 @@ PARTITIONS = 20_000
 SLICE = 1 << 20
 #: 64-bit words of a parity sketch.
 SKETCH = 32
+#: Bits in which two sketches differ. Sketches are one column: plans of a column for each word took the driver much memory.
+DIFFER = "aggregate(zip_with(sketch, xsketch, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
 #: Words of the folded sketch that long lists carry.
 FOLD = 8
 #: Sets of more shingles than the first number take a sketch of their own to tiles, as their folded ones are full; beyond the second it has LARGE_SKETCH words.
@@ -227,8 +229,7 @@ def block_keys(s: np.ndarray, bands: Bands, salt: int = 0) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame, k: int, shared: frozenset[int], bits: int) -> DataFrame:
-    """doc_id, hash of the text, node, second digest, n_shingles and the parity sketches s0, s1, ... and own of every document; node is 0 without shingles."""
-    sketch = [f"s{i}" for i in range(SKETCH)]
+    """doc_id, hash of the text, node, second digest, n_shingles and the parity sketches, sketch and own, of every document; node is 0 without shingles."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches):
@@ -236,9 +237,10 @@ def nodes_of(docs: DataFrame, k: int, shared: frozenset[int], bits: int) -> Data
             (n, d, e), p, own = np.zeros((3, b.num_rows), np.int64), np.zeros((b.num_rows, SKETCH), np.int64), [None] * b.num_rows
             for i, s in shingle_sets(b.column(1), k):
                 n[i], d[i], e[i], p[i], own[i] = len(s), name_of(s, shared, bits), digest(s, 1), parity(s), own_sketch(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(e), pa.array(n), *(pa.array(c) for c in p.T.copy()), pa.array(own, pa.binary())], names=["doc_id", "th", "node", "second", "n_shingles", *sketch, "own"])
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SKETCH), pa.array(p.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(d), pa.array(e), pa.array(n), sketch, pa.array(own, pa.binary())], names=["doc_id", "th", "node", "second", "n_shingles", "sketch", "own"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, second long, n_shingles long, " + ", ".join(f"{c} long" for c in sketch) + ", own binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, second long, n_shingles long, sketch array<long>, own binary")
 
 
 def postings(docs: DataFrame, k: int, num: int, den: int, light: int, parts: int, shared: frozenset[int], bits: int) -> DataFrame:
@@ -408,77 +410,80 @@ def text_of(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(rep, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.xxhash64("text") == F.col("rep_th"))).groupBy("node").agg(F.min("text").alias("text"))
 
 
-def in_components(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, node, c of the lists, c the node's component by the links; and key, main, rep, size, outside of those of more than one component: the most
+def in_components(lists: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, c of the lists, c the node's component of those found; and key, main, rep, size, outside of those of more than one component: the most
     frequent one, a node of it that differs from list to list, the list's nodes, and those outside the most frequent component."""
-    found = common.components(links, "jaccard-components").select("node", "component")
     named = common.materialise(lists.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "jaccard-named")
     each = named.groupBy("key", "c").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key"), "node")).alias("r"))
     each = each.groupBy("key").agg(F.max(F.struct("n", "c", F.col("r.node").alias("rep"))).alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("n").alias("size"))
     return named, common.materialise(each.where("lo < hi").select("key", F.col("m.c").alias("main"), F.col("m.rep").alias("rep"), "size", (F.col("size") - F.col("m.n")).alias("outside")), "jaccard-main")
 
 
-def outside(lists: DataFrame, links: DataFrame, total: int) -> DataFrame:
+def outside(lists: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """key, node, c, main, rep of the postings outside their list's most frequent component, and the nodes of the list outside and inside it."""
-    named, main = in_components(lists, links)
+    named, main = in_components(lists, found)
     out = common.lookup(named, main, ["key"], "size", total, ("main", "rep", "size", "outside")).where("c <> main")
     return common.materialise(out.select("key", "node", "c", "main", "rep", "outside", (F.col("size") - F.col("outside")).alias("inside")), "jaccard-outside")
 
 
-def left_open(outer: DataFrame, lists: DataFrame, total: int, links: DataFrame, known: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, x) of lists that lie in two components by the links and that sketches leave possible; outer and total: of the lists, as before the last links.
+def left_open(outer: DataFrame, lists: DataFrame, total: int, found: DataFrame, known: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, x) of lists that lie in two of the components found and that sketches leave possible; outer and total: of the lists, as before the last links.
 
     Postings outside the main component meet each other in their list. Nodes of the main one are not dealt for each list: a node outside meets the
     component once, and only if the ball around the node that names it leaves a link possible, as differing bits of sketches are a metric. Where a component
     has many more nodes than its lists hold of it, those of the lists are met instead.
     """
-    words = [f"s{i}" for i in range(SKETCH)]
-    differ = " + ".join(f"bit_count({c} ^ x{c})" for c in words)
-    found = common.components(links, "jaccard-components").select("node", F.col("component").alias("c"))
+    found = found.select("node", F.col("component").alias("c"))
     # c is as before the last links: pairs that these tie are compared again, and no posting is joined for it.
-    within = tiled(outer.select("key", "node", "c", F.lit(0).cast("long").alias("main"), F.col("outside").alias("size"), "outside"), short, num, den)
-
-    # whole: the component that the main one of a list now belongs to. Its name is one of its nodes.
-    met = common.materialise(outer.select("node", "main").distinct(), "jaccard-met")
-    mains = met.select("main").distinct().join(found.select(F.col("node").alias("main"), F.col("c").alias("whole")), "main", "left").select("main", F.coalesce("whole", "main").alias("whole"))
-    members = found.select("node", F.col("c").alias("whole")).union(mains.select("whole", "whole")).distinct().join(mains.select("whole").distinct(), "whole", "left_semi").select("node", "whole")
-    centre = known.select(F.col("node").alias("whole"), *(F.col(c).alias("x" + c) for c in words))
-    balls = members.join(known, "node").join(centre, "whole").groupBy("whole").agg(F.count("*").alias("m"), F.max(F.expr(differ)).alias("radius"), F.min("n").alias("least"), F.max("n").alias("most"))
+    within = outer.select("key", "node", "c", F.lit(0).cast("long").alias("main"), F.col("outside").alias("size"), "outside", F.lit(True).alias("each"))
+
+    # whole: the component that the main one of a list now belongs to. Its name is one of its nodes, the centre of its ball.
+    mains = outer.select("main").distinct().join(found.select(F.col("node").alias("main"), F.col("c").alias("whole")), "main", "left").select("main", F.coalesce("whole", "main").alias("whole"))
+    mains = common.materialise(mains.join(known.select(F.col("node").alias("whole"), F.col("sketch").alias("xsketch")), "whole"), "jaccard-mains")
+    centre = mains.groupBy("whole").agg(F.first("xsketch").alias("xsketch"))
+    members = found.select("node", F.col("c").alias("whole")).union(mains.select("whole", "whole")).distinct().join(mains.select("whole").distinct(), "whole", "left_semi")
+    members = common.materialise(members.select("node", "whole"), "jaccard-members")
+    balls = members.join(known, "node").join(centre, "whole").groupBy("whole").agg(F.count("*").alias("m"), F.max(F.expr(DIFFER)).alias("radius"), F.min("n").alias("least"), F.max("n").alias("most"))
     balls = common.materialise(mains.join(balls, "whole"), "jaccard-balls")
-    near = met.join(balls, "main").join(known, "node").where(f"n * {den} >= least * {num} and most * {den} >= n * {num}").join(centre, "whole")
-    near = near.where(f"({differ} - radius) * {num} <= n * {den - num}").select("node", "main", "whole", "m").join(found, "node", "left")
+    near = outer.select("node", "main").distinct().join(balls, "main").join(known, "node").where(f"n * {den} >= least * {num} and most * {den} >= n * {num}")
+    near = near.where(f"({DIFFER} - radius) * {num} <= n * {den - num}").select("node", "main", "whole", "m").join(found, "node", "left")
     near = common.materialise(near.select("node", F.coalesce("c", "node").alias("c"), "main", "whole", "m").where("c <> whole"), "jaccard-near")
     touching = outer.drop("c").join(near.select("node", "c", "main", "whole"), ["node", "main"])
     keys = touching.groupBy("key").agg(F.first("whole").alias("whole"), F.count("*").alias("outs"), F.first("inside").alias("inside"), F.first("outside").alias("outside"))
     once = near.select("node", "c", "whole", "m").distinct()
     cost = once.groupBy("whole").agg(F.count("*").alias("outs"), F.first("m").alias("m")).join(keys.groupBy("whole").agg(F.sum(F.col("outs") * F.col("inside")).alias("pairs")), "whole")
     cost = common.materialise(cost.select("whole", "m", "outs", (F.col("outs") * F.col("m") <= WHOLE * F.col("pairs")).alias("by_component")), "jaccard-cost")
-    names = ("key", "node", "c", "main", "size", "outside")
+    names, each = ("key", "node", "c", "main", "size", "outside", "each"), F.lit(False)
 
     few = cost.where("by_component")
-    outs = once.drop("m").join(few, "whole").select("whole", "node", "c", "whole", "m", "outs").toDF(*names)
-    ins = members.join(few, "whole").select("whole", "node", "whole", "whole", "m", "outs").toDF(*names)
-    out = within.union(tiled(outs.union(ins), short, num, den, main_only=True))
-    if cost.where("NOT by_component").isEmpty():
-        return out
-    keys = keys.join(cost.where("NOT by_component").select("whole"), "whole").select("key", "whole", "outs", (F.col("inside") + F.col("outside")).alias("size"))
-    keys = common.materialise(keys, "jaccard-keys")
-    outs = touching.select("key", "node", "c").join(keys, "key").select("key", "node", "c", "whole", "size", "outs").toDF(*names)
-    ins = common.lookup(lists.select("key", "node"), keys, ["key"], "size", total, ("whole", "size", "outs")).join(found, "node", "left").where("coalesce(c, node) = whole")
-    return out.union(tiled(outs.union(ins.select("key", "node", "whole", "whole", "size", "outs").toDF(*names)), short, num, den, main_only=True))
-
-
-def tiled(open_: DataFrame, short: DataFrame, num: int, den: int, main_only: bool = False) -> DataFrame:
+    outs = once.drop("m").join(few, "whole").select("whole", "node", "c", "whole", "m", "outs", each).toDF(*names)
+    ins = members.join(few, "whole").select("whole", "node", "whole", "whole", "m", "outs", each).toDF(*names)
+    out = within.union(outs).union(ins)
+    if not cost.where("NOT by_component").isEmpty():
+        keys = keys.join(cost.where("NOT by_component").select("whole"), "whole").select("key", "whole", "outs", (F.col("inside") + F.col("outside")).alias("size"))
+        keys = common.materialise(keys, "jaccard-keys")
+        outs = touching.select("key", "node", "c").join(keys, "key").select("key", "node", "c", "whole", "size", "outs", each).toDF(*names)
+        ins = common.lookup(lists.select("key", "node"), keys, ["key"], "size", total, ("whole", "size", "outs")).join(found, "node", "left").where("coalesce(c, node) = whole")
+        # The same list may also stand in `within`: its tiles of this kind have a key of their own.
+        out = out.union(outs.union(ins.select("key", "node", "whole", "whole", "size", "outs", each).toDF(*names)).withColumn("key", F.xxhash64("key")))
+    return tiled(out, short, num, den)
+
+
+def tiled(open_: DataFrame, short: DataFrame, num: int, den: int) -> DataFrame:
     """(node, x), node the lesser, of pairs of lists (key, node, c, main, size, outside) that lie in two components, one of them outside the main one, and that
-    the short sketches leave possible. The nodes outside meet the whole list, or those of the main component alone, in tiles of TILE by TILE nodes, and only pairs
-    that may link leave a tile."""
+    the short sketches leave possible. The nodes outside meet the whole list in tiles of TILE by TILE nodes, or those of the main component alone where `each` is
+    false, and only pairs that may link leave a tile. Lists of one key by chance only meet in more tiles than they need."""
     words = [f"s{i}" for i in range(FOLD)]
+    open_ = open_ if "each" in open_.columns else open_.withColumn("each", F.lit(True))
+    # Where a node lies among those of a side, it is dealt to one block; it meets every block of the other side.
+    spots = """explode(concat(
+        IF(inner OR each, transform(sequence(0, high - 1), t -> struct(t AS i, CAST(pmod(place, wide) AS INT) AS j, false AS out)), array()),
+        IF(inner, array(), transform(sequence(0, wide - 1), t -> struct(CAST(pmod(place, high) AS INT) AS i, t AS j, true AS out))))) AS spot"""
     rows = open_.join(short, "node").select(
-        "key", "node", "c", "n", "own", *words, (F.col("c") == F.col("main")).alias("inner"), F.ceil(F.col("size") / TILE).cast("int").alias("wide"), F.ceil(F.col("outside") / TILE).cast("int").alias("high")
+        "key", "node", "c", "n", "own", *words, (F.col("c") == F.col("main")).alias("inner"), "each", F.xxhash64("node").alias("place"),
+        F.ceil(F.col("size") / TILE).cast("int").alias("wide"), F.ceil(F.col("outside") / TILE).cast("int").alias("high"),
     )
-    place, shown = F.xxhash64("node"), ["node", "c", "n", "own", *words, "inner"]
-    across = (rows.where("inner") if main_only else rows).select("key", F.explode(F.sequence(F.lit(0), F.col("high") - 1)).alias("i"), F.pmod(place, "wide").cast("int").alias("j"), *shown, F.lit(False).alias("out"))
-    down = rows.where("NOT inner").select("key", F.pmod(place, "high").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("j"), *shown, F.lit(True).alias("out"))
+    rows = rows.select("key", "node", "c", "n", "own", *words, "inner", F.expr(spots)).select("key", "spot.i", "spot.j", "node", "c", "n", "own", *words, "inner", "spot.out")
 
     def pairs(node, c, n, sketch, inner, out, own):
         (y,) = np.nonzero(out)
@@ -537,8 +542,7 @@ def tiled(open_: DataFrame, short: DataFrame, num: int, den: int, main_only: boo
         if held is not None:
             yield from given(tiles(held.combine_chunks(), True)[0])
 
-    dealt = across.unionByName(down).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "node long, x long")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "node long, x long")
 
 
 def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -546,11 +550,11 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
     spark = docs.sparkSession
     common.tune(spark)
     docs = docs.select("doc_id", "text")
-    sketch, shared = [f"s{i}" for i in range(SKETCH)], frozenset()
+    shared = frozenset()
     while True:
         nodes = common.materialise(nodes_of(docs, k, shared, NAME_BITS), "jaccard-nodes")
         known = nodes.where("node <> 0").groupBy("node").agg(
-            F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in (*sketch, "own")), (F.min("second") < F.max("second")).alias("twice")
+            F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("own").alias("own"), (F.min("second") < F.max("second")).alias("twice")
         )
         known = common.materialise(known, "jaccard-known")
         # Of n sets, about n * n / 2 ** 65 pairs share a name: 70 of 5e10.
@@ -560,47 +564,44 @@ def grouped(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) -> DataF
         shared |= again
         common.discard(nodes, known)
     with_own, known = known, known.drop("twice", "own")
-    sizes = nodes.where(f"n_shingles between 1 and {LIGHT_MOST}").groupBy("n_shingles").count().collect()
-    light = boundary({r[0]: r[1] for r in sizes}, num, den)
+    sizes = {r[0]: r[1] for r in nodes.groupBy("n_shingles").count().collect()}
+    light = boundary(sizes, num, den)
     bands, per = Bands(num, den), {}
-    for n, count in nodes.groupBy("n_shingles").count().collect():
+    for n, count in sizes.items():
         per[n] = count * (2 if n < 1 else bands.blocks(bands.of(n))[0] + bands.blocks(bands.of(n) + 1)[0])
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(per.values()) // PART))
     packed = common.materialise(postings(docs, k, num, den, light, parts, shared, NAME_BITS), "jaccard-postings")
     cand = lists_of(packed, parts)
     common.discard(packed)
-    differ = " + ".join(f"bit_count({c} ^ x{c})" for c in sketch)
-    may_link = f"({differ}) * {num + den} <= (n + nx) * {den - num} and n * {den} >= nx * {num} and nx * {den} >= n * {num}"
-    fold = [" ^ ".join(f"s{j}" for j in range(i, SKETCH, FOLD)) for i in range(FOLD)]
+    may_link = f"n * {den} >= nx * {num} and nx * {den} >= n * {num} and {DIFFER} * {num + den} <= (n + nx) * {den - num}"
+    fold = [" ^ ".join(f"sketch[{j}]" for j in range(i, SKETCH, FOLD)) for i in range(FOLD)]
     short = with_own.select("node", "n", "own", *(F.expr(e).alias(f"s{i}") for i, e in enumerate(fold)))
-    right = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias("x" + c) for c in sketch))
+    right = known.select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("sketch").alias("xsketch"))
     lists = cand.where("key <> -1")
     shared = lists.select("node", F.explode(F.array_distinct(F.array("p0", "p1", "p2"))).alias("pivot")).where("node <> pivot").groupBy("node", "pivot").count()
     best = shared.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "pivot")), asc=False), 1, PIVOTS).alias("m")).select("node", F.explode("m.pivot").alias("x"))
     pairs = best.select(F.least("node", "x").alias("node"), F.greatest("node", "x").alias("x")).union(cand.where("key = -1").select("node", F.col("p0").alias("x"))).distinct()
     pairs = common.materialise(pairs.join(known, "node").join(right, "x").where(may_link).select(F.col("node").alias("a"), F.col("x").alias("b")), "jaccard-pairs")
-    first = common.materialise(verified(pairs, texts_of(docs, known, pairs), k, num, den), "jaccard-links")
-    links = first
+    found = common.components(verified(pairs, texts_of(docs, known, pairs), k, num, den), "jaccard-components")
     total = lists.count()
-    outer = outside(lists, links, total)
+    outer = outside(lists, found, total)
     for turn in range(ROUNDS):
         # Nodes outside their list's most frequent component meet a node of it, another in each list; those nearest by sketch are verified.
-        outer = outside(lists, links, total) if turn else outer
+        outer = outside(lists, found, total) if turn else outer
         met = outer.select(F.least("node", "rep").alias("node"), F.greatest("node", "rep").alias("x"), F.col("node").alias("who")).distinct()
-        near = met.join(known, "node").join(right, "x").where(may_link).select("who", F.struct(F.expr(differ).alias("d"), F.col("node").alias("a"), F.col("x").alias("b")).alias("p"))
+        near = met.join(known, "node").join(right, "x").where(may_link).select("who", F.struct(F.expr(DIFFER).alias("d"), F.col("node").alias("a"), F.col("x").alias("b")).alias("p"))
         near = near.groupBy("who").agg(F.slice(F.sort_array(F.collect_list("p")), 1, PIVOTS).alias("p")).select(F.explode("p").alias("p")).select("p.a", "p.b").distinct()
         near = common.materialise(near, "jaccard-pairs")
         if near.isEmpty():
             break
-        links = common.materialise(links.union(verified(near, texts_of(docs, known, near), k, num, den)).distinct(), "jaccard-links")
+        found = common.components(verified(near, texts_of(docs, known, near), k, num, den), "jaccard-components", found)
         pairs = pairs.union(near)
-    more = left_open(outer, lists, total, links, known, short, num, den)
+    more = left_open(outer, lists, total, found, known, short, num, den)
     more = more.distinct().join(known, "node").join(right, "x").where(may_link)
     more = common.materialise(more.select(F.col("node").alias("a"), F.col("x").alias("b")).join(pairs, ["a", "b"], "left_anti"), "jaccard-pairs")
-    second = verified(more, texts_of(docs, known, more), k, num, den)
-    all_links = links.select("a", "b").union(second)
-    comp = common.components(all_links, "jaccard-components")
-    member = nodes.select("doc_id", "th", "node", "n_shingles").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    comp = common.components(verified(more, texts_of(docs, known, more), k, num, den), "jaccard-components", found)
+    member = nodes.select("doc_id", "th", "node", "n_shingles").join(comp, "node", "left").select("doc_id", "th", "n_shingles", F.coalesce("component", "node").alias("c"))
+    member = common.materialise(member, "jaccard-member")
     name = member.where("c <> 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
     return member.join(name, "c", "left").select("doc_id", "th", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
