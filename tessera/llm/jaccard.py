@@ -52,7 +52,7 @@ PARTITIONS = 20_000
 SLICE = 1 << 20
 #: 64-bit words of a parity sketch.
 SKETCH = 32
-#: Bits in which two sketches differ. Sketches are one column: plans of a column for each word took the driver much memory.
+#: Bits in which two sketches differ. A sketch is one column, as plans of a column for each word are large.
 DIFFER = "aggregate(zip_with(sketch, xsketch, (p, q) -> bit_count(p ^ q)), 0, (t, d) -> t + d)"
 #: Words of the folded sketch that long lists carry.
 FOLD = 8
